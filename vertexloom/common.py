@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,19 @@ def salted_join(
     if hint:
         rhs = rhs.hint(hint)
     return lhs.drop("_hot").join(rhs, [key, "_salt"], how).drop("_salt")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut from its lineage, by a checkpoint in the session's shared folder.
+
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, one below the warehouse is set, or a temporary one if Spark runs in this process.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            local = sc.master.startswith("local[") or sc.master == "local"
+            folder = tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vertexloom.common import materialize
 from vertexloom.operators.shred import parse, unwrap
 
 # Column type codes and the JSON kind each allows
@@ -207,7 +208,7 @@ def schema_changes(file_header: DataFrame, graph_header: DataFrame, edges: DataF
     """(file_id, section, change, column_name): every declared and undeclared change, each once."""
     lists = column_lists(file_header, graph_header)
     versioned = versions(lists)
-    declared = with_files(declared_changes(lifespans(versioned)), versioned).select("file_id", "section", "change", "column_name")
+    declared = with_files(declared_changes(materialize(lifespans(versioned))), versioned).select("file_id", "section", "change", "column_name")
     return declared.unionByName(undeclared_values(edges, lists)).distinct()
 
 
@@ -252,7 +253,7 @@ def consistent_edges(edges: DataFrame, file_header: DataFrame, graph_header: Dat
     Each property is joined with its data set's alias table; a value that can't be cast to the field's type is null, of several values of one field the largest
     text is kept. Edges of unknown files keep their own names; rows with a null ``eid`` are left out. The pivot to columns and the removal of repeated rows are one aggregation.
     """
-    catalogue = lifespans(versions(column_lists(file_header, graph_header)))
+    catalogue = materialize(lifespans(versions(column_lists(file_header, graph_header))))
     aliases = alias_table(catalogue, declared_changes(catalogue)).where(F.col("canonical").isin(columns))
     producers = file_header.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min("dataset_id").alias("dataset_id"))
     # A string that holds the object stands for it: reading it as a member unwraps it.

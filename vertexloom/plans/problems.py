@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.common import table
+from vertexloom.common import materialize, table
 from vertexloom.operators import drift, proximity, references, shred, skew
 
 NEAR_M = 50.0
@@ -49,7 +49,7 @@ def _locations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    points = _locations(spark, d)
+    points = materialize(_locations(spark, d))
     near = proximity.near_pairs(points, NEAR_M).select(F.lit("near").alias("kind"), F.col("fid_a").alias("key_a"), F.col("fid_b").alias("key_b"))
     return near.unionByName(_inside(points, proximity.region_rects(table(spark, d, "regions")), "region")).unionByName(
         _inside(points.where(F.col("file_id").isNotNull()), proximity.envelopes(table(spark, d, "file_header")), "envelope")
