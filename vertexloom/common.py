@@ -58,12 +58,11 @@ def salted_join(
     return lhs.drop("_hot").join(rhs, [key, "_salt"], how).drop("_salt")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut from its lineage, by a checkpoint in the session's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, one below the warehouse is set, or a temporary one if Spark runs in this process.
+    Where that is unset, one below the warehouse is set, or a temporary one if Spark runs in this process.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
@@ -71,4 +70,10 @@ def materialize(df: DataFrame) -> DataFrame:
             local = sc.master.startswith("local[") or sc.master == "local"
             folder = tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut from its lineage, by a checkpoint in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -226,3 +226,49 @@ def region_rects(regions: DataFrame) -> DataFrame:
     return regions.where(F.col("region_id").isNotNull()).select(
         F.col("region_id").alias("rect_id"), F.lit(None).cast("bigint").alias("own"), "minx", "miny", "maxx", "maxy"
     ).distinct()
+
+
+def _box_level(w: Column, h: Column) -> Column:
+    return _level(F.greatest(w, h))
+
+
+def _box_cells(k: Column) -> Column:
+    """The cells of level ``k`` that the row's box touches; at most 3 x 3 if the box has that level or a finer one."""
+    ix = F.sequence(_cell(F.col("minx"), k), _cell(F.col("maxx"), k))
+    iy = F.sequence(_cell(F.col("miny"), k), _cell(F.col("maxy"), k))
+    return F.flatten(F.transform(ix, lambda x: F.transform(iy, lambda y: F.struct(x.alias("ix"), y.alias("iy")))))
+
+
+def boxes_meet(boxes: DataFrame, rects: DataFrame, salts: int = 16) -> DataFrame:
+    """(rect_id, box_id): boxes and rectangles that meet, touching included, each pair once.
+
+    ``boxes`` has box_id, ``rects`` rect_id, both minx, miny, maxx, maxy within the globe; a null or NaN bound, or a minimum above its maximum, meets nothing. Each box belongs to the
+    grid fitted to its size. A pair meets in the coarser of its two grids: one side is filed in its own grid, the other looked up there. A pair with several common cells is
+    kept in the one that holds the lower left corner of the overlap. Hot cells are salted.
+    """
+    sides = []
+    for df, name in ((boxes, "box_id"), (rects, "rect_id")):
+        ok = (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy")) & ~F.isnan("maxx") & ~F.isnan("maxy") & F.col("minx").between(-180.0, 180.0) & F.col("miny").between(-180.0, 180.0)
+        rows = df.where(ok).select(F.col(name).alias("id"), *(F.col(c).cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")))
+        rows = rows.withColumn("maxx", F.least("maxx", F.lit(180.0))).withColumn("maxy", F.least("maxy", F.lit(180.0)))
+        sides.append(rows.withColumn("k", _box_level(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))))
+    name_cell = lambda df: df.withColumn("cell", _cell_key(F.col("g"), F.lit(0), F.col("c.ix"), F.col("c.iy"))).drop("c")
+
+    def own(df: DataFrame) -> DataFrame:
+        return name_cell(df.withColumn("g", F.col("k")).withColumn("c", F.explode(_box_cells(F.col("k")))))
+
+    def up(df: DataFrame, strictly: bool) -> DataFrame:
+        top = F.col("k") - (1 if strictly else 0)
+        rows = df.where(top >= 0).withColumn("g", F.explode(F.sequence(F.lit(0), top)))
+        return name_cell(rows.withColumn("c", F.explode(_box_cells(F.col("g")))))
+
+    def pair(filed: DataFrame, looked: DataFrame, names: tuple[str, str]) -> DataFrame:
+        a = filed.select("cell", F.col("id").alias(names[0]), *(F.col(c).alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")))
+        b = looked.select("cell", "g", F.col("id").alias(names[1]), *(F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")))
+        met = salted_join(b, a, "cell", F.col(names[1]), "inner", salts=salts)
+        x, y = F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny")
+        meet = (x <= F.least("a_maxx", "b_maxx")) & (y <= F.least("a_maxy", "b_maxy"))
+        return met.where(meet & (F.col("cell") == _cell_key(F.col("g"), F.lit(0), _cell(x, F.col("g")), _cell(y, F.col("g"))))).select("rect_id", "box_id")
+
+    b, r = sides
+    return pair(own(r), up(b, False), ("rect_id", "box_id")).unionByName(pair(own(b), up(r, True), ("box_id", "rect_id")))
