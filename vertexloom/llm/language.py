@@ -15,7 +15,7 @@ from vertexloom.llm import ppm
 
 SHORTEST = 5  # non-blank lines of a segment
 SWITCH_BITS = 10.0  # code length of a change of language
-TRAIN_DOCS = 200  # labelled documents per language from which the model is fitted, at most
+TRAIN_DOCS = 120  # labelled documents per language from which the model is fitted, at most
 TRAIN_CHARS = 40_000  # longest document to learn from
 CONFIDENCE_BITS = 16.0  # bits of lead that count as one: code lengths overstate the evidence of repeated phrases
 FOUND = (
