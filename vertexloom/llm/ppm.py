@@ -120,9 +120,7 @@ class Model:
         while i < len(lines):
             j = max(i + 1, int(np.searchsorted(first, first[i] + block)))
             a, b = int(first[i]), int(first[j]) if j < len(lines) else len(buf)
-            cost = self.bits[row[a:b]]
-            unknown = np.flatnonzero(row[a:b] < 0)
-            cost[unknown] = 8.0
+            cost = self.bits[row[a:b]]  # -1, an unknown byte, is the last row
             e0, e1 = np.searchsorted(extra, [a, b])
             at = extra[e0:e1] - a
             cost[at] += self.escapes[to_row[e0:e1]]
@@ -182,7 +180,7 @@ def train(lines: dict[str, list[bytes]], order: int = ORDER) -> Model:
         escape = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
         if k == 0:
             lower = np.full((len(keys), n_lang), 8.0)
-            summed = escape
+            summed = escape if len(escape) else np.zeros((1, n_lang))  # no line at all
         else:
             suffix = (plain & np.uint64((1 << (8 * k)) - 1)) | np.uint64(k << 56)
             lower = below_bits[np.searchsorted(below_keys, suffix)]
@@ -199,8 +197,7 @@ def train(lines: dict[str, list[bytes]], order: int = ORDER) -> Model:
         if k:
             ctx_keys.append(contexts | np.uint64(k << 56))
         below_keys, below_bits, below_ctx_keys, below_ctx = keys, bits, contexts, summed
-    if not len(ctx_bits[0]):
-        ctx_bits[0] = np.zeros((1, n_lang), np.float32)
+    gram_bits.append(np.full((1, n_lang), 8.0, np.float32))  # of unknown bytes
     return Model(languages, order, KeyTable(np.concatenate(gram_keys)), np.concatenate(gram_bits), KeyTable(np.concatenate(ctx_keys)), np.concatenate(ctx_bits))
 
 
