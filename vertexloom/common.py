@@ -16,17 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
     """Keys holding at least ``min_share`` of the non-null keys of ``df``: at most ``1 / min_share`` rows (column ``key``).
 
-    One partial aggregation by key; only a key and its count per map task are shuffled. The bound follows from the
-    definition, so the result may be broadcast whatever the size of ``df``. Null keys are ignored; an empty input gives no rows.
+    One partial aggregation by key; only a key and its count per map task are shuffled. The bound follows from the definition, so the result may be collected or
+    broadcast whatever the size of ``df``. Null keys are ignored; an empty input gives no rows.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(key)).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).select(F.lit(True).alias("_one"), "_total")
-    return (
-        counts.withColumn("_one", F.lit(True))
-        .join(F.broadcast(total), "_one")  # one row
-        .where(F.col("_n") >= F.col("_total") * F.lit(min_share))
-        .select(key)
-    )
+    least = counts.agg(F.sum("_n") * F.lit(min_share)).scalar()
+    return counts.where(F.col("_n") >= least).select(key)
 
 
 def salted_join(
@@ -38,24 +33,23 @@ def salted_join(
     min_share: float = 0.01,
     salts: int = 16,
     hint: str | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join on ``key`` whose hot keys are spread over ``salts`` tasks.
 
-    Keys with at least ``min_share`` of the rows of ``left`` are found first (``heavy_keys``: a bounded list). Their left rows get a
-    salt from ``spread`` (a column of ``left`` that varies within a key) and their right rows are repeated once per salt; all other
-    rows have salt 0. ``how`` is inner, left or left_anti. Null keys match nothing. Names other than ``key`` must differ between sides.
+    Keys with at least ``min_share`` of the rows are found first (``heavy_keys`` of ``counted``, by default of ``left``; at most ``1 / min_share`` values come to the driver). Their
+    left rows get a salt from ``spread`` (a column of ``left`` that varies within a key) and their right rows are repeated once per salt. Without hot keys it is a plain
+    join. ``how`` is inner, left, left_semi or left_anti. Null keys match nothing. Names other than ``key`` must differ between sides.
     """
-    hot = F.broadcast(heavy_keys(left, key, min_share).select(F.col(key), F.lit(True).alias("_hot")))  # <= 1 / min_share rows
-    lhs = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    )
-    rhs = right.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    )
-    rhs = rhs.drop("_hot")
+    hot = [r[0] for r in heavy_keys(left if counted is None else counted, key, min_share).collect()]
+    if not hot:
+        return left.join(right.hint(hint) if hint else right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    lhs = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    rhs = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     if hint:
         rhs = rhs.hint(hint)
-    return lhs.drop("_hot").join(rhs, [key, "_salt"], how).drop("_salt")
+    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
 
 
 def shared_folder(spark: SparkSession) -> str:

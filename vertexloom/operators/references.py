@@ -43,7 +43,8 @@ def orphan_edges(edges: DataFrame, *parent_tables: DataFrame, min_share: float =
     parents at all every reference is missing.
     """
     known = parents(*parent_tables).withColumn("known", F.lit(True))
-    merged = salted_join(edge_references(edges), known, "ref_key", F.col("ref_id"), "left", min_share, salts, hint="merge")
+    keys = edges.select(F.explode(F.array("src", "dst")).alias("ref_key"))
+    merged = salted_join(edge_references(edges), known, "ref_key", F.col("ref_id"), "left", min_share, salts, hint="merge", counted=keys)
     reason = (
         F.when(F.col("known").isNull(), "missing").when(F.col("deleted") <= F.col("recorded_at"), "deleted").when(F.col("first_seen") > F.col("seen_at"), "late")
     )

@@ -321,7 +321,7 @@ def infer_geometry_type(spark, d):
     return out
 
 
-@query("SELECT region_id, fid FROM regions r JOIN (SELECT fid, min(bbox.minx) AS x0, min(bbox.miny) AS y0, max(bbox.maxx) AS x1, max(bbox.maxy) AS y1 FROM vertices WHERE bbox.minx BETWEEN -180 AND 180 AND bbox.maxx BETWEEN -180 AND 180 AND bbox.miny BETWEEN -90 AND 90 AND bbox.maxy BETWEEN -90 AND 90 GROUP BY fid) ON x0 <= x1 AND y0 <= y1 AND minx <= maxx AND x0 <= maxx AND x1 >= minx AND y0 <= maxy AND y1 >= miny")
+@query("SELECT region_id, fid FROM regions r JOIN (SELECT fid, min(bbox.minx) AS x0, min(bbox.miny) AS y0, max(bbox.maxx) AS x1, max(bbox.maxy) AS y1 FROM vertices WHERE bbox.minx BETWEEN -180 AND 180 AND bbox.maxx BETWEEN -180 AND 180 AND bbox.miny BETWEEN -90 AND 90 AND bbox.maxy BETWEEN -90 AND 90 GROUP BY fid) ON x0 <= x1 AND y0 <= y1 AND minx <= maxx AND NOT isnan(minx) AND NOT isnan(miny) AND NOT isnan(maxx) AND NOT isnan(maxy) AND x0 <= maxx AND x1 >= minx AND y0 <= maxy AND y1 >= miny")
 def spatial_join_rects(spark, d):
     """All regions against all vertex boxes."""
     b = lambda c, most: F.col(f"bbox.{c}").between(-most, most)
