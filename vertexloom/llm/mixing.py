@@ -30,9 +30,9 @@ def repetition_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     shuffled as there are sources.
     """
     per = sizes.groupBy("source_key").agg(F.sum("n_tokens").alias("source_tokens"))
-    total = per.agg(F.coalesce(F.sum("source_tokens"), F.lit(0)).alias("all_tokens")).withColumn("_one", F.lit(True))
-    known = targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats", source_key(F.col("source")).alias("source_key"), F.lit(True).alias("_one"))
-    joined = known.join(per, "source_key", "left").join(F.broadcast(total), "_one")  # one row
+    total = per.agg(F.coalesce(F.sum("source_tokens"), F.lit(0))).scalar()
+    known = targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats", source_key(F.col("source")).alias("source_key"))
+    joined = known.join(per, "source_key", "left").withColumn("all_tokens", total)
     tokens = F.coalesce("source_tokens", F.lit(0))
     wanted = F.col("target_share") * F.col("all_tokens")
     rate = F.when(tokens > 0, F.least(F.col("max_repeats").cast("double"), wanted / F.nullif(tokens, F.lit(0))))
@@ -68,7 +68,6 @@ def draws(sizes: DataFrame, rates: DataFrame, seed: int = SEED) -> DataFrame:
 def reached_shares(drawn: DataFrame, rates: DataFrame) -> DataFrame:
     """(source, target_share, rate, drawn_tokens, reached_share) per target, sources without draws at 0."""
     per = drawn.groupBy("source").agg(F.sum("n_tokens").alias("_t"))
-    total = per.agg(F.sum("_t").alias("_all")).withColumn("_one", F.lit(True))
-    rows = rates.select("source", "target_share", "rate", F.lit(True).alias("_one")).join(per, "source", "left").join(F.broadcast(total), "_one", "left")
+    rows = rates.select("source", "target_share", "rate").join(per, "source", "left").withColumn("_all", per.agg(F.sum("_t")).scalar())
     got = F.coalesce("_t", F.lit(0))
     return rows.select("source", "target_share", "rate", got.alias("drawn_tokens"), F.coalesce(got / F.nullif(F.col("_all"), F.lit(0)), F.lit(0.0)).alias("reached_share"))
