@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.common import salted_join
+from vertexloom.common import materialize, salted_join
 from vertexloom.llm.tokens import VOCABULARY, token_count
 
 SEED = 17
@@ -29,7 +29,7 @@ def repetition_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     with a null share or cap. Documents of unlisted or null sources count in the total only. One partial aggregation: as many rows are
     shuffled as there are sources.
     """
-    per = sizes.groupBy("source_key").agg(F.sum("n_tokens").alias("source_tokens"))
+    per = materialize(sizes.groupBy("source_key").agg(F.sum("n_tokens").alias("source_tokens")))  # texts are sized once for both uses
     total = per.agg(F.coalesce(F.sum("source_tokens"), F.lit(0))).scalar()
     known = targets.where(F.col("source").isNotNull()).select("source", "target_share", "max_repeats", source_key(F.col("source")).alias("source_key"))
     joined = known.join(per, "source_key", "left").withColumn("all_tokens", total)
