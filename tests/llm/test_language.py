@@ -44,7 +44,7 @@ def test_code_lengths_equal_brute_force(order):
     model = ppm.train(lines, order)
     tests = [bytes(rnd.choice(b"abcde f\xff\x00") for _ in range(rnd.randint(0, 14))) for _ in range(60)] + [b"", b"q" * 300]
     want = [[code_length(lines[a], order)(t) for a in model.languages] for t in tests]
-    for block in (16, 1 << 16):
+    for block in (7, 16, 1 << 16):
         assert np.abs(model.score(tests, block) - want).max() < 2e-2
     assert model.score([]).shape == (0, 4)
 

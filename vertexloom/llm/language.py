@@ -95,7 +95,7 @@ def confidence(lead: np.ndarray) -> np.ndarray:
 def describe(model: ppm.Model, texts: list[str]) -> list[tuple[str | None, float | None, list[dict]]]:
     """(language, confidence, segments) of each text: '' for the language of a mixed text, None for one without a non-blank line."""
     lines, which, numbers, sizes = text_lines(texts)
-    costs = model.score(lines)[which].astype(np.float64)
+    costs = model.score(lines)[which]
     labels = ppm.segment(costs, sizes, SWITCH_BITS, SHORTEST)
     total = np.zeros((len(costs) + 1, costs.shape[1]))
     np.cumsum(costs, axis=0, out=total[1:])

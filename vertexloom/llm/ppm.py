@@ -93,60 +93,53 @@ class Model:
     contexts: KeyTable
     escapes: np.ndarray  # summed escapes of the context and all its suffixes, context x language; row 0: of the empty context
 
-    def score(self, lines: list[bytes], block: int = 1 << 16) -> np.ndarray:
-        """The code length in bits of each line under each language."""
-        n_lang = len(self.languages)
-        out = np.zeros((len(lines), n_lang), np.float32)
+    def score(self, lines: list[bytes], block: int = 1 << 17) -> np.ndarray:
+        """The code length in bits of each line under each language. Memory beyond the text itself is bounded by ``block``, also for a single endless line."""
+        out = np.zeros((len(lines), len(self.languages)))
         if not lines:
             return out
         buf, starts = lay_out(lines)
-        codes, depth = _codes(buf, self.order), _depth(len(buf), starts)
-        row = np.full(len(buf), -1, np.int32)
-        found_at = np.full(len(buf), -1, np.int8)
+        first = starts + 1  # the symbols of a line follow its leading break and end with its closing one
+        for a in range(1, len(buf), block):
+            b = min(len(buf), a + block)
+            i, j = np.searchsorted(first, [a, b - 1], side="right") - 1
+            cuts = np.maximum(first[i : j + 1], a)
+            depth = np.arange(a, b) - np.repeat(starts[i : j + 1], np.diff(np.append(cuts, b)))
+            low = max(0, a - self.order)
+            cost = self._costs(_codes(buf[low:b], self.order), depth, a - low)
+            out[i : j + 1] += np.add.reduceat(cost, cuts - a, axis=0)
+        return out
+
+    def _costs(self, codes: list[np.ndarray], depth: np.ndarray, skip: int) -> np.ndarray:
+        """The code lengths of the symbols from ``skip`` on; ``depth`` says how many bytes of its line precede each."""
+        row = np.full(len(depth), -1, np.int32)
+        found_at = np.full(len(depth), -1, np.int8)
         todo = np.zeros(0, np.int64)
         for k in range(self.order, -1, -1):
-            fresh = np.flatnonzero(depth >= k) if k == self.order else np.flatnonzero(depth == k)
-            todo = np.concatenate([todo, fresh]) if len(todo) else fresh
-            got = self.grams.find(codes[k][todo])
+            todo = np.concatenate([todo, np.flatnonzero(depth >= k if k == self.order else depth == k)])
+            got = self.grams.find(codes[k][todo + skip])
             hit = got >= 0
             row[todo[hit]] = got[hit]
             found_at[todo[hit]] = k
             todo = todo[~hit]
-        extra = np.flatnonzero((found_at < self.order) & (np.minimum(depth, self.order) > found_at))
-        extra = extra[extra > 0]
-        from_row, to_row = self._escape_rows(codes, depth, found_at, extra)
-        first = starts + 1  # the symbols of a line follow its leading break and end with its closing one
-        i = 0
-        while i < len(lines):
-            j = max(i + 1, int(np.searchsorted(first, first[i] + block)))
-            a, b = int(first[i]), int(first[j]) if j < len(lines) else len(buf)
-            cost = self.bits[row[a:b]]  # -1, an unknown byte, is the last row
-            e0, e1 = np.searchsorted(extra, [a, b])
-            at = extra[e0:e1] - a
-            cost[at] += self.escapes[to_row[e0:e1]]
-            below = from_row[e0:e1]
-            some = below >= 0
-            cost[at[some]] -= self.escapes[below[some]]
-            out[i:j] = np.add.reduceat(cost, first[i:j] - a, axis=0)
-            i = j
-        return out
-
-    def _escape_rows(self, codes: list[np.ndarray], depth: np.ndarray, found_at: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For positions whose n-gram was found at order m: the rows of the context of length m (-1 if m is -1) and of the longest known context."""
-        to_row = np.zeros(len(at), np.int32)
-        from_row = np.full(len(at), -1, np.int32)
-        from_row[found_at[at] == 0] = 0
-        open_ = np.ones(len(at), bool)
+        cost = self.bits[row]  # -1, an unknown byte, is the last row
+        above = np.flatnonzero(np.minimum(depth, self.order) > found_at)  # symbols that escaped, unless no longer context is known
+        top, bottom = np.zeros(len(above), np.int32), np.full(len(above), -1, np.int32)
+        bottom[found_at[above] == 0] = 0
+        open_ = np.ones(len(above), bool)
         for k in range(self.order, 0, -1):
-            can = np.flatnonzero((depth[at] >= k) & (open_ | (found_at[at] == k)))
-            got = self.contexts.find(codes[k - 1][at[can] - 1])
+            can = np.flatnonzero((depth[above] >= k) & (open_ | (found_at[above] == k)))
+            got = self.contexts.find(codes[k - 1][above[can] + skip - 1])
             known = got >= 0
-            is_from = (found_at[at[can]] == k) & known
-            from_row[can[is_from]] = got[is_from]
+            end = (found_at[above[can]] == k) & known
+            bottom[can[end]] = got[end]
             take = known & open_[can]
-            to_row[can[take]] = got[take]
+            top[can[take]] = got[take]
             open_[can[take]] = False
-        return from_row, to_row
+        cost[above] += self.escapes[top]
+        some = bottom >= 0
+        cost[above[some]] -= self.escapes[bottom[some]]
+        return cost
 
 
 def train(lines: dict[str, list[bytes]], order: int = ORDER) -> Model:
