@@ -229,6 +229,34 @@ def test_stream_and_counts(spark, tmp_path):
     assert streaming.drain(streaming.stream_section(spark, p, "vertices", splitRecords=6)).count() == 20
 
 
+def test_write_by_format(spark, tmp_path):
+    from vertexloom.sources.container import FORMAT, register
+
+    register(spark)
+    p = str(tmp_path / "w.bin")
+    df = chain(spark, 12).coalesce(2).selectExpr("fid", "geom", "name", "timestamp_ntz'2024-01-02 03:04:05' AS at", "array(1, 2) AS tags", "cast(2.5 AS decimal(9,1)) AS d")
+    df.write.format(FORMAT).option("crs", "4326").option("indexNodeSize", "4").mode("overwrite").save(p)
+    assert os.listdir(tmp_path) == ["w.bin"]
+    rows = graphs.read_vertices(spark, p).orderBy("fid").collect()
+    assert [r.name for r in rows] == [f"node-{i}" for i in range(12)] and rows[0].at == "2024-01-02T03:04:05" and rows[0].tags == "[1, 2]" and rows[0].d == "2.5"
+    assert graphs.read_vertices(spark, p, Rect(3, 3, 4, 4)).count() == 2 and graphs.read_metadata(p).crs["code"] == 4326
+
+
+def test_geojson_files(spark, tmp_path):
+    import json
+
+    from vertexloom.sources import geojson
+
+    for name, feats in (("a", [{"type": "Feature", "id": 9, "properties": {"n": 1, "s": "x", "j": {"k": [1]}, "b": True}, "geometry": SHAPES[0]}, {"type": "Feature", "properties": None, "geometry": None}]), ("b", [{"type": "Feature", "properties": {"late": 2.5, "n": "text"}, "geometry": SHAPES[4]}])):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"type": "FeatureCollection", "features": feats}))
+    every, first = geojson.read_geojson(spark, str(tmp_path)), geojson.read_geojson(spark, str(tmp_path), "sample-first")
+    assert {f.name: f.dataType.simpleString() for f in every.schema.fields[2:]} == {"n": "string", "s": "string", "j": "string", "b": "boolean", "late": "double"}
+    assert [(r.fid, r.n, r.late) for r in every.orderBy("fid").collect()] == [(0, "1", None), (1, None, None), (2, "text", 2.5)]
+    assert first.schema.names == ["fid", "geom", "n", "s", "j", "b"] and [r.n for r in first.orderBy("fid").collect()] == [1.0, None, None]
+    out = [json.loads(r.feature) for r in geojson.to_features(every).orderBy("fid").collect()]
+    assert out[0]["properties"] == {"n": "1", "s": "x", "b": True, "j": {"k": [1]}} and out[2]["geometry"] == SHAPES[4] and out[1]["geometry"] is None
+
+
 def test_column_for_types(spark):
     df = spark.sql("SELECT true AS b, 1 AS i, timestamp'2024-01-01 00:00:00' AS t, array(1) AS a, 1.5BD AS d, interval 1 day AS x")
     assert [column_for(f).type for f in df.schema.fields[:5]] == [2, 5, 13, 12, 11]

@@ -51,6 +51,11 @@ def test_values(spark):
     assert changes(spark, []) == []
 
 
+def test_values_of_a_file_without_history(spark):
+    h, g, e = tables(spark, [(1, "d", 1, [c("a")])], props=[(1, '{"a": 1, "b": 2}')])
+    assert sorted(tuple(r) for r in drift.schema_changes(h.where("false"), g, e).collect()) == [(1, "edge", "mistyped", "a"), (1, "edge", "undeclared", "b")]
+
+
 @pytest.mark.parametrize("a,b,kin", [("speed_limit", "speedLimit", True), ("weight", "edge_weight", True), ("flightNumber", "flight_number", True), ("w", "weight", False), ("Kind", "kind", True), ("id", "uid", False), ("___", "__", False)])
 def test_kindred(a, b, kin):
     assert drift.kindred(a, b) is kin

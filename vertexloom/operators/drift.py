@@ -53,6 +53,12 @@ def column_lists(file_header: DataFrame, graph_header: DataFrame) -> DataFrame:
     return both.select("s.section", "file_id", "dataset_id", "written_at", "s.columns").where(F.col("columns").isNotNull())
 
 
+def edge_lists(graph_header: DataFrame) -> DataFrame:
+    """(section, file_id, columns): the edge list of every file that has one, with or without a place in a history."""
+    lists = graph_header.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.first("edge_columns", True).alias("columns"))
+    return lists.where(F.col("columns").isNotNull()).select(F.lit("edge").alias("section"), "file_id", "columns")
+
+
 def versions(lists: DataFrame) -> DataFrame:
     """Adds ``version``: 1, 2, … per data set and section in the order of ``written_at`` (ties: ``file_id``)."""
     order = Window.partitionBy("dataset_id", "section").orderBy("written_at", "file_id")
@@ -209,7 +215,7 @@ def schema_changes(file_header: DataFrame, graph_header: DataFrame, edges: DataF
     lists = column_lists(file_header, graph_header)
     versioned = versions(lists)
     declared = with_files(declared_changes(materialize(lifespans(versioned))), versioned).select("file_id", "section", "change", "column_name")
-    return declared.unionByName(undeclared_values(edges, lists)).distinct()
+    return declared.unionByName(undeclared_values(edges, edge_lists(graph_header))).distinct()
 
 
 def alias_table(catalogue: DataFrame, changes: DataFrame, section: str = "edge") -> DataFrame:

@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from vertexloom.sources import codec, rtree
+from vertexloom.sources import codec, rtree, segments
 from vertexloom.sources.bytes import Walker, list_containers, open_bytes
-from vertexloom.types import BBOX_TYPE, GEOMETRY_TYPE, Column, Meta
+from vertexloom.types import BBOX_TYPE, GEOMETRY_TYPE, Column, Meta, column_for
 
 FORMAT = "geocontainer"
 SPLIT_RECORDS = 100_000
@@ -183,6 +183,43 @@ class GeoContainer(DataSource):
     def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
         return ContainerStream(self, schema)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return ContainerWriter(self, schema, overwrite)
+
+
+class ContainerWriter(DataSourceArrowWriter):
+    """``df.write.format("geocontainer")``: vertices in the order of the DataFrame's partitions, without edges; ids become positions. Options ``crs``, ``title``, ``description``, ``metadata``,
+    ``indexNodeSize`` (the order is kept, so sort along a curve first). For graphs there is ``graphs.write_graph``."""
+
+    def __init__(self, source: GeoContainer, schema: T.StructType, overwrite: bool):
+        self.path, self.options, self.names = source.options["path"], dict(source.options), schema.names
+        if "geom" not in self.names:
+            raise ValueError("missing column geom")
+        if not overwrite and segments.filesystem(self.path)[0].get_file_info(segments.filesystem(self.path)[1]).type.name != "NotFound":
+            raise ValueError(f"{self.path} exists")
+        self.fields = [f.name for f in schema.fields if f.name not in ("fid", "geom", "bbox")]
+        self.columns = [column_for(schema[n]) for n in self.fields]
+        self.node_size = int(source.options.get("indexnodesize", 0))
+        self.folder = segments.staging_folder(self.path)
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> segments.Segment:
+        picked = (pa.RecordBatch.from_arrays([b.column(self.names.index(n)) for n in ("geom", *self.fields)], names=["geom", *self.fields]) for b in batches)
+        return segments.encode_vertices(picked, self.columns, self.folder, self.node_size > 0)
+
+    def commit(self, messages: list) -> None:
+        meta = Meta(**{k: self.options.get(k) for k in ("title", "description", "metadata")})
+        if self.options.get("crs"):
+            meta.crs = {"code": int(self.options["crs"])}
+        try:
+            segments.assemble(self.path, [m for m in messages if m], self.columns, meta, self.node_size, True)
+        finally:
+            self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        fs, inner = segments.filesystem(self.folder)
+        if fs.get_file_info(inner).type.name != "NotFound":
+            fs.delete_dir(inner)
+
 
 class ContainerReader(DataSourceReader):
     def __init__(self, source: GeoContainer, schema: T.StructType):

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import math
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,12 +14,10 @@ from pyspark.sql import types as T
 from vertexloom.common import materialize
 from vertexloom.functions import projection
 from vertexloom.functions.geometry import geometry_bbox
-from vertexloom.sources import codec, rtree
+from vertexloom.sources import codec, rtree, segments
 from vertexloom.sources.container import FORMAT, Container, register
 from vertexloom.types import GEOMETRY, GraphMeta, Meta, Rect, column_for
 
-DEFAULT_NAME = "L1"  # fixed value: the data set name of a container that was given none
-_MAX = 1 << 32
 
 
 @dataclass
@@ -116,70 +110,18 @@ def _wire(df: DataFrame, fields: list[T.StructField]) -> tuple[list, list[Column
     return columns, out
 
 
-def _stage(folder: str, kind: str) -> str:
-    """A name for this attempt's segment; what lost attempts leave behind is never read."""
-    return f"{folder}/{kind}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-
-
-def _fs(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
-_SEGMENT = "part int, file string, n_rows bigint, n_bytes bigint, type_low int, type_high int, has_z boolean, has_m boolean, minx double, miny double, maxx double, maxy double"
-
-
 def _vertex_segments(ordered: DataFrame, columns: list, folder: str, indexed: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = _stage(folder, "vertices")
-        fs, path = _fs(name)
-        n, at, kinds, boxes, z, m = 0, 0, set(), [], False, False
-        with fs.open_output_stream(path) as out:
-            for batch in batches:
-                cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-                for geometry, *values in zip(*cols):
-                    record = codec.encode_feature(geometry, codec.encode_properties(values, columns))
-                    out.write(record)
-                    box = codec.bounds(geometry) or (math.nan,) * 4
-                    boxes.append((*box, at))
-                    kinds.add(geometry["type"] or 0 if geometry else 0)
-                    z |= bool(geometry and geometry["z"])
-                    m |= bool(geometry and geometry["m"])
-                    at += len(record)
-                    n += 1
-        leaves = np.array(boxes, rtree.NODE)
-        if indexed:
-            with fs.open_output_stream(path + ".leaves") as out:
-                out.write(leaves.tobytes())
-        real = leaves[~np.isnan(leaves["minx"])]
-        low = [float(real[k].min()) for k in ("minx", "miny")] if len(real) else [None, None]
-        high = [float(real[k].max()) for k in ("maxx", "maxy")] if len(real) else [None, None]
-        yield _segment_row(name, n, at, min(kinds, default=None), max(kinds, default=None), z, m, *low, *high)
-
-    return ordered.mapInArrow(run, _SEGMENT)
-
-
-def _segment_row(name: str, n: int, size: int, *rest) -> pa.RecordBatch:
-    row = (TaskContext.get().partitionId(), name, n, size, *(rest or (None,) * 8))
-    types = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), *(pa.float64(),) * 4)
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[c.split()[0] for c in _SEGMENT.split(", ")])
+        yield segments.as_batch(segments.encode_vertices(batches, columns, folder, indexed))
+
+    return ordered.mapInArrow(run, segments.SCHEMA)
 
 
 def _edge_segments(ordered: DataFrame, columns: list, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = _stage(folder, "edges")
-        fs, path = _fs(name)
-        n = size = 0
-        with fs.open_output_stream(path) as out:
-            for batch in batches:
-                cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-                for source, target, *values in zip(*cols):
-                    record = codec.encode_edge(source, target, codec.encode_properties(values, columns))
-                    out.write(record)
-                    size += len(record)
-                    n += 1
-        yield _segment_row(name, n, size)
-
-    return ordered.mapInArrow(run, _SEGMENT)
+        yield segments.as_batch(segments.encode_edges(batches, columns, folder))
+
+    return ordered.mapInArrow(run, segments.SCHEMA)
 
 
 def hilbert_key(x: Column, y: Column, envelope: tuple[float, float, float, float]) -> Column:
@@ -242,66 +184,25 @@ def write_graph(
     else:
         ordered = rows.repartitionByRange("_id").sortWithinPartitions("_id")
     ordered = materialize(ordered)  # its partitions stay as they are: positions depend on them
-    fs, target = _fs(path)
-    folder = f"{path}.parts-{uuid.uuid4().hex}"
-    fs.create_dir(_fs(folder)[1], recursive=True)
+    folder = segments.staging_folder(path)
     try:
-        segments = sorted(_vertex_segments(ordered.drop("_id"), columns, folder, bool(index_node_size)).collect(), key=lambda r: r.part)
-        n = sum(s.n_rows for s in segments)
-        if n >= _MAX:
-            raise codec.ContainerError("Too many vertices for one container")
-        if n == 0 and not allow_empty:
-            raise codec.ContainerError("Could not infer geometry type: there are no vertices")
-        full = [s for s in segments if s.n_rows]
-        low, high = min((s.type_low for s in full), default=0), max((s.type_high for s in full), default=0)
-        bounded = [s for s in full if s.minx is not None]
-        envelope = [min(s.minx for s in bounded), min(s.miny for s in bounded), max(s.maxx for s in bounded), max(s.maxy for s in bounded)] if bounded else None
-        head = replace(meta or Meta(), features_count=n, geometry_type=low if low == high else 0, index_node_size=index_node_size if n else 0, columns=columns, envelope=envelope)
-        head.name = head.name or DEFAULT_NAME
+        written = _vertex_segments(ordered.drop("_id"), columns, folder, bool(index_node_size)).collect()  # a row per task
+        n = sum(s.n_rows for s in written)
+        graph, edge_segments = (None, []) if edges is None else _write_edges(edges, ordered, written, n, folder)
+        head = replace(meta) if meta else Meta()
         if crs_code:
             head.crs = {**(head.crs or {}), "code": crs_code}
-        graph, edge_segments = None, []
-        if edges is not None:
-            graph, edge_segments = _write_edges(edges, ordered, segments, n, folder)
-        with fs.open_output_stream(target + ".tmp") as out:
-            out.write(codec.MAGIC + codec.encode_header(head))
-            if head.index_node_size:
-                out.write(rtree.build(_leaves(segments), index_node_size).tobytes())
-            for s in segments:
-                _append(s.file, out)
-            if graph is not None:
-                out.write(codec.encode_graph_header(graph))
-                for s in edge_segments:
-                    _append(s.file, out)
-        fs.move(target + ".tmp", target)
+        segments.assemble(path, written, columns, head, index_node_size, allow_empty, graph, edge_segments)
         return graph
     finally:
-        fs.delete_dir(_fs(folder)[1])
-
-
-def _leaves(segments: list) -> np.ndarray:
-    parts, at = [], 0
-    for s in segments:
-        fs, path = _fs(s.file + ".leaves")
-        with fs.open_input_file(path) as f:
-            part = np.frombuffer(f.read(), rtree.NODE).copy()
-        part["offset"] += at
-        parts.append(part)
-        at += s.n_bytes
-    return np.concatenate(parts)
-
-
-def _append(segment: str, out) -> None:
-    fs, path = _fs(segment)
-    with fs.open_input_stream(path) as f:
-        while block := f.read(8 << 20):
-            out.write(block)
+        fs, inner = segments.filesystem(folder)
+        fs.delete_dir(inner)
 
 
-def _write_edges(edges: DataFrame, ordered: DataFrame, segments: list, n: int, folder: str) -> tuple[GraphMeta, list]:
+def _write_edges(edges: DataFrame, ordered: DataFrame, written: list, n: int, folder: str) -> tuple[GraphMeta, list]:
     columns, attributes = _wire(edges, [f for f in edges.schema.fields if f.name not in ("eid", "src", "dst")])
     first, starts = 0, []
-    by_part = {s.part: s.n_rows for s in segments}
+    by_part = {s.part: s.n_rows for s in written}
     for p in range(max(by_part, default=-1) + 1):
         starts.append(first)
         first += by_part.get(p, 0)
