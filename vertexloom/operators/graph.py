@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vertexloom.common import salted_join
+from vertexloom.common import materialize, salted_join
 from vertexloom.types import GEOMETRY_TYPES
 
 
@@ -59,6 +59,7 @@ def common_type(types: DataFrame, column: str = "type") -> DataFrame:
 def renumber(rows: DataFrame, order: str) -> DataFrame:
     """Adds ``row_id`` 0, 1, … in the order of a unique column. Each row gets its place from a range partition and the sizes of those before, without one task seeing all rows."""
     placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
+    placed = materialize(placed)  # ranges are sampled: both uses below must see the same
     placed = placed.withColumn("_part", F.shiftright("_m", 33)).withColumn("_at", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")

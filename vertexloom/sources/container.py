@@ -5,7 +5,7 @@ lengths only; tasks read byte ranges and give Arrow batches. Options:
 
 - ``minx miny maxx maxy``: only vertices whose bounding box meets the rectangle. With an index only matching records are fetched; the exact test on the box is always made.
 - ``columns``: comma-separated attributes to decode (a schema given to the reader does the same); geometry is not decoded if neither ``geom`` nor ``bbox`` is wanted.
-- ``splitRecords``: records per task (default 100000); ``requestGap``: bytes between records that are rather read than skipped (default 262144, not negative).
+- ``splitRecords``: records per task (default 20000); ``requestGap``: bytes between records that are rather read than skipped (default 262144, not negative).
 - ``pushdown``: with Spark's Python filter pushdown switched on, comparisons on ``bbox`` narrow the rectangle.
 - ``header.<name>``, ``nocache``: for HTTP.
 """
@@ -27,7 +27,7 @@ from vertexloom.sources.bytes import Walker, list_containers, open_bytes
 from vertexloom.types import BBOX_TYPE, GEOMETRY_TYPE, Column, Meta, column_for
 
 FORMAT = "geocontainer"
-SPLIT_RECORDS = 100_000
+SPLIT_RECORDS = 20_000
 REQUEST_GAP = 262_144
 _FIRST_READ = 2024 + rtree.NODE.itemsize * (1 + 16 + 256)  # a header and three levels of an index
 
