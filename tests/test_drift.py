@@ -1,9 +1,12 @@
 import json
+import os
 from datetime import datetime as D
 
 import pytest
 
 from vertexloom.operators import drift
+from vertexloom.operators.shred import parse, unwrap
+from vertexloom.plans import problems
 
 COL = "array<struct<name:string,type:tinyint,title:string,description:string>>"
 
@@ -73,3 +76,26 @@ def test_consistent_table(spark):
     h, g, e = tables(spark, lists, props=props)
     rows = sorted((r.eid, r.w, r.r, r.kg) for r in drift.consistent_edges(e.union(e), h, g, ["w", "r", "kg"]).collect())
     assert rows == [(0, "3.0", "a", None), (1, "2.5", None, None), (2, "10.0", None, None), (3, None, None, None), (4, None, None, "x"), (5, "7", None, None), (6, None, None, None), (7, "4.0", None, None)]
+
+
+def test_consistent_table_keeps_every_value(spark):
+    lists = [(1, "d", 1, [c("grade", 5, "G"), c("eid"), c("old", 5, "O")]), (2, "d", 2, [c("steep", 5, "G"), c("eid"), c("new", 5, "O")]), (3, "e", 1, [c("Grade")])]
+    props = [(1, '{"grade": 3, "eid": "own"}'), (2, '{"steep": 4, "extra": {"a": 1}, "none": null}'), (2, '{"steep": "x", "grade": 7, "old": 1, "new": 2}'), (3, '{"Grade": "g"}'), (1, '{"grade": 1, "grade": 2}')]
+    h, g, e = tables(spark, lists, props=props)
+    out = drift.consistent_edges(e.union(e), h, g)
+    assert out.columns[6:] == ["Grade", "eid_", "grade_", "old", "other"]
+    assert sorted((r.eid, r.Grade, r.eid_, r.grade_, r.old, r.other) for r in out.collect()) == [
+        (0, None, "own", "3", None, None), (1, None, None, "4", None, {"extra": '{"a":1}'}), (2, None, None, "7", "2", {"steep": "x", "old": "1"}), (3, "g", None, None, None, None), (4, None, None, "2", None, None),
+    ]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no data")
+def test_consistent_table_of_the_test_tables_loses_nothing(spark):
+    d = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{d}/edges.parquet").where("eid IS NOT NULL").select("eid", "properties").collect():
+        value = unwrap(parse(r.properties)[1])
+        want[r.eid] = sum(v is not None for v in value.values()) if isinstance(value, dict) else 0
+    rows = problems.p5_table(spark, d).collect()
+    got = {r.eid: sum(v is not None for v in r[6:-1]) + len(r.other or {}) for r in rows}
+    assert got == want and len(rows) == len(got) and sum(len(r.other or {}) for r in rows) < sum(got.values()) / 2

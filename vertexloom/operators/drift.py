@@ -253,25 +253,59 @@ def alias_table(catalogue: DataFrame, changes: DataFrame, section: str = "edge")
     return typed.select(*keys, "column_name", "canonical").join(kinds.select(*keys, "canonical", wide.alias("type")), [*keys, "canonical"]).select(*keys, "column_name", "canonical", "type")
 
 
-def consistent_edges(edges: DataFrame, file_header: DataFrame, graph_header: DataFrame, columns: list[str]) -> DataFrame:
-    """All edges as one table: (eid, file_id, dataset_id, src, dst, recorded_at) and the given canonical columns as text, once per ``eid``.
-
-    Each property is joined with its data set's alias table; a value that can't be cast to the field's type is null, of several values of one field the largest
-    text is kept. Edges of unknown files keep their own names; rows with a null ``eid`` are left out. The pivot to columns and the removal of repeated rows are one aggregation.
+def consistent_edges(edges: DataFrame, file_header: DataFrame, graph_header: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """All edges as one table: (eid, file_id, dataset_id, src, dst, recorded_at), the canonical columns as text and the map ``other``, once per ``eid``.
+
+    Without ``columns`` these are all canonical names of the alias table: the driver gets one row per name. Every property goes through its data set's aliases, whatever
+    columns are asked for; edges of unknown files and keys that no list of the data set holds keep their own names. Of several values of one field the largest text that can be
+    cast to the field's type is kept. All that has no place in a column (keys without one, values that can't be cast, further values of a field) is in ``other`` as it was, under its own
+    key; null there if nothing is left over. JSON nulls are no values; of a key repeated in one object the last counts. A column named like a fixed one, or like another but for case, gets
+    trailing underscores. Rows with a null ``eid`` are left out; of repeated rows one is taken (they are equal), one with properties before one without.
     """
     catalogue = materialize(lifespans(versions(column_lists(file_header, graph_header))))
-    aliases = alias_table(catalogue, declared_changes(catalogue)).where(F.col("canonical").isin(columns))
-    producers = file_header.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min("dataset_id").alias("dataset_id"))
+    aliases = alias_table(catalogue, declared_changes(catalogue))
+    if columns is None:
+        aliases = materialize(aliases)
+        columns = sorted(r.canonical for r in aliases.select("canonical").distinct().collect())
+    # The names of one producer meet in one row, as in the alias table.
+    maps = aliases.groupBy("dataset_id").agg(F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("canonical", "type").alias("to")))).alias("_aliases"))
+    producers = file_header.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min("dataset_id").alias("dataset_id")).join(maps, "dataset_id", "left")
+    own = ["file_id", "src", "dst", "recorded_at"]
+    row = F.struct(F.col("properties").isNull().alias("_none"), "properties", *own)
+    once = edges.where(F.col("eid").isNotNull()).groupBy("eid").agg(F.min(row).alias("r")).select("eid", "r.*").drop("_none").join(producers, "file_id", "left")
     # A string that holds the object stands for it: reading it as a member unwraps it.
     text = F.get_json_object(F.concat(F.lit('{"x":'), F.col("properties"), F.lit("}")), "$.x")
     fixed = ["file_id", "dataset_id", "src", "dst", "recorded_at"]
-    rows = edges.where(F.col("eid").isNotNull()).join(producers, "file_id", "left").select("eid", *fixed, text.alias("text"))
-    values = rows.select("eid", *fixed, F.explode_outer(F.from_json("text", "map<string,string>")).alias("column_name", "value"))
-    named = values.join(aliases.select("dataset_id", "column_name", "canonical", "type"), ["dataset_id", "column_name"], "left")
-    named = named.withColumn("canonical", F.coalesce("canonical", "column_name"))
-    picks = [F.max(F.when((F.col("canonical") == c) & F.col("value").isNotNull(), F.struct("value", "type"))).alias(f"_{c}") for c in columns]
-    once = named.groupBy("eid").agg(*(F.min(c).alias(c) for c in fixed), *picks)
-    return once.select("eid", *fixed, *(_cast(F.col(f"_{c}.value"), F.col(f"_{c}.type")).alias(c) for c in columns))
+    parsed = once.select("eid", *fixed, "_aliases", F.from_json(text, "map<string,string>").alias("_map"))
+    keys = F.reverse(F.map_keys("_map"))
+    last = F.filter(F.reverse(F.map_entries("_map")), lambda e, i: e["value"].isNotNull() & (F.array_position(keys, e["key"]) == i + 1))
+
+    def place(e: Column) -> Column:
+        to = F.try_element_at(F.col("_aliases"), e["key"])
+        return F.struct(F.coalesce(to["canonical"], e["key"]).alias("name"), _cast(e["value"], to["type"]).alias("fit"), e["key"].alias("key"), e["value"].alias("value"))
+
+    # In the order of names and, within one, of cast values (null first): the last of a name is the one to keep.
+    placed = parsed.select("eid", *fixed, F.array_sort(F.transform(last, place)).alias("_placed"))
+    kept = lambda x, i: x["fit"].isNotNull() & ~F.get(F.col("_placed"), i + 1)["name"].eqNullSafe(x["name"]) & x["name"].isin(columns)
+    entry = lambda k, v: lambda x: F.struct(x[k].alias("key"), x[v].alias("value"))
+    split = placed.select(
+        "eid", *fixed,
+        F.map_from_entries(F.transform(F.filter("_placed", kept), entry("name", "fit"))).alias("_kept"),
+        F.map_from_entries(F.transform(F.filter("_placed", lambda x, i: ~kept(x, i)), entry("key", "value"))).alias("_rest"),
+    )
+    names = _distinct_names(columns, ["eid", *fixed, "other"])
+    return split.select("eid", *fixed, *(F.try_element_at("_kept", F.lit(c)).alias(n) for c, n in zip(columns, names)), F.when(F.size("_rest") > 0, F.col("_rest")).alias("other"))
+
+
+def _distinct_names(names: list[str], taken: list[str]) -> list[str]:
+    """The names, with trailing underscores where one is taken already, case ignored."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _cast(value: Column, code: Column) -> Column:

@@ -97,12 +97,9 @@ def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:
     ).withColumns({c: F.col(c).cast("bigint") for c in ("first_version", "last_version")})
 
 
-CANONICAL = ["weight", "distance_m", "lanes", "one_way", "road_name", "relation", "since", "status"]
-
-
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """The edges as one table under their oldest column names."""
-    return drift.consistent_edges(table(spark, d, "edges"), table(spark, d, "file_header"), table(spark, d, "graph_header"), CANONICAL)
+    """The edges as one table under their oldest column names, all that no column takes in the map ``other``."""
+    return drift.consistent_edges(table(spark, d, "edges"), table(spark, d, "file_header"), table(spark, d, "graph_header"))
 
 
 QUERIES = {
