@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vertexloom.functions import geometry as G
+from vertexloom.plans import graph_queries
 from vertexloom.sources import codec, graphs, rtree
 from vertexloom.sources.flat import Reader
 from vertexloom.types import COLUMN_TYPES, GEOMETRY, Column, GraphMeta, Meta, Rect, column_for
@@ -287,3 +288,33 @@ SHAPES = [
 def test_geojson_round_trip(shape):
     g, _ = codec.decode_feature(codec.encode_feature(G.from_geojson_object(shape), b""), 0)
     assert G.to_geojson_object(g) == shape
+
+
+def test_a_hot_end_is_spread_when_a_graph_is_written(spark, tmp_path, monkeypatch):
+    salted, keys = graphs.salted_join, []
+
+    def watched(left, right, key, *args, **kw):
+        out = salted(left, right, key, *args, **kw)
+        keys.append((key, "_salt" in out._jdf.queryExecution().analyzed().toString()))
+        return out
+
+    monkeypatch.setattr(graphs, "salted_join", watched)
+    point = F.from_json(F.lit('{"type":1,"xy":[1.0,2.0]}'), GEOMETRY)
+    vertices = spark.range(50).select((F.col("id") * 3).alias("fid"), point.alias("geom"))
+    edges = spark.range(400).select("id", F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 48 * 3 + 3).alias("src"), F.when(F.col("id") < 200, F.col("id") % 48 * 3 + 3).otherwise(0).cast("bigint").alias("dst"))
+    path = str(tmp_path / "hot.bin")
+    graphs.write_graph(vertices, edges.withColumnRenamed("id", "eid").withColumn("n", F.col("eid")), path)
+    assert keys == [("_src", True), ("_dst", True)]
+    got = sorted((r.n, r.src, r.dst) for r in graphs.read_edges(spark, path).collect())
+    assert got == sorted((r.id, r.src // 3, r.dst // 3) for r in edges.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no data")
+def test_the_whole_graph_holds_edges_of_stations(spark):
+    d = "/root/testdata/sf0.001"
+    read = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    fids = {r.fid for name in ("vertices", "stations") for r in read(name).select("fid").collect()} - {None}
+    ends = {r.eid: (r.src, r.dst) for r in read("edges").where("eid IS NOT NULL").collect()}
+    want = {eid for eid, (a, b) in ends.items() if a != b and a in fids and b in fids}
+    assert {r.eid for r in graph_queries.whole_edges(spark, d).collect()} == want > {r.eid for r in graph_queries.graph_edges(spark, d).collect()}
+    assert sorted(r.fid for r in graph_queries.whole_vertices(spark, d).collect()) == sorted(fids)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vertexloom import streaming
-from vertexloom.common import shared_folder, table
+from vertexloom.common import salted_join, shared_folder, table
 from vertexloom.functions import geometry as G
 from vertexloom.functions import projection as P
 from vertexloom.functions.properties import build_properties, parse_properties
@@ -47,6 +47,11 @@ _E = """E AS (
   SELECT row_number() OVER (ORDER BY e.eid) - 1 AS eid, a.fid AS src, b.fid AS dst, e.properties, e.recorded_at
   FROM (SELECT DISTINCT ON (eid) * FROM edges WHERE eid IS NOT NULL ORDER BY eid) e JOIN V a ON a.id = e.src JOIN V b ON b.id = e.dst WHERE e.src <> e.dst
 )"""
+# The whole graph: stations are vertices shared by all files
+_WHOLE = _V.replace(
+    "* FROM vertices WHERE fid IS NOT NULL ORDER BY fid",
+    "* FROM (SELECT fid, name, kind, capacity, recorded_at, geom, 0 AS shared FROM vertices UNION ALL SELECT fid, name, NULL, capacity, NULL, geom, 1 FROM stations) WHERE fid IS NOT NULL ORDER BY fid, shared",
+)
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f')"
 _made: dict[tuple, str] = {}
 
@@ -64,12 +69,32 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges.join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi").select("eid", "src", "dst", "properties", "recorded_at")
 
 
-def container(spark: SparkSession, d: str, node_size: int = 0) -> str:
-    """The path of the graph's container, written once per session and directory."""
-    key = (spark.sparkContext.applicationId, d, node_size)
+def whole_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices and stations, once per ``fid`` (a vertex before a station); stations have no kind and no time of recording."""
+    columns = ["name", "kind", "capacity", "recorded_at", "geom"]
+    vertices = table(spark, d, "vertices").select("fid", *columns, F.lit(0).alias("_shared"))
+    stations = table(spark, d, "stations").select("fid", "name", "capacity", "geom", F.lit(1).alias("_shared"))
+    both = vertices.unionByName(stations, allowMissingColumns=True).where(F.col("fid").isNotNull())
+    return both.groupBy("fid").agg(F.min_by(F.struct(*columns), "_shared").alias("r")).select("fid", "r.*")
+
+
+def whole_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between two different existing vertices or stations, once per ``eid`` (the format has no self-loops); hot ends are salted."""
+    known = table(spark, d, "vertices").select("fid").union(table(spark, d, "stations").select("fid")).where(F.col("fid").isNotNull()).distinct()
+    rows = table(spark, d, "edges").where(F.col("eid").isNotNull() & (F.col("src") != F.col("dst")))
+    edges = rows.groupBy("eid").agg(*(F.min(c).alias(c) for c in ("src", "dst", "properties", "recorded_at")))
+    for end in ("src", "dst"):
+        edges = salted_join(edges, known.toDF(end), end, F.col("eid"), "left_semi", counted=rows)
+    return edges.select("eid", "src", "dst", "properties", "recorded_at")
+
+
+def container(spark: SparkSession, d: str, node_size: int = 0, whole: bool = False) -> str:
+    """The path of the container of the graph (or, ``whole``, of the graph with stations), written once per session and directory."""
+    key = (spark.sparkContext.applicationId, d, node_size, whole)
     if key not in _made:
         path = f"{shared_folder(spark).rstrip('/')}/graph-{uuid.uuid4().hex}.bin"
-        graphs.write_graph(graph_vertices(spark, d), graph_edges(spark, d), path, 4326, node_size)
+        vertices, edges = (whole_vertices, whole_edges) if whole else (graph_vertices, graph_edges)
+        graphs.write_graph(vertices(spark, d), edges(spark, d), path, 4326, node_size)
         _made[key] = path
     return _made[key]
 
@@ -88,6 +113,17 @@ def edge_scan(spark, d):
     return graphs.read_edges(spark, container(spark, d))
 
 
+@query(f"WITH {_WHOLE} SELECT fid, name, kind, capacity, {_ISO.format('recorded_at')} AS recorded_at, minx, miny, maxx, maxy FROM B")
+def whole_vertex_scan(spark, d):
+    return graphs.read_vertices(spark, container(spark, d, whole=True)).select("fid", "name", "kind", "capacity", "recorded_at", "bbox.*")
+
+
+@query(f"WITH {_WHOLE}, {_E} SELECT eid, src, dst, properties, {_ISO.format('recorded_at')} AS recorded_at FROM E")
+def whole_edge_scan(spark, d):
+    """All edges between two existing ends, stations included."""
+    return graphs.read_edges(spark, container(spark, d, whole=True))
+
+
 @query(f"WITH {_V} SELECT fid, CAST(coalesce(geom.type, -1) AS BIGINT) AS type, len(geom.xy) AS n_xy, len(geom.z) AS n_z, len(geom.ends) AS n_ends, len(geom.parts) AS n_parts, round(list_sum(list_filter(xy, lambda v: NOT isnan(v))), 8) AS total FROM V")
 def geometry_roundtrip(spark, d):
     """Shapes survive the container: sizes of the arrays and the sum of coordinates. Absent and empty arrays are told apart where the format does."""
@@ -205,11 +241,24 @@ def columns_meta(spark, d):
 @query(f"WITH {_V}, {_E} SELECT (SELECT count(*) FROM V) + (SELECT count(*) FROM E) AS n_items")
 def item_totals(spark, d):
     """Vertices and edges together, from the headers alone."""
-    path = container(spark, d)
+    return _items(spark, container(spark, d))
+
+
+def _items(spark: SparkSession, path: str) -> DataFrame:
     v = graphs.read_section(spark, path, "header").select("file", "features_count")
     return v.join(graphs.read_section(spark, path, "graph_header"), "file").select((F.col("features_count") + F.col("edge_count")).alias("n_items"))
 
 
+@query(f"WITH {_WHOLE}, {_E} SELECT (SELECT count(*) FROM V) + (SELECT count(*) FROM E) AS n_items")
+def whole_item_totals(spark, d):
+    return _items(spark, container(spark, d, whole=True))
+
+
+@query(f"WITH {_WHOLE}, {_E} SELECT count(*) AS edge_count, CAST(2 AS BIGINT) AS n_columns FROM E")
+def whole_graph_meta(spark, d):
+    return graphs.read_section(spark, container(spark, d, whole=True), "graph_header").select("edge_count", F.size("edge_columns").cast("bigint").alias("n_columns"))
+
+
 # ---- boxes ----------------------------------------------------------------------------------------------------------------------------------------
 
 WINDOW = Rect(-125.0, -35.0, 60.0, 48.0)
@@ -642,7 +691,10 @@ def limit_scan(spark, d):
 @query(f"WITH {_V}, {_E} SELECT 2 * (SELECT count(*) FROM V) AS n_vertices, 2 * (SELECT count(*) FROM E) AS n_edges, (SELECT CAST(sum(src) * 2 + count(*) * (SELECT count(*) FROM V) AS BIGINT) FROM E) AS src_total")
 def graph_union(spark, d):
     """A graph put behind itself: ids move, edges follow."""
-    g = graphs.read_graph(spark, container(spark, d))
+    return _doubled(graphs.read_graph(spark, container(spark, d)))
+
+
+def _doubled(g: graphs.GeoGraph) -> DataFrame:
     vertices, edges = graphs.union_graphs(g, g)
     n = vertices.agg(F.count(F.lit(1)).alias("n_vertices")).withColumn("one", F.lit(1))
     return n.join(edges.agg(F.count(F.lit(1)).alias("n_edges"), F.sum("src").alias("src_total")).withColumn("one", F.lit(1)), "one").drop("one")
@@ -661,3 +713,19 @@ def graph_elements(spark, d):
     g = graphs.read_graph(spark, container(spark, d))
     return graph.cytoscape(g.vertices, g.edges).select("grp", "id", F.get_json_object("json", "$.data.source").alias("source"))
 
+
+@query(f"WITH {_WHOLE}, {_E} SELECT 2 * (SELECT count(*) FROM V) AS n_vertices, 2 * (SELECT count(*) FROM E) AS n_edges, (SELECT CAST(sum(src) * 2 + count(*) * (SELECT count(*) FROM V) AS BIGINT) FROM E) AS src_total")
+def whole_graph_union(spark, d):
+    return _doubled(graphs.read_graph(spark, container(spark, d, whole=True)))
+
+
+@query(f"WITH {_WHOLE}, {_E} SELECT eid, src, dst FROM E")
+def whole_stream_edges(spark, d):
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return streaming.drain(streaming.stream_section(spark, container(spark, d, whole=True)).select("eid", "src", "dst"), folder)
+
+
+@query(f"WITH {_WHOLE}, {_E} SELECT 'nodes' AS grp, CAST(fid AS VARCHAR) AS id, NULL AS source FROM V UNION ALL SELECT 'edges', 'e' || eid, CAST(src AS VARCHAR) FROM E")
+def whole_graph_elements(spark, d):
+    g = graphs.read_graph(spark, container(spark, d, whole=True))
+    return graph.cytoscape(g.vertices, g.edges).select("grp", "id", F.get_json_object("json", "$.data.source").alias("source"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vertexloom.common import materialize
+from vertexloom.common import materialize, salted_join
 from vertexloom.functions import projection
 from vertexloom.functions.geometry import geometry_bbox
 from vertexloom.sources import codec, rtree, segments
@@ -170,7 +170,7 @@ def write_graph(
     order, and attributes. Vertices are written in the order of their ids, or along a Hilbert curve if an index is wanted; their positions become the ids. An edge to
     an unknown vertex, or from a vertex to itself, is an error. ``edges=None`` writes no graph section, an empty table an empty one. ``meta`` gives title, description, metadata and crs.
 
-    Tasks encode segments into a folder beside the target; the driver gets a row per segment, writes the headers and appends the segments. Nothing is visible under
+    Tasks encode segments into a folder beside the target; the driver gets a row per segment, writes the headers and appends the segments. Hot ends of edges are salted. Nothing is visible under
     ``path`` before it is complete. A container holds fewer than 2 ** 32 vertices and edges; larger graphs go into a directory of containers.
     """
     columns, attributes = _wire(vertices, [f for f in vertices.schema.fields if f.name not in (id_column, "geom", "bbox")])
@@ -213,9 +213,11 @@ def _write_edges(edges: DataFrame, ordered: DataFrame, written: list, n: int, fo
     )
     order = F.col("eid") if "eid" in edges.columns else F.lit(None).cast("bigint")
     rows = edges.select(order.alias("_eid"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), *attributes)
-    a, b = positions.toDF("_src", "_from"), positions.toDF("_dst", "_to")
+    rows = materialize(rows)  # read by the counts of both ends and by the joins
     names = [x.name for x in columns]
-    placed = rows.join(a, "_src", "left").join(b, "_dst", "left").select("_eid", "_from", "_to", *(F.col(f"`{x}`") for x in names))
+    spread = F.xxhash64("_eid", "_src", "_dst", *(F.col(f"`{x}`") for x in names))
+    placed = salted_join(rows, positions.toDF("_src", "_from"), "_src", spread, "left", counted=rows)
+    placed = salted_join(placed, positions.toDF("_dst", "_to"), "_dst", spread, "left", counted=rows).select("_eid", "_from", "_to", *(F.col(f"`{x}`") for x in names))
     tie = ["_eid", "_from", "_to"]
     placed = materialize(placed.repartitionByRange(*tie).sortWithinPartitions(*tie, *(f"`{c.name}`" for c in columns)))
     bad = placed.agg(F.count_if(F.col("_from").isNull()).alias("s"), F.count_if(F.col("_to").isNull()).alias("t"), F.count_if(F.col("_from") == F.col("_to")).alias("l")).collect()[0]
