@@ -1,9 +1,11 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from vertexloom.operators import shred
+from vertexloom.plans import problems
 
 
 def paths(spark, *texts):
@@ -67,3 +69,24 @@ def test_adjacency_has_every_value(spark):
     rows = {(r.path, r.kind, r.scalar, r.ordinal) for r in adjacency.collect()}
     assert rows == {("$", "object", None, None), ("$/a", "list", None, None), ("$/a/0", "number", "1", 0), ("$/a/1", "string", "x", 1), ("$/a/2", "boolean", "true", 2), ("$/a/3", "null", None, 3)}
     assert adjacency.where(F.col("parent").isNull()).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no data")
+def test_entities_hold_every_object_and_scalar_of_both_tables(spark):
+    d = "/root/testdata/sf0.001"
+    want, labels = {}, set()
+    for name, key, text in (("edges", "eid", "properties"), ("raw_features", "raw_id", "payload")):
+        for r in spark.read.parquet(f"{d}/{name}.parquet").select(key, text).collect():
+            found = list(shred.nodes(r[1], shred.KINDS))
+            want |= {(name, r[0], x[0]): (x[2], x[7], {}) for x in found if x[5] == "object"}
+            for _, parent, _, label, ordinal, kind, scalar, *_ in found:
+                if ordinal is None and label is not None and kind in ("string", "number", "boolean"):
+                    want[name, r[0], parent][2][label] = scalar
+                    labels.add(label)
+    out = problems.p1_entities(spark, d)
+    fields = sorted(labels)
+    assert len(out.columns) == 6 + len(fields) and len({c.lower() for c in out.columns}) == len(out.columns)
+    rows = [tuple(r) for r in out.collect()]
+    got = {r[:3]: (r[3], r[4], {k: v for k, v in zip(fields, r[6:]) if v is not None}) for r in rows}
+    assert got == want and len(rows) == len(got)
+    assert {r[5] for r in rows if r[0] == "edges"} > {"$", "towers", "spans"} and {r[5] for r in rows if r[0] == "raw_features"} > {"$", "properties", "contact", "hours"}

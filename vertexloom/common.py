@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def distinct_names(names: list[str], taken: list[str]) -> list[str]:
+    """The names, with trailing underscores where one is taken already, case ignored."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
 def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
     """Keys holding at least ``min_share`` of the non-null keys of ``df``: at most ``1 / min_share`` rows (column ``key``).
 

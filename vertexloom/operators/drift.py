@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vertexloom.common import materialize
+from vertexloom.common import distinct_names, materialize
 from vertexloom.operators.shred import parse, unwrap
 
 # Column type codes and the JSON kind each allows
@@ -293,21 +293,10 @@ def consistent_edges(edges: DataFrame, file_header: DataFrame, graph_header: Dat
         F.map_from_entries(F.transform(F.filter("_placed", kept), entry("name", "fit"))).alias("_kept"),
         F.map_from_entries(F.transform(F.filter("_placed", lambda x, i: ~kept(x, i)), entry("key", "value"))).alias("_rest"),
     )
-    names = _distinct_names(columns, ["eid", *fixed, "other"])
+    names = distinct_names(columns, ["eid", *fixed, "other"])
     return split.select("eid", *fixed, *(F.try_element_at("_kept", F.lit(c)).alias(n) for c, n in zip(columns, names)), F.when(F.size("_rest") > 0, F.col("_rest")).alias("other"))
 
 
-def _distinct_names(names: list[str], taken: list[str]) -> list[str]:
-    """The names, with trailing underscores where one is taken already, case ignored."""
-    seen, out = {t.lower() for t in taken}, []
-    for name in names:
-        while name.lower() in seen:
-            name += "_"
-        seen.add(name.lower())
-        out.append(name)
-    return out
-
-
 def _cast(value: Column, code: Column) -> Column:
     """The value cast to the SQL type of the code and back to text; unknown codes leave it as it is."""
     out = value

@@ -203,6 +203,31 @@ def objects_below_root(df: DataFrame, record_table: str, id_col: str, text_col:
     return found.select("record_table", "record_id", F.col("path").alias("node_path"), "parent_path").distinct()
 
 
+def scalar_labels(df: DataFrame, text_col: str) -> DataFrame:
+    """(label): the keys under which objects at any depth hold a scalar other than null, each once. Each Arrow batch is reduced before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[str] = set()
+            for text in batch.column(0).to_pylist():
+                stack = [unwrap(parse(text)[1])]
+                while stack:
+                    value = stack.pop()
+                    if isinstance(value, dict):
+                        for k, v in value.items():
+                            v = unwrap(v)
+                            if isinstance(v, (dict, list)):
+                                stack.append(v)
+                            elif v is not None:
+                                seen.add(k)
+                    elif isinstance(value, list):
+                        stack.extend(unwrap(v) for v in value if isinstance(v, (dict, list, str)))
+            yield pa.RecordBatch.from_arrays([pa.array([_clean(k) for k in seen], pa.string())], names=["label"])
+
+    texts = df.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    return texts.mapInArrow(run, "label string").distinct()
+
+
 def entity_table(adjacency: DataFrame, label: str | None, fields: dict[str, str]) -> DataFrame:
     """Pivots one kind of object into a flat table: its scalar children become columns.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.common import materialize, table
+from vertexloom.common import distinct_names, materialize, table
 from vertexloom.operators import drift, proximity, references, shred, skew
 
 NEAR_M = 50.0
@@ -24,6 +24,20 @@ def p1_geometry_entities(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("record_id").alias("raw_id"), "node", "object_parent", "path", "entity", "type")
 
 
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every object of the edge properties and the raw features, roots included, as a row with a link to its parent and its scalars as text columns.
+
+    The columns are the labels that occur (the driver gets a row per label); one named like a fixed column, or like another but for case, has trailing underscores.
+    """
+    edges, raw = table(spark, d, "edges"), table(spark, d, "raw_features")
+    labels = shred.scalar_labels(edges, "properties").union(shred.scalar_labels(raw, "payload")).distinct()
+    fields = sorted(r.label for r in labels.collect())
+    adjacency = shred.shred(edges, "edges", "eid", "properties").unionByName(shred.shred(raw, "raw_features", "raw_id", "payload"))
+    out = shred.entity_table(adjacency, None, {x: "string" for x in fields})
+    fixed = out.columns[: len(out.columns) - len(fields)]
+    return out.toDF(*fixed, *distinct_names(fields, fixed))
+
+
 def p1_node_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Values of the edge properties by kind."""
     adjacency = shred.shred(table(spark, d, "edges").dropDuplicates(["eid"]), "edges", "eid", "properties")
@@ -104,7 +118,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_geometry_entities, p1_node_kinds, p2_found, p2_report, p3_found, p3_region_counts, p4_found, p4_key_totals, p4_kind_rollup, p5_found, p5_lifespans, p5_table)
+    for f in (p1_found, p1_entities, p1_geometry_entities, p1_node_kinds, p2_found, p2_report, p3_found, p3_region_counts, p4_found, p4_key_totals, p4_kind_rollup, p5_found, p5_lifespans, p5_table)
 }
 
 _ORPHANS = """
