@@ -457,9 +457,10 @@ def geojson_point(spark, d):
 
 @query()
 def geojson_parse(spark, d):
-    """Geometries of the raw features as structs; broken ones are null."""
-    rows = table(spark, d, "raw_features").select("raw_id", G.from_geojson(F.get_json_object("payload", "$.geometry")).alias("g"))
-    return rows.select("raw_id", F.col("g.type").cast("int").alias("type"), F.size("g.xy").alias("n_xy"), F.size("g.ends").alias("n_ends"), F.size("g.parts").alias("n_parts"))
+    """Geometries of the raw features as structs, a row per feature; null where there is none or it is broken, as ``state`` says."""
+    rows = geojson.payload_geometries(table(spark, d, "raw_features"), "raw_id", "payload")
+    sizes = (F.size(f"geom.{c}").alias(f"n_{c}") for c in ("xy", "ends", "parts"))
+    return rows.select(F.col("id").alias("raw_id"), "position", "state", F.col("geom.type").cast("int").alias("type"), *sizes)
 
 
 @query("SELECT fid, count(*) AS n_rows FROM vertices WHERE geom IS NOT NULL GROUP BY fid")

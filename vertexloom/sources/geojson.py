@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vertexloom.functions.geometry import from_geojson, to_geojson
-from vertexloom.types import COLUMN_TYPES
+from vertexloom.functions.geometry import _arrow_geometry, from_geojson, from_geojson_object, to_geojson
+from vertexloom.operators.shred import parse, unwrap
+from vertexloom.sources.codec import flat_parts
+from vertexloom.types import COLUMN_TYPES, GEOMETRY, GEOMETRY_TYPES
 
 _FEATURE = "struct<type:string,geometry:string,properties:map<string,string>>"
 
@@ -27,6 +31,86 @@ def features_of(texts: DataFrame) -> DataFrame:
     return each.select("file", F.col("position").cast("bigint").alias("position"), F.get_json_object("raw", "$.geometry").alias("geometry"), "raw")
 
 
+_BROKEN = (ValueError, KeyError, TypeError, IndexError, AttributeError, RecursionError)
+
+
+def _geometry(value) -> tuple[dict | None, str]:
+    """(geometry struct with parts on one level, state) of a parsed GeoJSON geometry. A null in a collection is nothing, one object in place of its list is its one member."""
+    g = unwrap(value)
+    if not isinstance(g, dict):
+        return None, "broken"
+    if g.get("type") != "GeometryCollection":
+        try:
+            return flat_parts(from_geojson_object({**g, "coordinates": unwrap(g["coordinates"])})), "geometry"
+        except _BROKEN:
+            return None, "broken"
+    parts: list = []
+    broken = False
+    todo: list = [g]
+    while todo:
+        x = unwrap(todo.pop())
+        if isinstance(x, dict) and x.get("type") == "GeometryCollection":
+            members = unwrap(x.get("geometries"))
+            if isinstance(members, (list, dict)):
+                todo.extend(reversed(members) if isinstance(members, list) else [members])
+            else:
+                broken = True
+        elif x is not None:
+            p, state = _geometry(x)
+            broken = broken or p is None
+            if p is not None:
+                parts += [p] if p["parts"] is None else p["parts"]
+    if broken and not parts:
+        return None, "broken"
+    return {"type": GEOMETRY_TYPES["GeometryCollection"], "xy": None, "z": None, "m": None, "ends": None, "parts": parts}, "partial" if broken else "geometry"
+
+
+def geometries_of(text: str | None) -> Iterator[tuple[int, dict | None, str]]:
+    """(position, geometry struct, state) of each feature in a GeoJSON text of any wrapping; see ``payload_geometries``."""
+    todo, n = [unwrap(parse(text)[1])], 0
+    while todo:
+        value = unwrap(todo.pop())
+        if isinstance(value, dict) and isinstance(members := unwrap(value.get("features")), (list, dict)):
+            value = members if isinstance(members, list) else [members]
+        if isinstance(value, list) and value:
+            todo.extend(reversed(value))
+            continue
+        g, state = None, "broken"
+        if isinstance(value, list) or isinstance(value, dict) and (value.get("type") == "Feature" or "geometry" in value) and value.get("geometry") is None:
+            state = "none"
+        elif isinstance(value, dict):
+            g, state = _geometry(value.get("geometry", value))
+        yield n, g, state
+        n += 1
+
+
+def payload_geometries(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, position, geom, state): a row per feature of GeoJSON texts, at least one per text.
+
+    A text is a feature, a collection or list of features, or a bare geometry; a string whose content is an object or list stands for it, at any place. ``state`` is
+    geometry, partial (broken members of a geometry collection are left out, the others are there), none (a feature without geometry, an empty collection) or broken (null or unparsable
+    text, no GeoJSON, a geometry that isn't one or has no sound member); ``geom`` is null for the last two.
+    """
+    schema = pa.schema([("id", pa.int64()), ("position", pa.int32()), ("geom", _arrow_geometry()), ("state", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out += [(rid, *x) for x in geometries_of(text)]
+                if len(out) > 10_000:
+                    yield _rows(out, schema)
+                    out = []
+            yield _rows(out, schema)
+
+    return rows.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, f"id bigint, position int, geom {GEOMETRY}, state string")
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
 def _code(kind: str) -> int:
     """Column type of a JSON value by its kind: boolean, number, text or null, anything else as Json."""
     return COLUMN_TYPES[{"BOOLEAN": "Bool", "STRING": "String", "VOID": "String", "BIGINT": "Double", "DOUBLE": "Double"}.get(kind, "Double" if kind.startswith("DECIMAL") else "Json")]
