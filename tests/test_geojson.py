@@ -3,10 +3,12 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from vertexloom.functions import geometry as G
 from vertexloom.plans import graph_queries
 from vertexloom.sources import geojson
-from vertexloom.types import GEOMETRY_TYPES
+from vertexloom.types import GEOMETRY, GEOMETRY_TYPES
 
 DATA = "/root/testdata/sf0.001"
 POINT, LINE = {"type": "Point", "coordinates": [1, 2]}, {"type": "LineString", "coordinates": [[1, 2], [3, 4]]}
@@ -56,3 +58,27 @@ def test_members_of_dirty_collections(spark):
     texts = [hull([POINT, None, LINE]), hull(POINT), hull([POINT, {"type": "Polygon", "coordinates": None}]), hull(None), hull([])]
     got = [next(geojson.geometries_of(t)) for t in texts]
     assert [(g and len(g["parts"]), s) for _, g, s in got] == [(2, "geometry"), (1, "geometry"), (1, "partial"), (None, "broken"), (0, "geometry")]
+
+
+def test_same_shape_sees_every_difference(spark):
+    square = "{'type': 3, 'xy': [0.0, 0.0, 1.0, 0.0], 'ends': [1, 2]}"
+    shapes = ["{'type': 2, 'xy': [1.0, 2.0, 3.0, 4.0]}", "{'type': 2, 'xy': [3.0, 4.0, 1.0, 2.0]}", "{'type': 2, 'xy': [1.0, 2.0, 3.0, 4.0], 'z': ['NaN', 5.0]}", square, square.replace("[1, 2]", "[2, 2]")]
+    shapes += [f"{{'type': 6, 'parts': [{p}]}}" for p in (square, square + "," + square, square.replace("1.0", "2.0"), "")]
+    rows = spark.createDataFrame([(i, s.replace("'", '"')) for i, s in enumerate(shapes)], "i int, t string").select("i", F.from_json("t", GEOMETRY).alias("g"))
+    both = rows.toDF("i", "a").crossJoin(rows.toDF("j", "b"))
+    assert sorted(tuple(r) for r in both.where(G.same_shape(F.col("a"), F.col("b"))).select("i", "j").collect()) == [(i, i) for i in range(len(shapes))]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
+def test_the_round_trip_counts_no_changed_geometry(spark, monkeypatch):
+    whole, real = graph_queries.geojson_roundtrip(spark, DATA), G.from_geojson
+    kinds = spark.read.parquet(f"{DATA}/vertices.parquet").where("geom IS NOT NULL AND NOT coalesce(size(geom.xy) > 2, false) AND NOT coalesce(size(geom.parts) > 1, false)").count()
+    total = whole.agg(F.sum("n_rows").alias("n")).collect()[0].n
+
+    def reversed_(text):
+        g = real(text)
+        return g.withField("xy", F.reverse(g["xy"])).withField("parts", F.slice(g["parts"], 1, 1))
+
+    monkeypatch.setattr(G, "from_geojson", reversed_)
+    changed = graph_queries.geojson_roundtrip(spark, DATA).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).collect()[0].n
+    assert changed <= kinds < total

@@ -194,6 +194,13 @@ def to_geojson(geom: Column) -> Column:
     return write(geom)
 
 
+def same_shape(a: Column, b: Column) -> Column:
+    """Both geometries have the same type, xy, z, ends and parts; NaN equals NaN, null only null. Measures (m), which GeoJSON has no place for, aren't compared."""
+    flat = lambda g: [g[c].alias(c) for c in ("type", "xy", "z", "ends")]
+    whole = lambda g: F.struct(*flat(g), F.transform(g["parts"], lambda p: F.struct(*flat(p))).alias("parts"))
+    return whole(a).eqNullSafe(whole(b))
+
+
 def _arrow_geometry() -> pa.DataType:
     flat = [("type", pa.int8()), ("xy", pa.list_(pa.float64())), ("z", pa.list_(pa.float64())), ("m", pa.list_(pa.float64())), ("ends", pa.list_(pa.int32()))]
     return pa.struct([*flat, ("parts", pa.list_(pa.struct(flat)))])

@@ -467,8 +467,7 @@ def geojson_parse(spark, d):
 def geojson_roundtrip(spark, d):
     """Geometries to GeoJSON and back; rows whose coordinates come back unchanged."""
     rows = table(spark, d, "vertices").where("geom IS NOT NULL").withColumn("back", G.from_geojson(G.to_geojson(F.col("geom"))))
-    same = F.coalesce(F.size("back.xy"), F.lit(0)) == F.coalesce(F.size("geom.xy"), F.lit(0))
-    return rows.where(same).groupBy("fid").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.where(G.same_shape(F.col("geom"), F.col("back"))).groupBy("fid").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("SELECT fid, name, CAST(coalesce(geom.type, -1) AS INTEGER) AS type FROM (SELECT DISTINCT ON (fid) * FROM stations ORDER BY fid)")
