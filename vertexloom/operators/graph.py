@@ -36,10 +36,11 @@ def reverse_pairs(edges: DataFrame, how: str) -> DataFrame:
 
 
 def two_step_walks(edges: DataFrame) -> DataFrame:
-    """(fid, n_walks): walks of two edges from each vertex. Targets become out-degrees first, so no walk is ever listed."""
+    """(fid, n_walks): walks of two edges from each vertex. Targets become out-degrees first, so no walk is ever listed; hot targets are salted. Edges with a null end are no steps."""
+    edges = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     onward = degrees(edges, "src", "out_degree")
-    steps = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    joined = steps.join(onward.select(F.col("fid").alias("dst"), "out_degree"), "dst")
+    steps = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    joined = salted_join(steps, onward.select(F.col("fid").alias("dst"), "out_degree"), "dst", F.col("src"))
     return joined.groupBy(F.col("src").alias("fid")).agg(F.sum(F.col("n") * F.col("out_degree")).alias("n_walks"))
 
 

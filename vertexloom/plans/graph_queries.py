@@ -671,6 +671,30 @@ def hop2_neighbors(spark, d):
     return graph.two_step_walks(_folded(spark, d))
 
 
+_LINKS = "links AS (SELECT DISTINCT eid, src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL), pairs AS (SELECT DISTINCT src, dst FROM links)"
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """The ends of the edge table, once per ``eid``, edges with a null end left out. A tenth of them share a source."""
+    return table(spark, d, "edges").where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("eid", "src", "dst").distinct()
+
+
+@query(f"WITH {_LINKS} SELECT a.src, a.dst FROM pairs a JOIN pairs b ON a.src = b.dst AND a.dst = b.src")
+def edge_bidirectional_pairs(spark, d):
+    return graph.reverse_pairs(_links(spark, d), "left_semi")
+
+
+@query(f"WITH {_LINKS} SELECT a.src, a.dst FROM pairs a LEFT JOIN pairs b ON a.src = b.dst AND a.dst = b.src WHERE b.src IS NULL")
+def edge_one_way(spark, d):
+    return graph.reverse_pairs(_links(spark, d), "left_anti")
+
+
+@query(f"WITH {_LINKS}, deg AS (SELECT src AS dst, count(*) AS d FROM links GROUP BY src) SELECT src AS fid, CAST(sum(d) AS BIGINT) AS n_walks FROM links JOIN deg USING (dst) GROUP BY src")
+def edge_hop2_neighbors(spark, d):
+    """Walks of two edges over the edge table, hot keys included."""
+    return graph.two_step_walks(_links(spark, d))
+
+
 @query("SELECT src AS fid, count(*) AS out_degree FROM edges WHERE src IS NOT NULL GROUP BY src ORDER BY out_degree DESC, fid LIMIT 20")
 def topk_degree(spark, d):
     return graph.degrees(table(spark, d, "edges"), "src", "out_degree").orderBy(F.desc("out_degree"), "fid").limit(20)
