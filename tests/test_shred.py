@@ -90,3 +90,15 @@ def test_entities_hold_every_object_and_scalar_of_both_tables(spark):
     got = {r[:3]: (r[3], r[4], {k: v for k, v in zip(fields, r[6:]) if v is not None}) for r in rows}
     assert got == want and len(rows) == len(got)
     assert {r[5] for r in rows if r[0] == "edges"} > {"$", "towers", "spans"} and {r[5] for r in rows if r[0] == "raw_features"} > {"$", "properties", "contact", "hours"}
+
+
+def test_records_without_an_id_stay_apart(spark, tmp_path):
+    d = str(tmp_path)
+    rows = [(1, '{"a": 1}'), (1, '{"a": 1}'), (None, '{"a": 2, "p": {"b": "x"}}'), (None, '{"a": 3, "p": {"b": "y"}}'), (None, '{"a": 3, "p": {"b": "y"}}')]
+    spark.createDataFrame(rows, "eid bigint, properties string").write.parquet(f"{d}/edges.parquet")
+    spark.createDataFrame([(5, '{"type": "Point"}'), (None, '{"geometry": {"type": "Point"}}'), (None, '{"geometry": {"type": "LineString"}}')], "raw_id bigint, payload string").write.parquet(f"{d}/raw_features.parquet")
+    got = problems.p1_entities(spark, d).collect()
+    assert len({(r.record_table, r.record_id, r.node) for r in got}) == len(got)
+    assert sorted((r.path, r.a or r.b) for r in got if r.record_table == "edges") == [("$", "1"), ("$", "2"), ("$", "3"), ("$", "3"), ("$/p", "x"), ("$/p", "y"), ("$/p", "y")]
+    assert sorted((r.path, r.type) for r in problems.p1_geometry_entities(spark, d).collect()) == [("$", "Point"), ("$/geometry", "LineString"), ("$/geometry", "Point")]
+    assert {r.kind: r.n_nodes for r in problems.p1_node_kinds(spark, d).collect()} == {"object": 7, "number": 4, "string": 3}

@@ -153,12 +153,17 @@ def nodes(text: str | None, kinds: frozenset[str]) -> Iterator[tuple]:
 KINDS = frozenset({"object", "list", "string", "number", "boolean", "null"})
 
 
+def keyed(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` with a number far below zero, one per row, in place of each null id, so that records without one stay apart. The numbers hold within one plan only."""
+    return df.withColumn(id_col, F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63)) + F.monotonically_increasing_id()))
+
+
 def shred(df: DataFrame, record_table: str, id_col: str, text_col: str, kinds: Iterable[str] = KINDS) -> DataFrame:
     """The adjacency table of a JSON text column: one row per JSON value, numbered in pre-order within its record.
 
     ``object_parent`` and ``parent_path`` name the nearest enclosing object (null and '' if there is none; the root's parent_path
     is null). ``kinds`` prunes the rows before they leave Python (node numbers are then comparable only within this table); if only objects are asked for, records without an inner object are
-    passed over in the JVM. Null, empty and unparsable texts yield nothing; a null id is kept; repeated records repeat their rows.
+    passed over in the JVM. Null, empty and unparsable texts yield nothing; a null id is kept (``keyed`` gives such records one, which ``entity_table`` needs); repeated records repeat their rows.
     Nothing is shuffled.
     """
     kinds = frozenset(kinds)

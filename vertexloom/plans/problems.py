@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_geometry_entities(spark: SparkSession, d: str) -> DataFrame:
     """The geometry objects of the raw features as a flat table linked to their parents."""
-    adjacency = shred.shred(table(spark, d, "raw_features"), "raw_features", "raw_id", "payload")
+    adjacency = shred.shred(shred.keyed(table(spark, d, "raw_features"), "raw_id"), "raw_features", "raw_id", "payload")
     out = shred.entity_table(adjacency, None, {"type": "string"}).where(F.col("entity").isin("geometry", "geometries", "$") & F.col("type").isNotNull())
     return out.select(F.col("record_id").alias("raw_id"), "node", "object_parent", "path", "entity", "type")
 
@@ -28,8 +28,9 @@ def p1_entities(spark: SparkSession, d: str) -> DataFrame:
     """Every object of the edge properties and the raw features, roots included, as a row with a link to its parent and its scalars as text columns.
 
     The columns are the labels that occur (the driver gets a row per label); one named like a fixed column, or like another but for case, has trailing underscores.
+    Records without an id stay apart under numbers far below zero.
     """
-    edges, raw = table(spark, d, "edges"), table(spark, d, "raw_features")
+    edges, raw = shred.keyed(table(spark, d, "edges"), "eid"), shred.keyed(table(spark, d, "raw_features"), "raw_id")
     labels = shred.scalar_labels(edges, "properties").union(shred.scalar_labels(raw, "payload")).distinct()
     fields = sorted(r.label for r in labels.collect())
     adjacency = shred.shred(edges, "edges", "eid", "properties").unionByName(shred.shred(raw, "raw_features", "raw_id", "payload"))
@@ -40,7 +41,7 @@ def p1_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_node_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Values of the edge properties by kind."""
-    adjacency = shred.shred(table(spark, d, "edges").dropDuplicates(["eid"]), "edges", "eid", "properties")
+    adjacency = shred.shred(shred.keyed(table(spark, d, "edges"), "eid").dropDuplicates(["eid"]), "edges", "eid", "properties")
     return adjacency.groupBy("kind").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
