@@ -33,7 +33,7 @@ def test_reasons(spark):
 def test_hot_key_and_empty_tables(spark):
     v = spark.createDataFrame([(1, 9, t(1), None, "x")], V)
     e = spark.createDataFrame([(i, 1 if i % 3 else 5, i, t(2), t(3), "k") for i in range(2, 900)], E)
-    rows = R.orphan_edges(e, v, salts=4).collect()
+    rows = R.orphan_edges(e, v).collect()
     assert len(rows) == 898 + sum(1 for i in range(2, 900) if i % 3 == 0)
     assert R.orphan_edges(e.where("false"), v).count() == 0
     assert R.orphan_edges(e, v.where("false")).count() == 2 * 898

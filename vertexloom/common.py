@@ -1,12 +1,16 @@
-"""Helpers shared by the operators: table access, heavy keys and the salted join."""
+"""Helpers shared by the operators: table access, heavy keys and the salted join, intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MOST_SALTS = 1024  # tasks over which one key is spread, at most
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
@@ -25,39 +29,46 @@ def distinct_names(names: list[str], taken: list[str]) -> list[str]:
 
 
 def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
-    """Keys holding at least ``min_share`` of the non-null keys of ``df``: at most ``1 / min_share`` rows (column ``key``).
+    """(``key``, _n, _total): keys holding at least ``min_share`` of the non-null keys of ``df``, their rows and those of all keys: at most ``1 / min_share`` rows.
 
     One partial aggregation by key; only a key and its count per map task are shuffled. The bound follows from the definition, so the result may be collected or
     broadcast whatever the size of ``df``. Null keys are ignored; an empty input gives no rows.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(key)).agg(F.count(F.lit(1)).alias("_n"))
-    least = counts.agg(F.sum("_n") * F.lit(min_share)).scalar()
-    return counts.where(F.col("_n") >= least).select(key)
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    spread: Column,
-    how: str = "inner",
-    min_share: float = 0.01,
-    salts: int = 16,
-    hint: str | None = None,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join on ``key`` whose hot keys are spread over ``salts`` tasks.
-
-    Keys with at least ``min_share`` of the rows are found first (``heavy_keys`` of ``counted``, by default of ``left``; at most ``1 / min_share`` values come to the driver). Their
-    left rows get a salt from ``spread`` (a column of ``left`` that varies within a key) and their right rows are repeated once per salt. Without hot keys it is a plain
-    join. ``how`` is inner, left, left_semi or left_anti. Null keys match nothing. Names other than ``key`` must differ between sides.
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.withColumn("_total", total).where(F.col("_n") >= F.col("_total") * F.lit(min_share))
+
+
+def key_salts(df: DataFrame, key: str) -> dict[int, list]:
+    """Salts -> the keys that are to be spread over so many tasks.
+
+    A key is hot if it holds at least half the rows of an even shuffle partition, so there are at most twice as many as partitions, whatever the data; it gets a salt for each such half
+    that it holds, rounded up to a power of two. More partitions, as a larger cluster has, make both the threshold lower and the pieces smaller.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    out: dict[int, list] = defaultdict(list)
+    for value, n, total in heavy_keys(df, key, 0.5 / parts).collect():
+        pieces = max(2, -(-2 * n * parts // total))
+        out[min(1 << (pieces - 1).bit_length(), MOST_SALTS)].append(value)
+    return dict(out)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", hint: str | None = None, counted: DataFrame | None = None, salts: dict[int, list] | None = None) -> DataFrame:
+    """Equi-join on ``key`` whose hot keys are spread over several tasks.
+
+    Hot keys and their salts are found first (``key_salts`` of ``counted``, by default of ``left``; ``salts`` has them if they are known). Their left rows get a salt from ``spread`` (a
+    column of ``left`` that varies within a key) and their right rows are repeated once per salt. Without hot keys it is a plain join. ``how`` is inner, left, left_semi or left_anti. Null
+    keys match nothing. Names other than ``key`` must differ between sides.
     """
-    hot = [r[0] for r in heavy_keys(left if counted is None else counted, key, min_share).collect()]
-    if not hot:
+    if salts is None:
+        salts = key_salts(left if counted is None else counted, key)
+    if not salts:
         return left.join(right.hint(hint) if hint else right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    lhs = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-    rhs = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    n = F.lit(1)
+    for pieces, keys in sorted(salts.items()):
+        n = F.when(F.col(key).isin(keys), F.lit(pieces)).otherwise(n)
+    lhs = left.withColumn("_salt", F.pmod(F.xxhash64(spread), n).cast("int"))
+    rhs = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
     if hint:
         rhs = rhs.hint(hint)
     return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
@@ -66,19 +77,45 @@ def salted_join(
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Where that is unset, one below the warehouse is set, or a temporary one if Spark runs in this process.
+    Where that is unset, one below the warehouse, or a temporary one (removed with the JVM) if Spark runs in this process. A cluster whose warehouse is a folder of one machine has none: a ValueError.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
-            local = sc.master.startswith("local[") or sc.master == "local"
-            folder = tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+            if sc.master.startswith("local[") or sc.master == "local":
+                folder = tempfile.mkdtemp(prefix="checkpoints-")
+                remove_at_end(spark, folder)
+            else:
+                home = spark.conf.get("spark.sql.warehouse.dir")
+                if home.startswith("file:") or "://" not in home:
+                    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+                folder = f"{home}/_checkpoints"
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there is removed when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    remove_at_end(spark, path)
+    return path
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut from its lineage, by a checkpoint in the session's shared folder."""
+    """``df`` computed once and cut from its lineage, by a checkpoint in the session's shared folder. Partitions and the order within them stay."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` computed once, as a Parquet table in the shared folder: smaller than a checkpoint, and each use reads only its columns. Partitions and order aren't kept."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,8 +14,8 @@ def endpoints(edges: DataFrame, vertices: DataFrame, columns: list[str]) -> Data
     """The edges whose both ends exist, with the given vertex columns as ``src_…`` and ``dst_…``; hot vertices are salted."""
     v = lambda p: vertices.select(F.col("fid").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in columns))
     spread = F.xxhash64("src", "dst")
-    with_src = salted_join(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), v("src"), "src", F.col("dst"))
-    return salted_join(with_src.withColumn("_s", spread), v("dst"), "dst", F.col("_s")).drop("_s")
+    with_src = salted_join(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), v("src"), "src", F.col("dst"), counted=edges)
+    return salted_join(with_src.withColumn("_s", spread), v("dst"), "dst", F.col("_s"), counted=edges).drop("_s")
 
 
 def degrees(edges: DataFrame, end: str, name: str) -> DataFrame:
@@ -23,10 +23,24 @@ def degrees(edges: DataFrame, end: str, name: str) -> DataFrame:
     return edges.where(F.col(end).isNotNull()).groupBy(F.col(end).alias("fid")).agg(F.count(F.lit(1)).alias(name))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(fid, neighbours): distinct targets of each source as a sorted array. A hot vertex has a long array; count with ``degrees`` where that will do."""
-    pairs = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
-    return pairs.groupBy(F.col("src").alias("fid")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct()
+
+
+def neighbour_counts(edges: DataFrame) -> DataFrame:
+    """(fid, n_neighbours, first_neighbour): distinct targets of each source and the smallest. Partial states only: no list of a hot vertex is built."""
+    return _links(edges).groupBy(F.col("src").alias("fid")).agg(F.count(F.lit(1)).alias("n_neighbours"), F.min("dst").alias("first_neighbour"))
+
+
+def adjacency(edges: DataFrame, page: int = 100_000) -> DataFrame:
+    """(fid, page, neighbours): distinct targets of each source as sorted arrays of about ``page`` at most.
+
+    A source with more has several pages, among which its targets are dealt by hash, so that no task holds all neighbours of a hot vertex.
+    """
+    pairs = _links(edges)
+    pages = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / page).cast("int").alias("_pages"))
+    dealt = salted_join(pairs, pages, "src", F.col("dst")).withColumn("page", F.pmod(F.xxhash64("dst"), F.col("_pages")).cast("int"))
+    return dealt.groupBy(F.col("src").alias("fid"), "page").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
 def reverse_pairs(edges: DataFrame, how: str) -> DataFrame:
@@ -53,7 +67,7 @@ def top_edges(edges: DataFrame, k: int, weight: str) -> DataFrame:
 def common_type(types: DataFrame, column: str = "type") -> DataFrame:
     """(geometry_type): the type all rows share, else Unknown. Null types count as Unknown; no rows is an error when the result is read."""
     t = F.coalesce(F.col(column).cast("int"), F.lit(GEOMETRY_TYPES["Unknown"]))
-    fold = F.when(F.count(F.lit(1)) == 0, F.raise_error(F.lit("Could not infer geometry type: there are no rows")).cast("int")).when(F.min(t) == F.max(t), F.min(t)).otherwise(F.lit(GEOMETRY_TYPES["Unknown"]))
+    fold = F.when(F.count(F.lit(1)) == 0, F.raise_error(F.lit("no rows to take a geometry type from")).cast("int")).when(F.min(t) == F.max(t), F.min(t)).otherwise(F.lit(GEOMETRY_TYPES["Unknown"]))
     return types.agg(fold.alias("geometry_type"))
 
 

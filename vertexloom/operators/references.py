@@ -35,7 +35,7 @@ def edge_references(edges: DataFrame) -> DataFrame:
     return once.select("ref_id", F.explode(ends).alias("e"), "recorded_at", "seen_at").select("ref_id", "e.ref_field", "e.ref_key", "recorded_at", "seen_at").where(F.col("ref_key").isNotNull())
 
 
-def orphan_edges(edges: DataFrame, *parent_tables: DataFrame, min_share: float = 0.01, salts: int = 16) -> DataFrame:
+def orphan_edges(edges: DataFrame, *parent_tables: DataFrame) -> DataFrame:
     """(ref_table, ref_id, ref_field, reason, period) for each end of an edge whose parent is missing, deleted or late.
 
     'missing': no parent has the key; else 'deleted': the parent's ``deleted_at`` <= the edge's ``recorded_at``; else 'late': the parent was
@@ -44,7 +44,7 @@ def orphan_edges(edges: DataFrame, *parent_tables: DataFrame, min_share: float =
     """
     known = parents(*parent_tables).withColumn("known", F.lit(True))
     keys = edges.select(F.explode(F.array("src", "dst")).alias("ref_key"))
-    merged = salted_join(edge_references(edges), known, "ref_key", F.col("ref_id"), "left", min_share, salts, hint="merge", counted=keys)
+    merged = salted_join(edge_references(edges), known, "ref_key", F.col("ref_id"), "left", hint="merge", counted=keys)
     reason = (
         F.when(F.col("known").isNull(), "missing").when(F.col("deleted") <= F.col("recorded_at"), "deleted").when(F.col("first_seen") > F.col("seen_at"), "late")
     )
