@@ -1,6 +1,5 @@
 import http.server
 import os
-import struct
 import threading
 from decimal import Decimal
 
@@ -237,7 +236,7 @@ def test_write_by_format(spark, tmp_path):
     p = str(tmp_path / "w.bin")
     df = chain(spark, 12).coalesce(2).selectExpr("fid", "geom", "name", "timestamp_ntz'2024-01-02 03:04:05' AS at", "array(1, 2) AS tags", "cast(2.5 AS decimal(9,1)) AS d")
     df.write.format(FORMAT).option("crs", "4326").option("indexNodeSize", "4").mode("overwrite").save(p)
-    assert os.listdir(tmp_path) == ["w.bin"]
+    assert sorted(os.listdir(tmp_path)) == ["_w.bin.layout", "w.bin"]
     rows = graphs.read_vertices(spark, p).orderBy("fid").collect()
     assert [r.name for r in rows] == [f"node-{i}" for i in range(12)] and rows[0].at == "2024-01-02T03:04:05" and rows[0].tags == "[1, 2]" and rows[0].d == "2.5"
     assert graphs.read_vertices(spark, p, Rect(3, 3, 4, 4)).count() == 2 and graphs.read_metadata(p).crs["code"] == 4326
@@ -261,21 +260,10 @@ def test_geojson_files(spark, tmp_path):
 def test_column_for_types(spark):
     df = spark.sql("SELECT true AS b, 1 AS i, timestamp'2024-01-01 00:00:00' AS t, array(1) AS a, 1.5BD AS d, interval 1 day AS x")
     assert [column_for(f).type for f in df.schema.fields[:5]] == [2, 5, 13, 12, 11]
-    with pytest.raises(ValueError, match="Unknown property type"):
+    with pytest.raises(ValueError, match="no column type"):
         column_for(df.schema["x"])
 
 
-def test_truncated_file_is_no_crash(spark, tmp_path):
-    p = str(tmp_path / "g.bin")
-    graphs.write_graph(chain(spark, 3), None, p)
-    data = open(p, "rb").read()
-    open(p, "wb").write(data[:-20])
-    assert graphs.read_vertices(spark, p).count() == 2
-    open(p, "wb").write(codec.MAGIC + struct.pack("<I", 3))
-    with pytest.raises(Exception, match="header size"):
-        graphs.read_vertices(spark, p).count()
-
-
 SHAPES = [
     {"type": "Point", "coordinates": [1.5, 2.5]}, {"type": "Point", "coordinates": [1.5, 2.5, 3.5]}, {"type": "MultiPoint", "coordinates": [[1.0, 2.0], [3.0, 4.0]]},
     {"type": "LineString", "coordinates": [[1.0, 2.0, 9.0], [3.0, 4.0, 8.0]]}, {"type": "Polygon", "coordinates": [[[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 0.0]], [[1.0, 1.0], [2.0, 1.0], [2.0, 2.0], [1.0, 1.0]]]},
@@ -299,6 +287,7 @@ def test_a_hot_end_is_spread_when_a_graph_is_written(spark, tmp_path, monkeypatc
         return out
 
     monkeypatch.setattr(graphs, "salted_join", watched)
+    monkeypatch.setattr(graphs, "BROADCAST_POSITIONS", 0)
     point = F.from_json(F.lit('{"type":1,"xy":[1.0,2.0]}'), GEOMETRY)
     vertices = spark.range(50).select((F.col("id") * 3).alias("fid"), point.alias("geom"))
     edges = spark.range(400).select("id", F.when(F.col("id") < 200, 0).otherwise(F.col("id") % 48 * 3 + 3).alias("src"), F.when(F.col("id") < 200, F.col("id") % 48 * 3 + 3).otherwise(0).cast("bigint").alias("dst"))

@@ -27,8 +27,10 @@ def test_features_in_every_wrapping(spark):
     line, point = (2, [1.0, 2.0, 3.0, 4.0], None), (1, [1.0, 2.0], None)
     assert got == [
         (0, 0, "geometry", *line), (1, 0, "geometry", *line), (2, 0, "geometry", *line), (2, 1, "geometry", *point), (2, 2, "none", None, None, None), (2, 3, "broken", None, None, None),
-        (3, 0, "geometry", *point), (4, 0, "geometry", 7, None, 3), (5, 0, "geometry", *line), (6, 0, "none", None, None, None), *((i, 0, "broken", None, None, None) for i in range(7, 12)), (12, 0, "geometry", 7, None, 1),
+        (3, 0, "geometry", *point), (4, 0, "geometry", 7, None, 5), (5, 0, "geometry", *line), (6, 0, "none", None, None, None), *((i, 0, "broken", None, None, None) for i in range(7, 12)), (12, 0, "geometry", 7, None, 400),
     ]
+    held = {r.id: r.geom.within for r in rows if r.geom}
+    assert held[4] == [-1, -1, 1, 2, 2] and held[3] is None and held[12] == list(range(-1, 399))
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import struct
 from decimal import Decimal
 
+from vertexloom.sources.bytes import ContainerError
 from vertexloom.sources.flat import Blob, Doubles, Reader, Tables, Text, UInts, encode
 from vertexloom.types import COLUMN_NAMES, Column, GraphMeta, Meta
 
@@ -21,19 +22,15 @@ _FORMATS = {0: "b", 1: "B", 2: "B", 3: "h", 4: "H", 5: "i", 6: "I", 7: "q", 8: "
 _TEXTUAL = (11, 12, 13)
 
 
-class ContainerError(ValueError):
-    """A container, or what is to become one, breaks the format."""
-
-
 def check_magic(data: bytes) -> None:
     """Accepts both formats whatever their version."""
     if bytes(data[:3]) not in (MAGIC[:3], PLAIN_MAGIC[:3]):
-        raise ContainerError("Not a graph container: wrong magic bytes")
+        raise ContainerError("these are not the first bytes of a container")
 
 
 def check_header_size(size: int) -> None:
     if not HEADER_MIN <= size <= HEADER_MAX:
-        raise ContainerError(f"Invalid header size: {size}")
+        raise ContainerError(f"a header cannot have {size} bytes")
 
 
 def encode_header(meta: Meta) -> bytes:
@@ -136,20 +133,16 @@ def _geometry(g) -> dict:
     if g.get("parts") is not None:
         table[7] = Tables(_geometry(p) for p in g["parts"])
         return table
-    table[1] = Doubles(g.get("xy") or ())
-    if g.get("z"):
-        table[2] = Doubles(g["z"])
-    if g.get("m"):
-        table[3] = Doubles(g["m"])
-    if g.get("ends"):
-        table[0] = UInts(g["ends"])
+    for slot, name, kind in ((1, "xy", Doubles), (2, "z", Doubles), (3, "m", Doubles), (0, "ends", UInts)):
+        if g.get(name) is not None:  # an empty vector stays one
+            table[slot] = kind(g[name])
     return table
 
 
 def encode_feature(geometry: dict | None, properties: bytes) -> bytes:
     table: dict = {1: Blob(properties)} if properties else {}
     if geometry is not None:
-        table[0] = _geometry(geometry)
+        table[0] = _geometry(nested_parts(geometry))
     return encode(table)
 
 
@@ -170,18 +163,40 @@ def decode_feature(buf, at: int, header_type: int = 0) -> tuple[dict | None, byt
 
 
 def flat_parts(geometry: dict | None) -> dict | None:
-    """The geometry with parts one level deep: the parts of nested collections and multi-polygons follow one another."""
+    """The geometry with parts on one level, as the Spark type has them: parts of parts follow what they belong to, and ``within`` has for each part the number of the part it belongs to, -1
+    for the geometry itself (null if that is so for all)."""
     if geometry is None or geometry["parts"] is None:
         return geometry
     parts: list = []
-    todo = list(reversed(geometry["parts"]))
+    within: list[int] = []
+    nested = False
+    todo = [(p, -1) for p in reversed(geometry["parts"])]
     while todo:
-        p = todo.pop()
-        if p["parts"] is None:
-            parts.append(p)
+        p, of = todo.pop()
+        if p.get("parts") is not None:
+            nested = True
+            todo.extend((x, len(parts)) for x in reversed(p["parts"]))
+        parts.append({k: p.get(k) for k in ("type", "xy", "z", "m", "ends")})
+        within.append(of)
+    return {**geometry, "parts": parts, "within": within if nested else None}
+
+
+def nested_parts(geometry: dict | None) -> dict | None:
+    """The geometry with parts in their parts again; the reverse of ``flat_parts``."""
+    within = geometry and geometry.get("within")
+    if not within or geometry.get("parts") is None:
+        return geometry
+    parts = [{**p, "parts": [] if p["type"] in (6, 7) and p.get("xy") is None else None} for p in geometry["parts"]]
+    roots: list = []
+    for p, of in zip(parts, within):
+        if of is None or of < 0:
+            roots.append(p)
         else:
-            todo.extend(reversed(p["parts"]))
-    return {**geometry, "parts": parts}
+            holder = parts[of]
+            if holder["parts"] is None:
+                holder["parts"] = []
+            holder["parts"].append(p)
+    return {**geometry, "parts": roots}
 
 
 def bounds(geometry: dict | None) -> tuple[float, float, float, float] | None:
@@ -200,7 +215,7 @@ def bounds(geometry: dict | None) -> tuple[float, float, float, float] | None:
 
 def encode_graph_header(meta: GraphMeta) -> bytes:
     if not 0 <= meta.edge_count < 1 << 32:
-        raise ContainerError("Too many edges for one container")
+        raise ContainerError("one container holds fewer than 2 ** 32 edges")
     columns = meta.columns or []
     out = bytearray(struct.pack("<IH", meta.edge_count, len(columns)))
     for c in columns:

@@ -1,20 +1,24 @@
 """The container as a Spark data source: ``spark.read.format("geocontainer").option("section", …).load(path)``.
 
-``path`` is a file, a directory of files or a URL. Sections: ``vertices`` (default), ``edges``, ``header``, ``graph_header``, ``index``. Planning reads headers, indexes and record
-lengths only; tasks read byte ranges and give Arrow batches. Options:
+``path`` is a file, a directory of files or a URL. Sections: ``vertices`` (default), ``edges``, ``header``, ``graph_header``, ``index``. Options:
 
 - ``minx miny maxx maxy``: only vertices whose bounding box meets the rectangle. With an index only matching records are fetched; the exact test on the box is always made.
 - ``columns``: comma-separated attributes to decode (a schema given to the reader does the same); geometry is not decoded if neither ``geom`` nor ``bbox`` is wanted.
-- ``splitRecords``: records per task (default 20000); ``requestGap``: bytes between records that are rather read than skipped (default 262144, not negative).
+- ``splitRecords``: records per task (default 20000); ``requestGap``: bytes between records or index nodes that are rather read than skipped (default 262144, not negative).
 - ``pushdown``: with Spark's Python filter pushdown switched on, comparisons on ``bbox`` narrow the rectangle.
 - ``header.<name>``, ``nocache``: for HTTP.
+
+Planning: written containers have a layout beside them (``layouts``) with the split points of both sections, so planning reads that and no record, and a task reads its slice and the header. Files without one
+are planned from their index if they have one (one leaf per split, one more for where the features end), else each is read by one task, which walks it once; ``graphs.write_layouts`` makes their layouts, in tasks.
+
+Directories: with a manifest, as ``graphs.write_graph_directory`` leaves it, ids run on over the files and edges may lead from file to file. Without one the k-th file's ids (in the order of names) begin at k * 2 ** 33.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +26,18 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from vertexloom.sources import codec, rtree, segments
+from vertexloom.sources import codec, columns as blocks, layouts, rtree, segments
 from vertexloom.sources.bytes import Walker, list_containers, open_bytes
-from vertexloom.types import BBOX_TYPE, GEOMETRY_TYPE, Column, Meta, column_for
+from vertexloom.sources.layouts import Layout
+from vertexloom.types import BBOX_TYPE, GEOMETRY_TYPE, Column, GraphMeta, Meta, column_for
 
 FORMAT = "geocontainer"
 SPLIT_RECORDS = 20_000
 REQUEST_GAP = 262_144
+BLOCK_BYTES = 32 << 20  # decoded at once, unless a single record is longer
+APART = 33  # bits of a record number within a file of a directory without manifest
 _FIRST_READ = 2024 + rtree.NODE.itemsize * (1 + 16 + 256)  # a header and three levels of an index
+_LEAVES_AT_ONCE = 4 << 20
 
 _COLUMN = "struct<name:string,type:tinyint,title:string,description:string,width:int,precision:int,scale:int,nullable:boolean,unique:boolean,primary_key:boolean>"
 _CRS = "struct<org:string,code:int,name:string,description:string,wkt:string,code_string:string>"
@@ -42,7 +50,7 @@ INDEX_SCHEMA = "level int, node bigint, minx double, miny double, maxx double, m
 
 
 class Container:
-    """The layout of one file."""
+    """One file."""
 
     def __init__(self, path: str, options: dict[str, str] | None = None):
         self.path = path
@@ -56,6 +64,7 @@ class Container:
         self.meta: Meta = codec.decode_header(start, 8)
         self.index_start = 12 + size
         self.features_start = self.index_start + rtree.tree_bytes(self.meta.features_count, self.meta.index_node_size)
+        self._layout: Layout | None | bool = False
 
     @property
     def indexed(self) -> bool:
@@ -63,58 +72,98 @@ class Container:
 
     def nodes(self, first: int, end: int) -> np.ndarray:
         size = rtree.NODE.itemsize
-        return np.frombuffer(self.source.read(self.index_start + first * size, (end - first) * size), rtree.NODE)
-
-    def leaves(self) -> np.ndarray:
-        first, end = rtree.level_bounds(self.meta.features_count, self.meta.index_node_size)[0]
-        return self.nodes(first, end)
+        data = self.source.read(self.index_start + first * size, (end - first) * size)
+        if len(data) < (end - first) * size:
+            raise codec.ContainerError(f"{self.path} is cut short within its index")
+        return np.frombuffer(data, rtree.NODE)
+
+    def layout(self) -> Layout | None:
+        """The layout beside the file, if it is there and belongs to these bytes."""
+        if self._layout is False:
+            self._layout = layouts.read(self.path, self.source.size, self.meta.features_count)
+        return self._layout
+
+    def leaf_offsets(self, every: int) -> list[tuple[int, int]]:
+        """(number, position) of each ``every``-th feature and of the last, from the leaves of the index: records lie in their order."""
+        n = self.meta.features_count
+        first, end = rtree.level_bounds(n, self.meta.index_node_size)[0]
+        rows = [*range(0, n, every), n - 1]
+        if (end - first) * rtree.NODE.itemsize <= _LEAVES_AT_ONCE:
+            offsets = self.nodes(first, end)["offset"][rows].tolist()
+        else:
+            offsets = [int(self.nodes(first + i, first + i + 1)["offset"][0]) for i in rows]
+        return [(i, self.features_start + o) for i, o in zip(rows, offsets)]
 
-    def starts(self, every: int) -> tuple[list[tuple[int, int]], int]:
-        """(number, position) of each ``every``-th feature, and where the features end. Record lengths are trusted; an unknown count means up to the end of the file."""
-        count = self.meta.features_count or None
-        if self.indexed:
-            offsets = self.leaves()["offset"].astype(np.int64)
-            last = self.features_start + int(offsets.max())
-            end = last + 4 + int.from_bytes(self.source.read(last, 4), "little")
-            return [(i, self.features_start + int(offsets[i])) for i in range(0, len(offsets), every)], end
+    def walked(self, every: int = SPLIT_RECORDS) -> Layout:
+        """The layout by hopping over all records, for a file that has none."""
         walker, out = Walker(self.source, self.features_start), []
-        for i, at in enumerate(walker.hop(count)):
+        for i, at in enumerate(walker.hop(self.meta.features_count or None)):
             if i % every == 0:
                 out.append((i, at))
-        return out, walker.at
-
-    def graph_start(self) -> int | None:
-        """Where the graph section begins; None without one. A file of unknown count has none."""
-        if not self.meta.features_count:
-            size = self.source.size
-            return self.features_start if self.meta.index_node_size == 0 and size is not None and self._empty_graph(size) else None
-        end = self.starts(1 << 60)[1]
-        return end if self.source.size is None or end < self.source.size else None
-
-    def _empty_graph(self, size: int) -> bool:
-        """No features and just a graph header without edges."""
+        end = walker.at
+        graph = self._graph_at(end) if self.meta.features_count else self._lone_graph()
+        cuts: list[tuple[int, int]] = []
+        if graph:
+            walker = Walker(self.source, graph[1])
+            for i, at in enumerate(walker.hop(graph[0].edge_count)):
+                if i % every == 0:
+                    cuts.append((i, at))
+        return Layout(self.source.size or 0, self.meta.features_count, end, graph and graph[1], walker.at if graph else None, out, cuts)
+
+    def features_end(self) -> int:
+        """Where the features end: from the layout, the last leaf, or by hopping over all records. Record lengths are trusted."""
+        if self.layout():
+            return self.layout().end
+        if self.indexed:
+            last = self.leaf_offsets(1 << 60)[-1][1]
+            return last + 4 + int.from_bytes(self.source.read(last, 4), "little")
+        walker = Walker(self.source, self.features_start)
+        for _ in walker.hop(self.meta.features_count or None):
+            pass
+        return walker.at
+
+    def _lone_graph(self) -> tuple[GraphMeta, int] | None:
+        """A file of unknown count has no graph section, unless it holds nothing but a graph header without edges."""
+        size = self.source.size
+        if self.meta.index_node_size or size is None or not 10 <= size - self.features_start <= codec.HEADER_MAX:
+            return None
         head = self.source.read(self.features_start, size - self.features_start)
-        return len(head) >= 10 and int.from_bytes(head[:4], "little") + 4 == len(head) and head[4:8] == bytes(4)
+        alone = int.from_bytes(head[:4], "little") + 4 == len(head) and head[4:8] == bytes(4)
+        return codec.decode_graph_header(head)[:1] + (size,) if alone else None
 
-    def graph(self):
-        """(meta, where the edges begin), or None."""
-        at = self.graph_start()
-        if at is None:
+    def _graph_at(self, at: int) -> tuple[GraphMeta, int] | None:
+        if self.source.size is not None and at >= self.source.size:
             return None
-        size = int.from_bytes(self.source.read(at, 4), "little")
-        meta, _ = codec.decode_graph_header(self.source.read(at, 4 + size))
-        return meta, at + 4 + size
+        start = self.source.read(at, 4096)
+        size = int.from_bytes(start[:4], "little")
+        if len(start) < 4 + size:
+            start += self.source.read(at + len(start), 4 + size - len(start))
+        if len(start) < 10 or len(start) < 4 + size:
+            raise codec.ContainerError(f"{self.path} is cut short within its graph header")
+        return codec.decode_graph_header(start)[0], at + 4 + size
+
+    def graph(self) -> tuple[GraphMeta, int] | None:
+        """(meta, where the edges begin), or None without a graph section."""
+        return self._graph_at(self.features_end()) if self.meta.features_count else self._lone_graph()
 
 
 @dataclass
 class Slice(InputPartition):
-    """Records of one file: ``count`` of them from ``start``, or those listed as (number, position)."""
+    """Records of one file: ``count`` of them between the bytes ``start`` and ``stop`` (None: not known), or those listed as (number, position).
+
+    ``base`` is added to the numbers of the records, ``home`` to the ends of edges; ``columns`` are those of the edges, None if the task has to find the graph section itself; ``bases`` names the file with the first ids of the files of a directory.
+    """
 
     path: str
     first: int
     start: int
     count: int | None
+    stop: int | None = None
     picked: list[tuple[int, int]] | None = None
+    base: int = 0
+    home: int = 0
+    columns: list[Column] | None = None
+    bases: str | None = None
 
     def __post_init__(self):
         super().__init__(self.first)
@@ -142,6 +191,14 @@ def attribute_fields(columns: list[Column], taken: set[str]) -> list[T.StructFie
     return out
 
 
+def _each(f, items: list) -> list:
+    """``f`` of every item, many at a time: it waits for storage."""
+    if len(items) < 2:
+        return [f(x) for x in items]
+    with ThreadPoolExecutor(min(32, len(items))) as pool:
+        return list(pool.map(f, items))
+
+
 class GeoContainer(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -167,15 +224,28 @@ class GeoContainer(DataSource):
         else:
             raise ValueError(f"unknown section {section}")
         fixed, seen = {f.name.lower() for f in fields}, {}
-        for path in self._files():
-            c = Container(path, self.options)
-            columns = c.meta.columns if section == "vertices" else ((c.graph() or [None])[0] and c.graph()[0].columns) or []
+        for columns in self._columns(section):
             for f in attribute_fields(columns, set(fixed)):
                 seen.setdefault(f.name.lower(), f)
         wanted = self.options.get("columns")
         names = None if wanted is None else {x.strip().lower() for x in wanted.split(",")}
         return T.StructType(fields + [f for k, f in seen.items() if names is None or k in names])
 
+    def _columns(self, section: str) -> list[list[Column]]:
+        """The columns of every file, or those in the manifest."""
+        manifest = layouts.read_manifest(self.options.get("path") or "")
+        if manifest:
+            return [manifest.columns if section == "vertices" else layouts.own_columns(manifest.edge_columns)]
+
+        def of(path: str) -> list[Column]:
+            c = Container(path, self.options)
+            if section == "vertices":
+                return c.meta.columns
+            graph = c.graph()
+            return (graph and graph[0].columns) or []
+
+        return _each(of, self._files())
+
     def reader(self, schema: T.StructType) -> DataSourceReader:
         pushing = str(self.options.get("pushdown", "false")).lower() == "true"
         return (PushingReader if pushing else ContainerReader)(self, schema)
@@ -204,7 +274,10 @@ class ContainerWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> segments.Segment:
         picked = (pa.RecordBatch.from_arrays([b.column(self.names.index(n)) for n in ("geom", *self.fields)], names=["geom", *self.fields]) for b in batches)
-        return segments.encode_vertices(picked, self.columns, self.folder, self.node_size > 0)
+        out = segments.VertexSegment(self.columns, self.folder, self.node_size > 0)
+        for b in picked:
+            out.add(b)
+        return out.close()
 
     def commit(self, messages: list) -> None:
         meta = Meta(**{k: self.options.get(k) for k in ("title", "description", "metadata")})
@@ -223,7 +296,8 @@ class ContainerWriter(DataSourceArrowWriter):
 
 class ContainerReader(DataSourceReader):
     def __init__(self, source: GeoContainer, schema: T.StructType):
-        self.options, self.wanted, self.kind, self.files = dict(source.options), schema, source.section(), source._files()
+        self.options, self.wanted, self.kind, self.path = dict(source.options), schema, source.section(), source.options.get("path")
+        self.files = source._files()
         self.rect = _rect(source.options)
         self.every = int(source.options.get("splitrecords", SPLIT_RECORDS))
         self.gap = int(source.options.get("requestgap", REQUEST_GAP))
@@ -231,51 +305,89 @@ class ContainerReader(DataSourceReader):
             raise ValueError("requestGap must not be negative")
 
     def partitions(self) -> list[InputPartition]:
-        if self.kind not in ("vertices", "edges"):
-            return [Slice(path, 0, 0, None) for path in self.files]
-        out: list[Slice] = []
-        for path in self.files:
-            c = Container(path, self.options)
-            out += self._edges(c) if self.kind == "edges" else self._vertices(c)
-        return out or [Slice("", 0, 0, 0)]
-
-    def _vertices(self, c: Container) -> list[Slice]:
+        manifest = layouts.read_manifest(self.path)
+        if manifest and self.kind in ("vertices", "edges"):
+            made = _each(lambda f: self._of_manifest(manifest, f), manifest.files)
+        elif self.kind in ("vertices", "edges"):
+            made = _each(self._of_file, list(enumerate(self.files)))
+        else:
+            made = [[Slice(path, 0, 0, None) for path in ([f"{self.path.rstrip('/')}/{f.name}" for f in manifest.files] if manifest else self.files)]]
+        return [s for slices in made for s in slices] or [Slice("", 0, 0, 0)]
+
+    def _of_file(self, numbered: tuple[int, str]) -> list[Slice]:
+        number, path = numbered
+        c = Container(path, self.options)
+        slices = self._edges(c) if self.kind == "edges" else self._vertices(c, c.meta.envelope)
+        return [replace(s, base=number << APART, home=number << APART) for s in slices]
+
+    def _of_manifest(self, manifest: layouts.Manifest, f: layouts.Part) -> list[Slice]:
+        path = f"{self.path.rstrip('/')}/{f.name}"
+        if self.kind == "edges":
+            return [replace(s, base=f.first_edge, home=f.first_vertex, columns=manifest.edge_columns, bases=f"{self.path.rstrip('/')}/{layouts.BASES}") for s in self._cuts(path, f.layout.edge_splits, f.n_edges, f.layout.edges_end)]
+        if self.rect is not None:
+            slices = [] if _apart(self.rect, f.envelope) else self._vertices(Container(path, self.options), f.envelope)
+        else:
+            slices = self._cuts(path, f.layout.vertex_splits, f.n_vertices, f.layout.end)
+        return [replace(s, base=f.first_vertex) for s in slices]
+
+    def _cuts(self, path: str, splits: list[tuple[int, int]], count: int, stop: int | None) -> list[Slice]:
+        """Slices of at least ``every`` records, the last aside, between split points."""
+        picked: list[tuple[int, int]] = []
+        for i, at in splits:
+            if not picked or i - picked[-1][0] >= self.every:
+                picked.append((i, at))
+        ends = [*picked[1:], (count, stop)]
+        return [Slice(path, i, at, j - i, end) for (i, at), (j, end) in zip(picked, ends) if j > i]
+
+    def _vertices(self, c: Container, envelope: list[float] | None) -> list[Slice]:
+        n = c.meta.features_count
         if self.rect is not None:
-            e = c.meta.envelope
-            if e and len(e) == 4 and (self.rect[2] < e[0] or self.rect[3] < e[1] or self.rect[0] > e[2] or self.rect[1] > e[3]):
+            if _apart(self.rect, envelope):
                 return []
             if c.indexed:
-                hits = rtree.search(c.meta.features_count, c.meta.index_node_size, self.rect, c.nodes)
+                hits = rtree.search(n, c.meta.index_node_size, self.rect, c.nodes, self.gap // rtree.NODE.itemsize)
                 out: list[Slice] = []
                 for item, offset in zip(hits["item"].tolist(), (hits["offset"] + c.features_start).tolist()):
                     batch = out[-1].picked if out else None
                     if batch and len(batch) < self.every and offset - batch[-1][1] <= self.gap:
                         batch.append((item, offset))
                     else:
-                        out.append(Slice(c.path, item, offset, None, [(item, offset)]))
+                        out.append(Slice(c.path, item, offset, None, picked=[(item, offset)]))
                 return out
-        return [Slice(c.path, i, at, self.every) for i, at in c.starts(self.every)[0]] if c.meta.features_count else [Slice(c.path, 0, c.features_start, None)] if c.graph_start() is None else []
+        layout = c.layout()
+        if layout and n:
+            return self._cuts(c.path, layout.vertex_splits, n, layout.end)
+        if c.indexed:
+            return self._cuts(c.path, c.leaf_offsets(self.every)[:-1], n, c.features_end())
+        if not n and c._lone_graph():
+            return []
+        return [Slice(c.path, 0, c.features_start, n or None)]
 
     def _edges(self, c: Container) -> list[Slice]:
+        layout = c.layout()
+        if not (layout or c.indexed) and c.meta.features_count:
+            return [Slice(c.path, 0, -1, None)]  # the task looks for them
         graph = c.graph()
         if graph is None or not graph[0].edge_count:
             return []
         meta, at = graph
-        if meta.edge_count <= self.every:
-            return [Slice(c.path, 0, at, meta.edge_count)]
-        starts = (x for x in enumerate(Walker(c.source, at).hop(meta.edge_count)) if x[0] % self.every == 0)
-        return [Slice(c.path, i, p, min(self.every, meta.edge_count - i)) for i, p in starts]
+        cuts = self._cuts(c.path, layout.edge_splits, meta.edge_count, layout.edges_end) if layout else [Slice(c.path, 0, at, meta.edge_count)]
+        return [replace(s, columns=meta.columns or []) for s in cuts]
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        c = Container(part.path, self.options)
         if self.kind == "vertices":
-            yield from read_vertices(c, part, self.wanted, self.rect)
+            yield from read_vertices(Container(part.path, self.options), part, self.wanted, self.rect)
         elif self.kind == "edges":
-            yield from read_edges(c, part, self.wanted)
+            yield from read_edges(part, self.wanted, self.options)
         else:
-            yield from read_meta(c, self.kind, self.wanted)
+            yield from read_meta(Container(part.path, self.options), self.kind, self.wanted)
+
+
+def _apart(rect: tuple, envelope: list[float] | None) -> bool:
+    e = envelope
+    return bool(e) and len(e) == 4 and (rect[2] < e[0] or rect[3] < e[1] or rect[0] > e[2] or rect[1] > e[3])
 
 
 class PushingReader(ContainerReader):
@@ -306,18 +418,21 @@ class PushingReader(ContainerReader):
 
 
 class ContainerStream(DataSourceStreamReader):
-    """Records of an immutable container in order; the offset is the number of records read, so every batch can be read again."""
+    """Records of immutable containers in order; the offset is the number of slices read, so every batch can be read again. Files are planned once."""
 
     def __init__(self, source: GeoContainer, schema: T.StructType):
         self.inner = ContainerReader(source, schema)
         if self.inner.kind not in ("vertices", "edges"):
             raise ValueError("only vertices and edges are streams")
+        self._planned: list[Slice] | None = None
 
     def initialOffset(self) -> dict:
         return {"file": 0, "slice": 0}
 
     def _slices(self) -> list[Slice]:
-        return [p for p in self.inner.partitions() if p.path]
+        if self._planned is None:
+            self._planned = [p for p in self.inner.partitions() if p.path]
+        return self._planned
 
     def latestOffset(self) -> dict:
         return {"file": 0, "slice": len(self._slices())}
@@ -338,81 +453,125 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _batches(rows: Iterator[list], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    held: list[list] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield _batch(held, schema)
-            held = []
-    if held:
-        yield _batch(held, schema)
-
-
-def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows) if len(schema) else []
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
 def _lookup(wanted: T.StructType, columns: list[Column], fixed: set[str]) -> list[tuple[str, int | None]]:
     """For each wanted field a fixed name or the number of the file's column (None: the file lacks it)."""
     own = {f.name.lower(): i for i, f in enumerate(attribute_fields(columns, set(fixed)))}
     return [(f.name.lower(), None) if f.name.lower() in fixed else ("", own.get(f.name.lower())) for f in wanted.fields]
 
 
-def meets(box: tuple | None, rect: tuple) -> bool:
-    """Closed boxes meet; a NaN bound never excludes, a missing box always does."""
-    return box is not None and not (rect[2] < box[0] or rect[3] < box[1] or rect[0] > box[2] or rect[1] > box[3])
+def _blocks(source, part: Slice) -> Iterator[tuple[int, bytes, list[int]]]:
+    """(number of the first record, bytes, where its records begin and the last ends): the slice in blocks of whole records."""
+    at, number, left, rest = part.start, part.first, part.count, b""
+    while left is None or left > 0:
+        most = BLOCK_BYTES if part.stop is None else min(BLOCK_BYTES, part.stop - at)
+        more = source.read(at, max(most, 0))
+        at += len(more)
+        data = rest + more
+        starts = blocks.record_starts(data, left)
+        n = len(starts) - 1
+        if n:
+            yield number, data, starts
+            number += n
+            left = None if left is None else left - n
+        rest = data[starts[-1] :]
+        if not more:
+            if rest or left:
+                raise codec.ContainerError(f"{part.path} is cut short: {left if left else 'some'} records are missing or incomplete at byte {at - len(rest)}")
+            return
+
+
+def _picked(source, part: Slice) -> Iterator[tuple[np.ndarray, bytes, list[int]]]:
+    """(numbers, bytes, starts) of the listed records, read together with what lies between them."""
+    first, last = part.picked[0][1], part.picked[-1][1]
+    walker = Walker(source, last)
+    end = last + len(next(iter(walker.records(1)))[1])
+    data = source.read(first, end - first)
+    numbers, chunks = [], []
+    for item, at in part.picked:
+        i = at - first
+        numbers.append(item)
+        chunks.append(data[i : i + 4 + int.from_bytes(data[i : i + 4], "little")])
+    starts = np.cumsum([0, *(len(x) for x in chunks)]).tolist()
+    yield np.array(numbers, np.int64), b"".join(chunks), starts
 
 
 def read_vertices(c: Container, part: Slice, wanted: T.StructType, rect) -> Iterator[pa.RecordBatch]:
+    schema = _arrow(wanted)
     places = _lookup(wanted, c.meta.columns, {"fid", "bbox", "geom"})
     names = {n for n, _ in places}
-    attributes = any(i is not None for _, i in places)
-    shape = rect is not None or names & {"bbox", "geom"}
-
-    def records() -> Iterator[tuple[int, bytes]]:
-        if part.picked is None:
-            for i, (_, record) in enumerate(Walker(c.source, part.start).records(part.count if not c.meta.features_count else min(part.count, c.meta.features_count - part.first))):
-                yield part.first + i, record
-            return
-        walker = Walker(c.source, part.start)
-        for item, at in part.picked:
-            walker.at = at
-            for _, record in walker.records(1):
-                yield item, record
-
-    def rows() -> Iterator[list]:
-        for fid, record in records():
-            geometry, raw = codec.decode_feature(record, 0, c.meta.geometry_type)
-            box = codec.bounds(geometry) if shape else None
-            if rect is not None and not meets(box, rect):
+    attributes = {i for _, i in places if i is not None}
+    pieces = _picked(c.source, part) if part.picked is not None else ((np.arange(i, i + len(s) - 1), d, s) for i, d, s in _blocks(c.source, part))
+    for numbers, data, starts in pieces:
+        found = blocks.Features(data, starts, c.meta.geometry_type)
+        boxes = found.boxes() if rect is not None or "bbox" in names else None
+        if rect is not None:
+            apart = (rect[2] < boxes[:, 0]) | (rect[3] < boxes[:, 1]) | (rect[0] > boxes[:, 2]) | (rect[1] > boxes[:, 3])
+            kept = np.flatnonzero(~apart & ~np.isnan(boxes[:, 0]))
+            if not len(kept):
                 continue
-            values = codec.decode_properties(raw, c.meta.columns) if attributes else None
-            fixed = {"fid": fid}
-            if "bbox" in names:
-                fixed["bbox"] = None if box is None else dict(zip(("minx", "miny", "maxx", "maxy"), box))
-            if "geom" in names:
-                fixed["geom"] = codec.flat_parts(geometry)
-            yield [fixed[n] if n else None if i is None else values[i] for n, i in places]
-
-    yield from _batches(rows(), _arrow(wanted))
+            found, numbers, boxes = found.take(kept), numbers[kept], boxes[kept]
+        fixed: dict[str, pa.Array] = {"fid": pa.array(numbers + part.base)}
+        if "bbox" in names:
+            none = np.isnan(boxes[:, 0])
+            sides = [pa.array(boxes[:, k].copy(), mask=none) for k in range(4)]
+            fixed["bbox"] = pa.StructArray.from_arrays(sides, names=["minx", "miny", "maxx", "maxy"], mask=pa.array(none))
+        if "geom" in names:
+            fixed["geom"] = found.geometries(schema.field([f.name.lower() for f in wanted.fields].index("geom")).type)
+        values = found.property_columns(c.meta.columns, attributes) if attributes else {}
+        yield _assembled(schema, places, fixed, values, len(numbers))
+
+
+def _assembled(schema: pa.Schema, places: list, fixed: dict, values: dict, n: int) -> pa.RecordBatch:
+    arrays = [fixed[name] if name else pa.nulls(n, f.type) if i is None else values[i] for (name, i), f in zip(places, schema)]
+    if not arrays:
+        return pa.RecordBatch.from_struct_array(pa.array([{}] * n, pa.struct([])))
+    return pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, schema)], schema=schema)
+
+
+def read_edges(part: Slice, wanted: T.StructType, options: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    if part.columns is None:
+        c = Container(part.path, options)
+        graph = c.graph()
+        if graph is None or not graph[0].edge_count:
+            return
+        part = replace(part, start=graph[1], count=graph[0].edge_count, columns=graph[0].columns or [])
+        source = c.source
+    else:
+        source = open_bytes(part.path, options)
+    schema = _arrow(wanted)
+    columns = layouts.own_columns(part.columns) if part.bases else part.columns
+    places = _lookup(wanted, columns, {"eid", "src", "dst"})
+    names = {n for n, _ in places}
+    attributes = {i for _, i in places if i is not None}
+    other = {} if not part.bases else {end: len(columns) + k for k, end in enumerate(("src", "dst")) if end in names}
+    firsts = layouts.read_bases(part.bases) if part.bases else None
+    for number, data, starts in _blocks(source, part):
+        buf, src, dst, begin, end = blocks.edges(data, starts)
+        values = blocks.properties(buf, begin, end, part.columns, attributes | set(other.values())) if attributes or other else {}
+        fixed = {"eid": pa.array(np.arange(number, number + len(src)) + part.base)}
+        for name, ids in (("src", src), ("dst", dst)):
+            if name in other:
+                file = values[other[name]].fill_null(-1).to_numpy(zero_copy_only=False)
+                fixed[name] = pa.array(ids + np.where(file < 0, part.home, firsts[np.maximum(file, 0)]))
+            else:
+                fixed[name] = pa.array(ids + part.home)
+        yield _assembled(schema, places, fixed, values, len(src))
 
 
-def read_edges(c: Container, part: Slice, wanted: T.StructType) -> Iterator[pa.RecordBatch]:
-    meta, _ = c.graph()
-    columns = meta.columns or []
-    places = _lookup(wanted, columns, {"eid", "src", "dst"})
-    attributes = any(i is not None for _, i in places)
+def _batches(rows: Iterator[list], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    held: list[list] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield _batch(held, schema)
+            held = []
+    if held:
+        yield _batch(held, schema)
 
-    def rows() -> Iterator[list]:
-        for i, (_, record) in enumerate(Walker(c.source, part.start).records(part.count)):
-            source, target, raw, _ = codec.decode_edge(record, 0)
-            values = codec.decode_properties(raw, columns) if attributes else None
-            fixed = {"eid": part.first + i, "src": source, "dst": target}
-            yield [fixed[n] if n else None if k is None else values[k] for n, k in places]
 
-    yield from _batches(rows(), _arrow(wanted))
+def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if len(schema) else []
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def read_meta(c: Container, kind: str, wanted: T.StructType) -> Iterator[pa.RecordBatch]:
@@ -422,7 +581,7 @@ def read_meta(c: Container, kind: str, wanted: T.StructType) -> Iterator[pa.Reco
         rows = [[row[f.name] for f in wanted.fields]]
     elif kind == "graph_header":
         graph = c.graph()
-        row = graph and {"file": c.path, "edge_count": graph[0].edge_count, "edge_columns": graph[0].columns and [asdict(x) for x in graph[0].columns]}
+        row = graph and {"file": c.path, "edge_count": graph[0].edge_count, "edge_columns": graph[0].columns and [asdict(x) for x in layouts.own_columns(graph[0].columns)]}
         rows = [[row[f.name] for f in wanted.fields]] if row else []
     else:
         rows = _index_rows(c, [f.name for f in wanted.fields])
@@ -436,13 +595,12 @@ def _index_rows(c: Container, names: list[str]) -> Iterator[list]:
         return
     bounds = rtree.level_bounds(c.meta.features_count, c.meta.index_node_size)
     for level, (first, end) in enumerate(reversed(bounds)):
-        for i, node in enumerate(c.nodes(first, end)):
-            row = {"level": level, "node": first + i, **{k: float(node[k]) for k in ("minx", "miny", "maxx", "maxy")}, "offset": Decimal(int(node["offset"]))}
-            yield [row[n] for n in names]
+        for begin in range(first, end, 65_536):
+            for i, node in enumerate(c.nodes(begin, min(end, begin + 65_536))):
+                row = {"level": level, "node": begin + i, **{k: float(node[k]) for k in ("minx", "miny", "maxx", "maxy")}, "offset": Decimal(int(node["offset"]))}
+                yield [row[n] for n in names]
 
 
 def register(spark: SparkSession) -> None:
     """Makes the format known to the session."""
     spark.dataSource.register(GeoContainer)
-
-

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vertexloom.functions.geometry import _arrow_geometry, from_geojson, from_geojson_object, to_geojson
+from vertexloom.functions.geometry import BROKEN, arrow_geometry, from_geojson, from_geojson_object, to_geojson
 from vertexloom.operators.shred import parse, unwrap
 from vertexloom.sources.codec import flat_parts
 from vertexloom.types import COLUMN_TYPES, GEOMETRY, GEOMETRY_TYPES
@@ -31,38 +31,49 @@ def features_of(texts: DataFrame) -> DataFrame:
     return each.select("file", F.col("position").cast("bigint").alias("position"), F.get_json_object("raw", "$.geometry").alias("geometry"), "raw")
 
 
-_BROKEN = (ValueError, KeyError, TypeError, IndexError, AttributeError, RecursionError)
-
-
 def _geometry(value) -> tuple[dict | None, str]:
-    """(geometry struct with parts on one level, state) of a parsed GeoJSON geometry. A null in a collection is nothing, one object in place of its list is its one member."""
+    """(geometry struct, state) of a parsed GeoJSON geometry. A null in a collection is nothing, one object in place of its list is its one member."""
     g = unwrap(value)
     if not isinstance(g, dict):
         return None, "broken"
     if g.get("type") != "GeometryCollection":
         try:
             return flat_parts(from_geojson_object({**g, "coordinates": unwrap(g["coordinates"])})), "geometry"
-        except _BROKEN:
+        except BROKEN:
             return None, "broken"
     parts: list = []
-    broken = False
-    todo: list = [g]
+    within: list[int] = []
+    broken, found, deep = False, False, False
+    todo: list = [(g, -1)]
+
+    def add(part: dict, of: int) -> int:
+        parts.append({k: part.get(k) for k in ("type", "xy", "z", "m", "ends")})
+        within.append(of)
+        return len(parts) - 1
+
     while todo:
-        x = unwrap(todo.pop())
+        x, of = todo.pop()
+        x = unwrap(x)
         if isinstance(x, dict) and x.get("type") == "GeometryCollection":
             members = unwrap(x.get("geometries"))
-            if isinstance(members, (list, dict)):
-                todo.extend(reversed(members) if isinstance(members, list) else [members])
-            else:
+            if not isinstance(members, (list, dict)):
                 broken = True
+                continue
+            if x is not g:
+                of, deep = add({"type": GEOMETRY_TYPES["GeometryCollection"]}, of), True
+            todo.extend((m, of) for m in (reversed(members) if isinstance(members, list) else [members]))
         elif x is not None:
-            p, state = _geometry(x)
-            broken = broken or p is None
-            if p is not None:
-                parts += [p] if p["parts"] is None else p["parts"]
-    if broken and not parts:
+            p, _ = _geometry(x)
+            broken, found = broken or p is None, found or p is not None
+            if p is not None and p["parts"] is None:
+                add(p, of)
+            elif p is not None:
+                of, deep = add(p, of), True
+                for member in p["parts"]:
+                    add(member, of)
+    if broken and not found:
         return None, "broken"
-    return {"type": GEOMETRY_TYPES["GeometryCollection"], "xy": None, "z": None, "m": None, "ends": None, "parts": parts}, "partial" if broken else "geometry"
+    return {"type": GEOMETRY_TYPES["GeometryCollection"], "xy": None, "z": None, "m": None, "ends": None, "parts": parts, "within": within if deep else None}, "partial" if broken else "geometry"
 
 
 def geometries_of(text: str | None) -> Iterator[tuple[int, dict | None, str]]:
@@ -91,7 +102,7 @@ def payload_geometries(rows: DataFrame, id_col: str, text_col: str) -> DataFrame
     geometry, partial (broken members of a geometry collection are left out, the others are there), none (a feature without geometry, an empty collection) or broken (null or unparsable
     text, no GeoJSON, a geometry that isn't one or has no sound member); ``geom`` is null for the last two.
     """
-    schema = pa.schema([("id", pa.int64()), ("position", pa.int32()), ("geom", _arrow_geometry()), ("state", pa.string())])
+    schema = pa.schema([("id", pa.int64()), ("position", pa.int32()), ("geom", arrow_geometry()), ("state", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,6 +182,6 @@ def to_features(vertices: DataFrame) -> DataFrame:
         pieces += [F.when(F.col(f"`{n}`").isNotNull(), F.concat(F.lit(json.dumps(n)), F.lit(":"), F.col(f"`{n}`"))) for n in nested]
         inner = F.concat_ws(",", *([F.nullif(F.regexp_replace(pieces[0], r"^\{|\}$", ""), F.lit(""))] if plain else []), *pieces[len(pieces) - len(nested) :])
         props = F.concat(F.lit("{"), inner, F.lit("}"))
-    text = F.concat(F.lit('{"type":"Feature","id":'), F.col("fid").cast("string"), F.lit(',"geometry":'), F.coalesce(to_geojson(F.col("geom")), F.lit("null")), F.lit(',"properties":'), props, F.lit("}"))
+    text = F.concat(F.lit('{"type":"Feature","id":'), F.col("fid").cast("string"), F.lit(',"geometry":'), F.coalesce(to_geojson(F.col("geom"), vertices.schema["geom"].dataType), F.lit("null")), F.lit(',"properties":'), props, F.lit("}"))
     return vertices.select("fid", text.alias("feature"))
 

@@ -17,9 +17,9 @@ _SIDES = ["minx", "miny", "maxx", "maxy"]
 def level_sizes(n_items: int, node_size: int) -> list[int]:
     """Nodes per level, leaves first."""
     if node_size < 2:
-        raise ValueError("Node size must be at least 2")
+        raise ValueError(f"a tree needs two or more children a node, not {node_size}")
     if n_items < 1:
-        raise ValueError("Number of items must be greater than 0")
+        raise ValueError("a tree over no items has no levels")
     sizes = [n_items]
     while len(sizes) == 1 or sizes[-1] > 1:
         sizes.append(-(-sizes[-1] // node_size))
@@ -57,16 +57,16 @@ def build(leaves: np.ndarray, node_size: int) -> np.ndarray:
     return tree
 
 
-def search(n_items: int, node_size: int, rect: tuple[float, float, float, float], read: Callable[[int, int], np.ndarray]) -> np.ndarray:
+def search(n_items: int, node_size: int, rect: tuple[float, float, float, float], read: Callable[[int, int], np.ndarray], gap: int = 0) -> np.ndarray:
     """(item, offset) of each leaf whose closed box meets the closed ``rect``, in ascending order, each once.
 
-    ``read(first, end)`` gives nodes. Level by level; runs of neighbouring nodes are read together. A NaN bound never excludes.
+    ``read(first, end)`` gives nodes. Level by level; nodes with at most ``gap`` others between them are read together. A NaN bound never excludes.
     """
     bounds = level_bounds(n_items, node_size)
     minx, miny, maxx, maxy = rect
     wanted = np.array([0])
     for level in range(len(bounds) - 1, -1, -1):
-        breaks = np.flatnonzero(np.diff(wanted) > node_size) + 1
+        breaks = np.flatnonzero(np.diff(wanted) > max(gap, node_size)) + 1
         runs = np.split(wanted, breaks) if len(wanted) else []
         nodes = np.concatenate([read(int(r[0]), int(r[-1]) + 1)[r - r[0]] for r in runs]) if runs else np.zeros(0, NODE)
         hit = ~((maxx < nodes["minx"]) | (maxy < nodes["miny"]) | (minx > nodes["maxx"]) | (miny > nodes["maxy"]))

@@ -28,7 +28,7 @@ SPARK_TYPES: dict[int, T.DataType] = {
 }
 
 _PART = "struct<type:tinyint,xy:array<double>,z:array<double>,m:array<double>,ends:array<int>>"
-GEOMETRY = f"struct<type:tinyint,xy:array<double>,z:array<double>,m:array<double>,ends:array<int>,parts:array<{_PART}>>"
+GEOMETRY = f"struct<type:tinyint,xy:array<double>,z:array<double>,m:array<double>,ends:array<int>,parts:array<{_PART}>,within:array<int>>"
 BBOX = "struct<minx:double,miny:double,maxx:double,maxy:double>"
 
 
@@ -37,7 +37,7 @@ def _flat_fields() -> list[T.StructField]:
     return [T.StructField("type", T.ByteType()), *(T.StructField(n, doubles) for n in ("xy", "z", "m")), T.StructField("ends", T.ArrayType(T.IntegerType()))]
 
 
-GEOMETRY_TYPE = T.StructType([*_flat_fields(), T.StructField("parts", T.ArrayType(T.StructType(_flat_fields())))])
+GEOMETRY_TYPE = T.StructType([*_flat_fields(), T.StructField("parts", T.ArrayType(T.StructType(_flat_fields()))), T.StructField("within", T.ArrayType(T.IntegerType()))])
 BBOX_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("minx", "miny", "maxx", "maxy")])
 
 
@@ -102,6 +102,6 @@ def column_for(f: T.StructField) -> Column:
         }
         code = by_type.get(type(f.dataType))
         if code is None:
-            raise ValueError(f"Unknown property type: {f.dataType.simpleString()} of {f.name}")
+            raise ValueError(f"no column type for {f.dataType.simpleString()} of {f.name}")
     known = {k: meta[k] for k in ("title", "description", "width", "precision", "scale", "unique", "primary_key") if k in meta}
     return Column(f.name, code, nullable=f.nullable, **known)
