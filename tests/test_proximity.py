@@ -28,7 +28,7 @@ def test_near_pairs_equal_brute_force(spark, radius):
     pts = cloud(3)
     df = spark.createDataFrame([(i, None, x, y, "c") for i, (x, y) in enumerate(pts)], POINTS)
     want = {(i, j) for i in range(len(pts)) for j in range(i + 1, len(pts)) if metres(pts[i], pts[j]) <= radius}
-    rows = [(r.fid_a, r.fid_b) for r in P.near_pairs(df, radius, salts=3).collect()]
+    rows = [(r.fid_a, r.fid_b) for r in P.near_pairs(df, radius).collect()]
     assert len(rows) == len(set(rows))
     assert set(rows) == want and len(want) > 20
     assert P.near_pairs(df.where("false"), radius).count() == 0

@@ -8,9 +8,14 @@ from vertexloom.operators import shred
 from vertexloom.plans import problems
 
 
+def below_root(df):
+    entities = shred.entity_rows(shred.shred(shred.keyed(df, "id").where(shred.may_nest("text")), "t", "id", "text", list_scalars=False))
+    return entities.where("node > 0").collect()
+
+
 def paths(spark, *texts):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "id bigint, text string, node string, record_id int")
-    return sorted((r.record_id, r.node_path, r.parent_path) for r in shred.objects_below_root(df, "t", "id", "text").collect())
+    return sorted((r.record_id, r.path, r.parent_path) for r in below_root(df))
 
 
 def test_paths_of_objects(spark):
@@ -32,8 +37,8 @@ def test_strings_holding_json_stand_for_it(spark):
 def test_broken_null_empty_and_repeated(spark):
     assert paths(spark, None, "", "{", "null", "5", '"x"', '{"a": {}} x', " \n{}") == []
     df = spark.createDataFrame([(1, '{"a": {}}'), (1, '{"a": {}}'), (None, '{"a": {}}')], "id bigint, text string")
-    assert sorted((r.record_id or 0) for r in shred.objects_below_root(df, "t", "id", "text").collect()) == [0, 1]
-    assert shred.objects_below_root(df.where("false"), "t", "id", "text").count() == 0
+    assert sorted(max(r.record_id, 0) for r in below_root(df)) == [0, 1]
+    assert below_root(df.where("false")) == []
 
 
 def test_very_deep_and_very_long(spark):
@@ -59,15 +64,38 @@ def test_own_parser_equals_json():
 def test_entity_table_links_children_to_parents(spark):
     text = '{"type": "G", "parts": [{"type": "P", "n": 1}, {"type": "L", "n": "x"}, {"q": 1}]}'
     adjacency = shred.shred(spark.createDataFrame([(7, text)], "id bigint, text string"), "t", "id", "text")
-    rows = shred.entity_table(adjacency, "parts", {"type": "string", "n": "int"}).orderBy("node").collect()
+    rows = shred.entity_table(shred.entity_rows(adjacency), "parts", {"type": "string", "n": "int"}).orderBy("node").collect()
     root = adjacency.where("path = '$'").collect()[0].node
     assert [(r.object_parent, r.path, r.type, r.n) for r in rows] == [(root, "$/parts/0", "P", 1), (root, "$/parts/1", "L", None), (root, "$/parts/2", None, None)]
 
 
+def test_keys_that_look_like_positions_or_paths(spark):
+    text = '{"0": {"a": 1}, "x/y": {"b": 2}, "l": [{"c": 3}]}'
+    entities = shred.entity_rows(shred.shred(spark.createDataFrame([(1, text)], "id bigint, text string"), "t", "id", "text"))
+    assert sorted((r.entity, r.fields) for r in entities.where("node > 0").collect()) == [("0", {"a": "1"}), ("l", {"c": "3"}), ("x/y", {"b": "2"})]
+
+
+def test_numbers_of_any_length_and_not_a_number(spark):
+    digits = "9" * 10_000
+    for text in (f'{{"p": {{"n": {digits}}}}}', '{"d":' * 5_000 + f'{{"p": {{"n": {digits}}}}}' + "}" * 5_000):
+        df = spark.createDataFrame([(1, text)], "id bigint, text string")
+        assert [r.fields for r in below_root(df) if r.entity == "p"] == [{"n": digits}]
+    assert shred.parse("[NaN, -Infinity]")[0] and str(shred._parse_deep("[NaN, -Infinity, Infinity, -1]")) == "[nan, -inf, inf, -1]"
+
+
+def test_coordinates_keep_ring_and_position(spark):
+    text = '{"geometries": [{"coordinates": [1, "2", 3]}, {"coordinates": [[[0, 0], [1, 0]], [[5, 5], [null, 6]]]}], "coordinates": []}'
+    adjacency = shred.shred(spark.createDataFrame([(1, text)], "id bigint, text string"), "t", "id", "text")
+    nodes = {r.path: r.node for r in adjacency.where("kind = 'object'").collect()}
+    got = sorted((r.geometry, r.polygon, r.ring, r.position, r.x, r.y, r.z) for r in shred.coordinate_table(adjacency).fillna(-1, ["polygon", "ring", "position"]).collect())
+    a, b = nodes["$/geometries/0"], nodes["$/geometries/1"]
+    assert got == [(a, -1, -1, -1, 1.0, 2.0, 3.0), (b, -1, 0, 0, 0.0, 0.0, None), (b, -1, 0, 1, 1.0, 0.0, None), (b, -1, 1, 0, 5.0, 5.0, None)]
+
+
 def test_adjacency_has_every_value(spark):
     adjacency = shred.shred(spark.createDataFrame([(1, '{"a": [1, "x", true, null]}')], "id bigint, text string"), "t", "id", "text")
-    rows = {(r.path, r.kind, r.scalar, r.ordinal) for r in adjacency.collect()}
-    assert rows == {("$", "object", None, None), ("$/a", "list", None, None), ("$/a/0", "number", "1", 0), ("$/a/1", "string", "x", 1), ("$/a/2", "boolean", "true", 2), ("$/a/3", "null", None, 3)}
+    rows = {(r.path, r.label, r.kind, r.scalar, r.ordinal) for r in adjacency.collect()}
+    assert rows == {("$", None, "object", None, None), ("$/a", "a", "list", None, None), (None, "0", "number", "1", 0), (None, "1", "string", "x", 1), (None, "2", "boolean", "true", 2), (None, "3", "null", None, 3)}
     assert adjacency.where(F.col("parent").isNull()).count() == 1
 
 
@@ -77,7 +105,9 @@ def test_entities_hold_every_object_and_scalar_of_both_tables(spark):
     want, labels = {}, set()
     for name, key, text in (("edges", "eid", "properties"), ("raw_features", "raw_id", "payload")):
         for r in spark.read.parquet(f"{d}/{name}.parquet").select(key, text).collect():
-            found = list(shred.nodes(r[1], shred.KINDS))
+            rows = shred._Rows()
+            shred.walk(0, r[1], frozenset(problems._FIELDS), False, rows)
+            found = list(zip(rows.nodes, rows.parents, rows.objects, rows.labels, rows.ordinals, rows.kinds, rows.scalars, rows.paths))
             want |= {(name, r[0], x[0]): (x[2], x[7], {}) for x in found if x[5] == "object"}
             for _, parent, _, label, ordinal, kind, scalar, *_ in found:
                 if ordinal is None and label is not None and kind in ("string", "number", "boolean"):

@@ -1,8 +1,8 @@
 """Points near other points, or inside rectangles, by grid-cell equi-joins with exact verification.
 
 Near pairs: cells a few radii wide; a point is filed in its own cell and looked up from the at most four cells its search square touches,
-then great-circle distance decides. Rectangles: filed in at most 3 x 3 cells of a grid fitted to their width and height; a point looks up one cell
-per grid in use, then comparison decides. Cells holding over a hundredth of the points are salted.
+then great-circle distance decides. Rectangles: filed in at most 3 x 3 cells of a grid fitted to their longer side; a point looks up one cell
+per grid in use, then comparison decides. Polygons: as rectangles by their boxes, then the parity of edges decides. Cells holding too many points for one task are salted.
 """
 
 from __future__ import annotations
@@ -11,8 +11,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vertexloom.common import salted_join
+from vertexloom.common import key_salts, salted_join, stored
+from vertexloom.functions.geometry import contains_point, geometry_bbox
+from vertexloom.functions.projection import geometry_between
 
 EARTH_M = 6_371_008.8  # mean radius, for distances
 MERCATOR_M = 6_378_137.0  # radius of spherical Web Mercator
@@ -110,30 +113,48 @@ def location_classes(points: DataFrame) -> DataFrame:
     return points.groupBy("lon", "lat").agg(F.min("fid").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def near_classes(points: DataFrame, radius_m: float, salts: int = 16) -> DataFrame:
+def _place(lon: Column, lat: Column) -> Column:
+    """A position as one key; the two zeros are one."""
+    return F.concat_ws(" ", (lon + 0.0).cast("string"), (lat + 0.0).cast("string"))
+
+
+def membership(points: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(rep, fid): the class of every point, the smallest ``fid`` at its position. Positions with many points are salted."""
+    classes = location_classes(points) if classes is None else classes
+    place = _place(F.col("lon"), F.col("lat"))
+    return salted_join(points.select("fid", place.alias("_place")), classes.select("rep", place.alias("_place")), "_place", F.col("fid")).select("rep", "fid")
+
+
+def near_classes(points: DataFrame, radius_m: float, classes: DataFrame | None = None) -> DataFrame:
     """(rep_a, rep_b, metres): pairs of different positions at most ``radius_m`` apart, each once, as their smallest ``fid``s.
 
-    ``points`` has unique ``fid`` and usable ``lon``, ``lat``. Copies of one position count as one class, so a pile of them makes no pairs here.
-    The date line and the poles are handled. An empty input gives no rows.
+    ``points`` has unique ``fid`` and usable ``lon``, ``lat``; ``classes`` are their ``location_classes`` if they are known. Copies of one position count as one class, so a pile of them makes no
+    pairs here. The date line and the poles are handled. An empty input gives no rows.
     """
     grid = _Grid(radius_m)
-    reps = location_classes(points).select("rep", "lon", "lat")
+    reps = (location_classes(points) if classes is None else classes).select("rep", "lon", "lat")
     here = reps.select(grid.home(F.col("lon"), F.col("lat")).alias("cell"), F.col("rep").alias("rep_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
     there = reps.select(F.explode(grid.reached(F.col("lon"), F.col("lat"))).alias("cell"), F.col("rep").alias("rep_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
-    met = salted_join(here, there, "cell", F.col("rep_a"), "inner", salts=salts).where(F.col("rep_a") < F.col("rep_b"))
+    met = salted_join(here, there, "cell", F.col("rep_a")).where(F.col("rep_a") < F.col("rep_b"))
     metres = great_circle_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))
     return met.withColumn("metres", metres).where(F.col("metres") <= radius_m).select("rep_a", "rep_b", "metres")
 
 
-def near_pairs(points: DataFrame, radius_m: float, salts: int = 16) -> DataFrame:
-    """(fid_a, fid_b): every pair of points at most ``radius_m`` apart, smaller ``fid`` first, copies of one position included."""
-    near = near_classes(points, radius_m, salts)
-    classes = location_classes(points)
-    of = points.join(classes.where(F.col("n") > 1), ["lon", "lat"]).select(F.col("rep"), "fid")  # members of classes of several
-    a, b = of.toDF("rep_a", "fid_a"), of.toDF("rep_b", "fid_b")
-    spread = near.join(a, "rep_a", "left").join(b, "rep_b", "left")
-    spread = spread.select(F.coalesce("fid_a", "rep_a").alias("p"), F.coalesce("fid_b", "rep_b").alias("q"))
-    same = salted_join(of.toDF("rep", "p"), of.toDF("rep", "q"), "rep", F.col("p")).where(F.col("p") < F.col("q")).select("p", "q")
+def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
+    """(fid_a, fid_b): every pair of points at most ``radius_m`` apart, smaller ``fid`` first, copies of one position included.
+
+    Pairs of classes are spread over their members, classes of many members salted; ``near_classes`` with ``membership`` says the same in less.
+    """
+    classes = stored(location_classes(points), "classes")
+    of = stored(membership(points, classes), "membership")
+    hot = key_salts(of, "rep")
+    renamed = lambda r, f: of.toDF(r, f)
+    near = near_classes(points, radius_m, classes).select("rep_a", "rep_b")
+    half = salted_join(renamed("rep_a", "p"), near, "rep_a", F.col("p"), salts=hot).select("p", "rep_b")
+    spread = salted_join(renamed("rep_b", "q"), half, "rep_b", F.col("q"), salts=hot).select("p", "q")
+    several = classes.where("n > 1").select("rep")
+    piles = salted_join(of, several, "rep", F.col("fid"), "left_semi", salts=hot)
+    same = salted_join(piles.toDF("rep", "p"), piles.toDF("rep", "q"), "rep", F.col("p"), salts=hot).where(F.col("p") < F.col("q")).select("p", "q")
     return spread.unionByName(same).select(F.least("p", "q").alias("fid_a"), F.greatest("p", "q").alias("fid_b"))
 
 
@@ -173,36 +194,64 @@ def _cell(v: Column, level: Column) -> Column:
     return F.floor((v + 180.0) * F.pow(F.lit(4.0), level) / 360.0).cast("bigint")
 
 
-def _cell_key(kx: Column, ky: Column, ix: Column, iy: Column) -> Column:
-    return F.shiftleft((kx * _LEVELS + ky).cast("bigint"), 48) + F.shiftleft(ix, 24) + iy
+def _cell_key(k: Column, ix: Column, iy: Column) -> Column:
+    return F.shiftleft(k.cast("bigint"), 48) + F.shiftleft(ix, 24) + iy
+
 
+def _used(rects: DataFrame) -> dict[int, int]:
+    """Level -> number of rectangles with it: at most ``_LEVELS`` rows."""
+    return {r.k: r.n for r in rects.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-def points_in_rects(points: DataFrame, rects: DataFrame, salts: int = 16) -> DataFrame:
+
+def points_in_rects(points: DataFrame, rects: DataFrame) -> DataFrame:
     """(rect_id, fid): every point inside a closed rectangle, except points whose ``file_id`` is the rectangle's ``own``.
 
-    See ``valid_rects`` for odd rectangles. The grids in use (at most 100) and the number of rectangles are counted first. Up to
-    ``BROADCAST_RECTS`` rectangles their cells are broadcast and nothing else moves; beyond, both sides are joined on the cell, hot cells salted.
+    See ``valid_rects`` for odd rectangles. Each rectangle is filed in the grid of its longer side; the grids in use (at most 10) and the number of rectangles are counted first. A point looks up one
+    cell per grid in use. Up to ``BROADCAST_RECTS`` rectangles their cells are broadcast and nothing else moves; beyond, both sides are joined on the cell, hot cells salted.
     Points have unique ``fid``.
     """
-    r = valid_rects(rects).withColumn("kx", _level(F.col("maxx") - F.col("minx"))).withColumn("ky", _level(F.col("maxy") - F.col("miny")))
-    used = r.groupBy("kx", "ky").agg(F.count(F.lit(1)).alias("n")).collect()  # at most _LEVELS ** 2 rows
+    return _points_in(points, valid_rects(rects)).select("rect_id", "fid")
+
+
+def _points_in(points: DataFrame, valid: DataFrame) -> DataFrame:
+    r = valid.withColumn("k", _box_level(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))
+    used = _used(r)
     if not used:
-        return points.sparkSession.createDataFrame([], "rect_id bigint, fid bigint")
-    ix = F.sequence(_cell(F.col("minx"), F.col("kx")), _cell(F.col("maxx"), F.col("kx")))
-    iy = F.sequence(_cell(F.col("miny"), F.col("ky")), _cell(F.col("maxy"), F.col("ky")))
-    cells = r.withColumn("ix", F.explode(ix)).withColumn("iy", F.explode(iy))
-    cells = cells.select(_cell_key(F.col("kx"), F.col("ky"), F.col("ix"), F.col("iy")).alias("cell"), "rect_id", "own", "minx", "maxx", "miny", "maxy")
-    lookups = F.array(
-        *(_cell_key(F.lit(u.kx), F.lit(u.ky), _cell(F.col("lon"), F.lit(u.kx)), _cell(F.col("lat"), F.lit(u.ky))) for u in sorted(used, key=lambda u: (u.kx, u.ky)))
-    )
+        return points.select(F.lit(None).cast(valid.schema["rect_id"].dataType).alias("rect_id"), "fid", "lon", "lat").where("false")
+    cells = r.withColumn("c", F.explode(_box_cells(F.col("k"))))
+    cells = cells.select(_cell_key(F.col("k"), F.col("c.ix"), F.col("c.iy")).alias("cell"), "rect_id", "own", "minx", "maxx", "miny", "maxy")
+    lookups = F.array(*(_cell_key(F.lit(k), _cell(F.col("lon"), F.lit(k)), _cell(F.col("lat"), F.lit(k))) for k in sorted(used)))
     looking = points.select("fid", "file_id", "lon", "lat", F.explode(lookups).alias("cell"))
-    if sum(u.n for u in used) <= BROADCAST_RECTS:
+    if sum(used.values()) <= BROADCAST_RECTS:
         met = looking.join(F.broadcast(cells), "cell")
     else:
-        met = salted_join(looking, cells, "cell", F.col("fid"), "inner", salts=salts)
+        met = salted_join(looking, cells, "cell", F.col("fid"))
     inside = F.col("lon").between(F.col("minx"), F.col("maxx")) & F.col("lat").between(F.col("miny"), F.col("maxy"))
     foreign = F.col("own").isNull() | F.col("file_id").isNull() | (F.col("own") != F.col("file_id"))
-    return met.where(inside & foreign).select("rect_id", "fid")
+    return met.where(inside & foreign).select("rect_id", "fid", "lon", "lat")
+
+
+def polygons(vertices: DataFrame, file_header: DataFrame) -> DataFrame:
+    """(poly_id, geom): the polygons and multi-polygons of vertices in degrees, once per ``fid`` (of unequal rows the smallest geometry)."""
+    rows = vertices.where(F.col("geom.type").isin(3, 6) & F.col("fid").isNotNull()).select("fid", "file_id", "geom")
+    rows = rows.groupBy("fid").agg(F.min(F.struct("file_id", "geom")).alias("r")).select(F.col("fid").alias("poly_id"), "r.*")
+    rows = rows.join(metric_files(file_header), "file_id", "left")
+    return rows.select("poly_id", F.when(F.col("metric"), geometry_between(F.col("geom"), 3857, 4326)).otherwise(F.col("geom")).alias("geom"))
+
+
+def points_in_polygons(points: DataFrame, polys: DataFrame) -> DataFrame:
+    """(poly_id, fid): every point inside a polygon or multi-polygon (poly_id, geom), holes aside; see ``geometry.contains_point`` for points on an edge.
+
+    Polygons are filed by their boxes as rectangles are; points in a box are then joined with the shape, polygons with many of them salted, and tested exactly. Rings across the date line are taken as
+    they are written. Polygons without coordinates, or with a coordinate that is no number, hold nothing.
+    """
+    parts = F.coalesce(F.flatten(F.transform(F.col("geom.parts"), lambda p: F.coalesce(p["xy"], F.array().cast("array<double>")))), F.array().cast("array<double>"))
+    odd = F.exists(F.concat(F.coalesce("geom.xy", F.array().cast("array<double>")), parts), lambda v: v.isNull() | F.isnan(v))
+    shaped = polys.where(~odd & F.col("poly_id").isNotNull()).withColumn("b", geometry_bbox(F.col("geom")))
+    rects = shaped.where("b IS NOT NULL").select(F.col("poly_id").alias("rect_id"), F.lit(None).cast("bigint").alias("own"), "b.minx", "b.miny", "b.maxx", "b.maxy")
+    near = _points_in(points, valid_rects(rects)).withColumnRenamed("rect_id", "poly_id")
+    met = salted_join(near, shaped.select("poly_id", "geom"), "poly_id", F.col("fid"))
+    return met.where(contains_point(F.col("geom"), F.col("lon"), F.col("lat"))).select("poly_id", "fid")
 
 
 def envelopes(file_header: DataFrame) -> DataFrame:
@@ -239,7 +288,7 @@ def _box_cells(k: Column) -> Column:
     return F.flatten(F.transform(ix, lambda x: F.transform(iy, lambda y: F.struct(x.alias("ix"), y.alias("iy")))))
 
 
-def boxes_meet(boxes: DataFrame, rects: DataFrame, salts: int = 16) -> DataFrame:
+def boxes_meet(boxes: DataFrame, rects: DataFrame) -> DataFrame:
     """(rect_id, box_id): boxes and rectangles that meet, touching included, each pair once.
 
     ``boxes`` has box_id, ``rects`` rect_id, both minx, miny, maxx, maxy within the globe; a null or NaN bound, or a minimum above its maximum, meets nothing. Each box belongs to the
@@ -252,23 +301,26 @@ def boxes_meet(boxes: DataFrame, rects: DataFrame, salts: int = 16) -> DataFrame
         rows = df.where(ok).select(F.col(name).alias("id"), *(F.col(c).cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")))
         rows = rows.withColumn("maxx", F.least("maxx", F.lit(180.0))).withColumn("maxy", F.least("maxy", F.lit(180.0)))
         sides.append(rows.withColumn("k", _box_level(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))))
-    name_cell = lambda df: df.withColumn("cell", _cell_key(F.col("g"), F.lit(0), F.col("c.ix"), F.col("c.iy"))).drop("c")
+    name_cell = lambda df: df.withColumn("cell", _cell_key(F.col("g"), F.col("c.ix"), F.col("c.iy"))).drop("c")
 
     def own(df: DataFrame) -> DataFrame:
         return name_cell(df.withColumn("g", F.col("k")).withColumn("c", F.explode(_box_cells(F.col("k")))))
 
-    def up(df: DataFrame, strictly: bool) -> DataFrame:
+    def up(df: DataFrame, strictly: bool, levels: list[int]) -> DataFrame:
         top = F.col("k") - (1 if strictly else 0)
-        rows = df.where(top >= 0).withColumn("g", F.explode(F.sequence(F.lit(0), top)))
+        rows = df.withColumn("g", F.explode(F.filter(F.array(*(F.lit(k) for k in levels)), lambda g: g <= top)))
         return name_cell(rows.withColumn("c", F.explode(_box_cells(F.col("g")))))
 
     def pair(filed: DataFrame, looked: DataFrame, names: tuple[str, str]) -> DataFrame:
         a = filed.select("cell", F.col("id").alias(names[0]), *(F.col(c).alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")))
         b = looked.select("cell", "g", F.col("id").alias(names[1]), *(F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")))
-        met = salted_join(b, a, "cell", F.col(names[1]), "inner", salts=salts)
+        met = salted_join(b, a, "cell", F.col(names[1]))
         x, y = F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny")
         meet = (x <= F.least("a_maxx", "b_maxx")) & (y <= F.least("a_maxy", "b_maxy"))
-        return met.where(meet & (F.col("cell") == _cell_key(F.col("g"), F.lit(0), _cell(x, F.col("g")), _cell(y, F.col("g"))))).select("rect_id", "box_id")
+        return met.where(meet & (F.col("cell") == _cell_key(F.col("g"), _cell(x, F.col("g")), _cell(y, F.col("g"))))).select("rect_id", "box_id")
 
     b, r = sides
-    return pair(own(r), up(b, False), ("rect_id", "box_id")).unionByName(pair(own(b), up(r, True), ("box_id", "rect_id")))
+    in_b, in_r = sorted(_used(b)), sorted(_used(r))  # only grids that the other side is filed in are looked up
+    if not in_b or not in_r:
+        return boxes.sparkSession.createDataFrame([], T.StructType([T.StructField("rect_id", r.schema["id"].dataType), T.StructField("box_id", b.schema["id"].dataType)]))
+    return pair(own(r), up(b, False, in_r), ("rect_id", "box_id")).unionByName(pair(own(b), up(r, True, in_b), ("box_id", "rect_id")))

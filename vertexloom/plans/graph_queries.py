@@ -370,12 +370,20 @@ def infer_geometry_type(spark, d):
     return out
 
 
-@query("SELECT region_id, fid FROM regions r JOIN (SELECT fid, min(bbox.minx) AS x0, min(bbox.miny) AS y0, max(bbox.maxx) AS x1, max(bbox.maxy) AS y1 FROM vertices WHERE bbox.minx BETWEEN -180 AND 180 AND bbox.maxx BETWEEN -180 AND 180 AND bbox.miny BETWEEN -90 AND 90 AND bbox.maxy BETWEEN -90 AND 90 GROUP BY fid) ON x0 <= x1 AND y0 <= y1 AND minx <= maxx AND NOT isnan(minx) AND NOT isnan(miny) AND NOT isnan(maxx) AND NOT isnan(maxy) AND x0 <= maxx AND x1 >= minx AND y0 <= maxy AND y1 >= miny")
+_DEG_X, _DEG_Y = "CASE WHEN metric THEN degrees({0} / 6378137) ELSE {0} END", "CASE WHEN metric THEN degrees(2 * atan(exp({0} / 6378137)) - pi() / 2) ELSE {0} END"
+_DEGREES = ", ".join(f"{f}({(_DEG_X if n[0] == 'x' else _DEG_Y).format('bbox.' + s)}) AS {n}" for f, s, n in (("min", "minx", "x0"), ("min", "miny", "y0"), ("max", "maxx", "x1"), ("max", "maxy", "y1")))
+
+
+@query(f"SELECT region_id, fid FROM (SELECT DISTINCT region_id, minx, miny, maxx, maxy FROM regions) r JOIN (SELECT fid, {_DEGREES} FROM vertices LEFT JOIN (SELECT DISTINCT file_id, true AS metric FROM file_header WHERE crs.code = 3857) USING (file_id) WHERE NOT isnan(bbox.minx) AND NOT isnan(bbox.miny) AND NOT isnan(bbox.maxx) AND NOT isnan(bbox.maxy) GROUP BY fid) ON x0 BETWEEN -180 AND 180 AND x1 BETWEEN -180 AND 180 AND y0 BETWEEN -90 AND 90 AND y1 BETWEEN -90 AND 90 AND x0 <= x1 AND y0 <= y1 AND minx <= maxx AND NOT isnan(minx) AND NOT isnan(miny) AND NOT isnan(maxx) AND NOT isnan(maxy) AND x0 <= maxx AND x1 >= minx AND y0 <= maxy AND y1 >= miny")
 def spatial_join_rects(spark, d):
-    """All regions against all vertex boxes."""
-    b = lambda c, most: F.col(f"bbox.{c}").between(-most, most)
-    rows = table(spark, d, "vertices").where(b("minx", 180.0) & b("maxx", 180.0) & b("miny", 90.0) & b("maxy", 90.0))
-    boxes = rows.groupBy(F.col("fid").alias("box_id")).agg(F.min("bbox.minx").alias("minx"), F.min("bbox.miny").alias("miny"), F.max("bbox.maxx").alias("maxx"), F.max("bbox.maxy").alias("maxy"))
+    """All regions against all vertex boxes in degrees: those of files in Web Mercator are projected. Boxes off the globe meet nothing."""
+    sides = ("minx", "miny", "maxx", "maxy")
+    rows = table(spark, d, "vertices").where(~(F.isnan("bbox.minx") | F.isnan("bbox.miny") | F.isnan("bbox.maxx") | F.isnan("bbox.maxy")))
+    rows = rows.join(proximity.metric_files(table(spark, d, "file_header")), "file_id", "left")
+    degrees = lambda s: F.when(F.col("metric"), (P.to_lon if s[-1] == "x" else P.to_lat)(F.col(f"bbox.{s}"))).otherwise(F.col(f"bbox.{s}"))
+    boxes = rows.groupBy(F.col("fid").alias("box_id")).agg(*((F.min if s.startswith("min") else F.max)(degrees(s)).alias(s) for s in sides))
+    on_globe = F.col("minx").between(-180.0, 180.0) & F.col("maxx").between(-180.0, 180.0) & F.col("miny").between(-90.0, 90.0) & F.col("maxy").between(-90.0, 90.0)
+    boxes = boxes.where(on_globe)
     rects = table(spark, d, "regions").where("region_id IS NOT NULL").select(F.col("region_id").alias("rect_id"), "minx", "miny", "maxx", "maxy").distinct()
     return proximity.boxes_meet(boxes, rects).select(F.col("rect_id").alias("region_id"), F.col("box_id").alias("fid"))
 
@@ -466,7 +474,9 @@ def geojson_parse(spark, d):
 @query("SELECT fid, count(*) AS n_rows FROM vertices WHERE geom IS NOT NULL GROUP BY fid")
 def geojson_roundtrip(spark, d):
     """Geometries to GeoJSON and back; rows whose coordinates come back unchanged."""
-    rows = table(spark, d, "vertices").where("geom IS NOT NULL").withColumn("back", G.from_geojson(G.to_geojson(F.col("geom"))))
+    rows = table(spark, d, "vertices").where("geom IS NOT NULL")
+    # Generated, so that the text is a column: Spark doesn't take a Python function over lambdas within lambdas.
+    rows = rows.withColumn("text", F.explode(F.array(G.to_geojson(F.col("geom"), rows.schema["geom"].dataType)))).withColumn("back", G.from_geojson(F.col("text")))
     return rows.where(G.same_shape(F.col("geom"), F.col("back"))).groupBy("fid").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -652,8 +662,14 @@ def in_degree(spark, d):
 
 @query("SELECT src AS fid, count(DISTINCT dst) AS n_neighbours, min(dst) AS first_neighbour FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src")
 def adjacency_size(spark, d):
-    n = F.col("neighbours")
-    return graph.adjacency(table(spark, d, "edges")).select("fid", F.size(n).cast("bigint").alias("n_neighbours"), n[0].alias("first_neighbour"))
+    return graph.neighbour_counts(table(spark, d, "edges"))
+
+
+@query("SELECT src AS fid, count(DISTINCT dst) AS n_neighbours, CAST(sum(DISTINCT dst) AS BIGINT) AS total FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src")
+def adjacency_lists(spark, d):
+    """Lists of neighbours, those of hot vertices in pages."""
+    lists = graph.adjacency(table(spark, d, "edges"), 1_000).select("fid", F.size("neighbours").alias("n"), F.aggregate("neighbours", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("t"))
+    return lists.groupBy("fid").agg(F.sum("n").cast("bigint").alias("n_neighbours"), F.sum("t").alias("total"))
 
 
 @query(f"WITH {_FOLDED}, pairs AS (SELECT DISTINCT src, dst FROM folded) SELECT a.src, a.dst FROM pairs a JOIN pairs b ON a.src = b.dst AND a.dst = b.src")

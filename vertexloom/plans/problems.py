@@ -5,38 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.common import distinct_names, materialize, table
+from vertexloom.common import distinct_names, stored, table
 from vertexloom.operators import drift, proximity, references, shred, skew
 
 NEAR_M = 50.0
 HOT_SHARE = 0.01
 
 
+_FIELDS = ("object", "string", "number", "boolean")
+
+
+def _adjacency(spark: SparkSession, d: str, tables: tuple[str, ...], nested: bool = False) -> DataFrame:
+    """The stored adjacency table of objects and their scalars; with ``nested`` only of records that may hold an object below their root."""
+    out = None
+    for name in tables:
+        id_col, text = {"edges": ("eid", "properties"), "raw_features": ("raw_id", "payload")}[name]
+        rows = table(spark, d, name)
+        rows = rows.where(shred.may_nest(text)) if nested else rows
+        one = shred.shred(shred.keyed(rows, id_col), name, id_col, text, _FIELDS, list_scalars=False)
+        out = one if out is None else out.unionByName(one)
+    return stored(out, "adjacency")
+
+
+_NO_ID = -(2**62)  # below: records without an id
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    edges = shred.objects_below_root(table(spark, d, "edges"), "edges", "eid", "properties")
-    return edges.unionByName(shred.objects_below_root(table(spark, d, "raw_features"), "raw_features", "raw_id", "payload"))
+    """Every object below the root of its record with its parent: the links of the entity table, which is built and stored with all its fields.
 
+    Records without an id have null as theirs. Records that hold no object below the root are passed over in the JVM.
+    """
+    entities = stored(shred.entity_rows(_adjacency(spark, d, ("edges", "raw_features"), nested=True)), "entities")
+    found = entities.where("node > 0").select("record_table", F.when(F.col("record_id") >= _NO_ID, F.col("record_id")).alias("record_id"), F.col("path").alias("node_path"), "parent_path")
+    return found.distinct()
 
-def p1_geometry_entities(spark: SparkSession, d: str) -> DataFrame:
-    """The geometry objects of the raw features as a flat table linked to their parents."""
-    adjacency = shred.shred(shred.keyed(table(spark, d, "raw_features"), "raw_id"), "raw_features", "raw_id", "payload")
-    out = shred.entity_table(adjacency, None, {"type": "string"}).where(F.col("entity").isin("geometry", "geometries", "$") & F.col("type").isNotNull())
-    return out.select(F.col("record_id").alias("raw_id"), "node", "object_parent", "path", "entity", "type")
+
+def _entities(spark: SparkSession, d: str, tables: tuple[str, ...]) -> DataFrame:
+    """The entity table with a text column per label that occurs (the driver gets a row per label); one named like a fixed column, or like another but for case, has trailing underscores."""
+    adjacency = _adjacency(spark, d, tables)
+    fields = sorted(r.label for r in shred.scalar_labels(adjacency).collect())
+    out = shred.entity_table(shred.entity_rows(adjacency), None, {x: "string" for x in fields})
+    fixed = out.columns[: len(out.columns) - len(fields)]
+    return out.toDF(*fixed, *distinct_names(fields, fixed))
 
 
 def p1_entities(spark: SparkSession, d: str) -> DataFrame:
     """Every object of the edge properties and the raw features, roots included, as a row with a link to its parent and its scalars as text columns.
 
-    The columns are the labels that occur (the driver gets a row per label); one named like a fixed column, or like another but for case, has trailing underscores.
     Records without an id stay apart under numbers far below zero.
     """
-    edges, raw = shred.keyed(table(spark, d, "edges"), "eid"), shred.keyed(table(spark, d, "raw_features"), "raw_id")
-    labels = shred.scalar_labels(edges, "properties").union(shred.scalar_labels(raw, "payload")).distinct()
-    fields = sorted(r.label for r in labels.collect())
-    adjacency = shred.shred(edges, "edges", "eid", "properties").unionByName(shred.shred(raw, "raw_features", "raw_id", "payload"))
-    out = shred.entity_table(adjacency, None, {x: "string" for x in fields})
-    fixed = out.columns[: len(out.columns) - len(fields)]
-    return out.toDF(*fixed, *distinct_names(fields, fixed))
+    return _entities(spark, d, ("edges", "raw_features"))
+
+
+def p1_edge_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The objects of the edge properties with some of their fields: a flat table per entity, told apart by ``entity``."""
+    entities = shred.entity_rows(_adjacency(spark, d, ("edges",)))
+    out = shred.entity_table(entities, None, {x: "string" for x in ("name", "type", "weight", "code", "status")})
+    return out.drop("record_table").withColumnRenamed("record_id", "eid")
+
+
+def p1_geometry_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The geometry objects of the raw features as a flat table linked to their parents."""
+    out = shred.entity_table(shred.entity_rows(_adjacency(spark, d, ("raw_features",))), None, {"type": "string"})
+    out = out.where(F.col("entity").isin("geometry", "geometries", "$") & F.col("type").isNotNull())
+    return out.select(F.col("record_id").alias("raw_id"), "node", "object_parent", "path", "entity", "type")
+
+
+def p1_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Every position of the raw features' geometries, linked to its geometry object by the node."""
+    adjacency = stored(shred.shred(shred.keyed(table(spark, d, "raw_features"), "raw_id"), "raw_features", "raw_id", "payload"), "adjacency")
+    return shred.coordinate_table(adjacency).drop("record_table").withColumnRenamed("record_id", "raw_id")
 
 
 def p1_node_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +102,7 @@ def _locations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    points = materialize(_locations(spark, d))
+    points = stored(_locations(spark, d), "points")
     near = proximity.near_pairs(points, NEAR_M).select(F.lit("near").alias("kind"), F.col("fid_a").alias("key_a"), F.col("fid_b").alias("key_b"))
     return near.unionByName(_inside(points, proximity.region_rects(table(spark, d, "regions")), "region")).unionByName(
         _inside(points.where(F.col("file_id").isNotNull()), proximity.envelopes(table(spark, d, "file_header")), "envelope")
@@ -75,6 +113,22 @@ def _inside(points: DataFrame, rects: DataFrame, kind: str) -> DataFrame:
     return proximity.points_in_rects(points, rects).select(F.lit(kind).alias("kind"), F.col("rect_id").alias("key_a"), F.col("fid").alias("key_b"))
 
 
+def p3_near_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The compact form of the near pairs: pairs of positions, each named by its smallest ``fid``; see ``p3_membership``."""
+    return proximity.near_classes(stored(_locations(spark, d), "points"), NEAR_M).select("rep_a", "rep_b")
+
+
+def p3_membership(spark: SparkSession, d: str) -> DataFrame:
+    """The position class of every location."""
+    return proximity.membership(stored(_locations(spark, d), "points")).select("fid", F.col("rep").alias("class_id"))
+
+
+def p3_in_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Locations in the polygons of vertices."""
+    polys = stored(proximity.polygons(table(spark, d, "vertices"), table(spark, d, "file_header")), "polygons")
+    return proximity.points_in_polygons(stored(_locations(spark, d), "points"), polys)
+
+
 def p3_region_counts(spark: SparkSession, d: str) -> DataFrame:
     """Locations per region."""
     inside = proximity.points_in_rects(_locations(spark, d), proximity.region_rects(table(spark, d, "regions")))
@@ -119,7 +173,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_entities, p1_geometry_entities, p1_node_kinds, p2_found, p2_report, p3_found, p3_region_counts, p4_found, p4_key_totals, p4_kind_rollup, p5_found, p5_lifespans, p5_table)
+    for f in (p1_found, p1_entities, p1_edge_entities, p1_geometry_entities, p1_coordinates, p1_node_kinds, p2_found, p2_report, p3_found, p3_near_classes, p3_membership, p3_in_polygons, p3_region_counts, p4_found, p4_key_totals, p4_kind_rollup, p5_found, p5_lifespans, p5_table)
 }
 
 _ORPHANS = """
@@ -163,6 +217,27 @@ placed AS (
 )
 """
 
+_CLASSES = ", classes AS (SELECT lon, lat, min(fid) AS rep FROM locations GROUP BY lon, lat)"
+#: Each side of each ring of the polygons, in degrees: the last position leads back to the ring's first
+_POLYGONS = """
+, shapes AS (
+  SELECT fid AS poly_id, coalesce(code = 3857, false) AS metric, unnest(CASE WHEN geom.type = 3 THEN [{'xy': geom.xy, 'ends': geom.ends}] ELSE list_transform(geom.parts, lambda p: {'xy': p.xy, 'ends': p.ends}) END) AS s
+  FROM (SELECT DISTINCT ON (fid) fid, file_id, geom FROM vertices WHERE geom.type IN (3, 6) ORDER BY fid) LEFT JOIN headers USING (file_id)
+), cut AS (
+  SELECT poly_id, metric, s.xy AS xy, CASE WHEN len(s.ends) > 0 THEN s.ends ELSE [CAST(len(s.xy) // 2 AS INTEGER)] END AS ends FROM shapes WHERE s.xy IS NOT NULL
+), rings AS (
+  SELECT poly_id, metric, xy, unnest(list_transform(ends, lambda e, i: {'a': CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] END, 'b': e})) AS r FROM cut
+), steps AS (
+  SELECT poly_id, metric, xy, i, CASE WHEN i + 1 < r.b THEN i + 1 ELSE r.a END AS j FROM (SELECT *, unnest(range(r.a, r.b)) AS i FROM rings)
+), raw_sides AS (
+  SELECT poly_id, metric, xy[2 * i + 1] AS u1, xy[2 * i + 2] AS v1, xy[2 * j + 1] AS u2, xy[2 * j + 2] AS v2 FROM steps
+), sides AS (
+  SELECT poly_id, CASE WHEN metric THEN degrees(u1 / 6378137) ELSE u1 END AS x1, CASE WHEN metric THEN degrees(2 * atan(exp(v1 / 6378137)) - pi() / 2) ELSE v1 END AS y1,
+    CASE WHEN metric THEN degrees(u2 / 6378137) ELSE u2 END AS x2, CASE WHEN metric THEN degrees(2 * atan(exp(v2 / 6378137)) - pi() / 2) ELSE v2 END AS y2
+  FROM raw_sides WHERE poly_id NOT IN (SELECT poly_id FROM raw_sides WHERE u1 IS NULL OR v1 IS NULL OR isnan(u1) OR isnan(v1))
+)
+"""
+
 SQL = {
     "p2_found": _ORPHANS + "SELECT * FROM orphans WHERE reason IS NOT NULL",
     "p2_report": _ORPHANS + "SELECT ref_table, ref_field, reason, period, count(*) AS n_refs FROM orphans WHERE reason IS NOT NULL GROUP BY ALL",
@@ -179,6 +254,17 @@ SELECT 'near' AS kind, a.fid AS key_a, b.fid AS key_b FROM banded a JOIN (SELECT
 UNION ALL SELECT 'region', region_id, fid FROM in_region
 UNION ALL SELECT 'envelope', env.file_id, fid FROM locations l JOIN env
   ON l.file_id <> env.file_id AND lat BETWEEN miny AND maxy AND CASE WHEN minx > maxx THEN lon >= minx OR lon <= maxx ELSE lon BETWEEN minx AND maxx END""",
+    "p3_near_classes": _LOCATIONS + _CLASSES + """, banded AS (SELECT rep, lon, lat, CAST(floor(lat * 1000) AS BIGINT) AS band FROM classes)
+SELECT a.rep AS rep_a, b.rep AS rep_b FROM banded a JOIN (SELECT rep, lon, lat, unnest([band - 1, band, band + 1]) AS band FROM banded) b
+  ON a.band = b.band AND a.rep < b.rep AND abs(a.lat - b.lat) < 0.0005
+  AND 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 50""",
+    "p3_membership": _LOCATIONS + _CLASSES + " SELECT fid, rep AS class_id FROM locations JOIN classes USING (lon, lat)",
+    "p3_in_polygons": _LOCATIONS + _POLYGONS + """
+SELECT poly_id, fid FROM (
+  SELECT poly_id, fid, count(*) FILTER (((y1 <= lat AND lat < y2) OR (y2 <= lat AND lat < y1)) AND x1 + (lat - y1) / nullif(y2 - y1, 0) * (x2 - x1) < lon) AS crossed
+  FROM locations JOIN (SELECT poly_id, min(x1) AS bx0, max(x1) AS bx1, min(y1) AS by0, max(y1) AS by1 FROM sides GROUP BY poly_id) ON lon BETWEEN bx0 AND bx1 AND lat BETWEEN by0 AND by1 JOIN sides USING (poly_id)
+  GROUP BY poly_id, fid
+) WHERE crossed % 2 = 1""",
     "p3_region_counts": _LOCATIONS + "SELECT region_id, count(*) AS n_locations FROM in_region GROUP BY region_id",
     "p4_found": """
 WITH ends AS (SELECT 'src' AS ref_field, src AS ref_key FROM edges UNION ALL SELECT 'dst', dst FROM edges)
