@@ -20,6 +20,10 @@ def plain(sizes, capacity, k):
     """The same rule with a list instead of a bitset."""
     open_, out, n = [], [], 0
     for s in sizes:
+        if s == capacity:
+            out.append(n)
+            n += 1
+            continue
         fit = [b for b in open_ if b[0] >= s]
         if fit:
             b = min(fit, key=lambda b: b[0])
@@ -42,6 +46,7 @@ def test_best_fit(k):
     sizes = [rnd.randint(1, 100) for _ in range(800)]
     spans = check(list(packing.best_fit(sizes, 100, k)), sizes, 100)
     assert len(spans) == plain(sizes, 100, k)
+    assert len({b for b, _, _ in packing.best_fit([60, 100, 40], 100, 1)}) == 2
     assert list(packing.best_fit([], 10)) == [] and list(packing.best_fit([10, 10], 10, 1)) == [(0, 0, 10), (1, 0, 10)]
 
 

@@ -1,7 +1,8 @@
 """Filling containers of a fixed capacity with texts: bounded-space online best fit.
 
 Texts are spread over lanes; each lane packs on its own with a fixed number of open bins. A bitset has a bit for every amount of free space that some open bin has, so the
-tightest bin that takes an item is one shift and one lowest bit away. If none takes it, a new bin opens, for which the fullest closes when the lane has its number open.
+tightest bin that takes an item is one shift and one lowest bit away. If none takes it, a new bin opens, for which the fullest closes when the lane has its number open. An item that fills a bin by
+itself has one of its own and closes none.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ def best_fit(sizes: Iterable[int], capacity: int, open_bins: int = OPEN_BINS) ->
     """(bin, offset, size) of each item, in order; sizes are 1 to ``capacity``. Bins are numbered as they open."""
     free_bits, by_free, n_open, opened = 0, {}, 0, 0
     for size in sizes:
+        if size == capacity:
+            yield opened, 0, size
+            opened += 1
+            continue
         fitting = free_bits >> size
         if fitting:
             free = size + (fitting & -fitting).bit_length() - 1
