@@ -87,7 +87,7 @@ def test_uncapped_sources_have_their_share(spark):
     rows = queries.p7_shares(spark, "/root/testdata/sf0.01").collect()
     assert sum(not r.capped for r in rows) >= 5 and abs(sum(r.reached_share for r in rows) - 1) < 1e-9
     for r in rows:
-        assert r.capped or abs(r.reached_share / r.target_share - 1) < 0.02, r  # some have few documents
+        assert r.capped or abs(r.reached_share / r.target_share - 1) < 0.05, r  # some have few documents
     assert queries.p7_checks(spark, "/root/testdata/sf0.01").collect()[0].n_off_target == 0
 
 
