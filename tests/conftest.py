@@ -7,6 +7,11 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+from vertexloom import common  # noqa: E402
+
+common.TASK_ROWS = 0  # small tables are salted too
+
+
 @pytest.fixture(scope="session")
 def spark():
     s = (

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_SALTS = 1024  # tasks over which one key is spread, at most
+TASK_ROWS = 500_000  # rows that one task may have whatever their keys
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +44,10 @@ def key_salts(df: DataFrame, key: str) -> dict[int, list]:
     """Salts -> the keys that are to be spread over so many tasks.
 
     A key is hot if it holds at least half the rows of an even shuffle partition, so there are at most twice as many as partitions, whatever the data; it gets a salt for each such half
-    that it holds, rounded up to a power of two. More partitions, as a larger cluster has, make both the threshold lower and the pieces smaller.
+    that it holds, rounded up to a power of two. More partitions, as a larger cluster has, make both the threshold lower and the pieces smaller. Of at most ``TASK_ROWS`` rows no key is hot.
     """
+    if df.count() <= TASK_ROWS:
+        return {}
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     out: dict[int, list] = defaultdict(list)
     for value, n, total in heavy_keys(df, key, 0.5 / parts).collect():
