@@ -184,8 +184,8 @@ def _raise(n_src: int, n_dst: int, n_loop: int, n_vertices: int) -> None:
         raise codec.ContainerError(f"{n_loop} edges lead from a vertex to itself")
 
 
-def _placed(vertices: DataFrame, id_column: str, folder: str, index_node_size: int) -> tuple[DataFrame, list[segments.Segment], list]:
-    """((id, part, at) of every vertex, the segments, the columns): one pass that encodes the vertices in order and notes where each went."""
+def _placed(vertices: DataFrame, id_column: str, folder: str, index_node_size: int, parts: int | None) -> tuple[DataFrame, list[segments.Segment], list]:
+    """((id, part, at) of every vertex, the segments, the columns): one pass that encodes the vertices in order and notes where each went. ``parts`` tasks, or as many as the size asks for."""
     columns, attributes = _wire(vertices, [f for f in vertices.schema.fields if f.name not in (id_column, "geom", "bbox")])
     rows = vertices.select(F.col(id_column).alias("_id"), as_geometry(F.col("geom"), vertices.schema["geom"].dataType).alias("_geom"), *attributes)
     order = ["_id"]
@@ -195,7 +195,7 @@ def _placed(vertices: DataFrame, id_column: str, folder: str, index_node_size: i
         envelope = tuple(0.0 if v is None else v for v in e)
         rows = rows.withColumn("_key", hilbert_key((box["minx"] + box["maxx"]) / 2, (box["miny"] + box["maxy"]) / 2, envelope))
         order = ["_key", "_id"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_key")
+    ordered = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).sortWithinPartitions(*order).drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = segments.VertexSegment(columns, folder, bool(index_node_size))
@@ -216,8 +216,8 @@ def _placed(vertices: DataFrame, id_column: str, folder: str, index_node_size: i
     return noted.where("segment IS NULL").select("id", "part", "at"), sorted(written, key=lambda s: s.part), columns
 
 
-def _edge_segments(edges: DataFrame, positions: DataFrame, end: Callable[[Column], Column], n: int, folder: str, files: int | None) -> tuple[list[segments.Segment], list]:
-    """(segments, columns) of the edges. ``end`` makes of a row of ``positions`` what an edge keeps of it: a number, or with ``files`` a struct (file, at)."""
+def _edge_segments(edges: DataFrame, positions: DataFrame, end: Callable[[Column], Column], n: int, folder: str, parts: int, files: bool) -> tuple[list[segments.Segment], list]:
+    """(segments, columns) of the edges. ``end`` makes of a row of ``positions`` what an edge keeps of it: a number, or with ``files`` a struct (file, at). ``parts`` tasks."""
     columns, attributes = _wire(edges, [f for f in edges.schema.fields if f.name not in ("eid", "src", "dst")])
     order = F.col("eid") if "eid" in edges.columns else F.lit(None).cast("bigint")
     rows = edges.select(order.alias("_eid"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), *attributes)
@@ -230,8 +230,7 @@ def _edge_segments(edges: DataFrame, positions: DataFrame, end: Callable[[Column
         known = places.toDF(key, to)
         placed = placed.join(F.broadcast(known), key, "left") if small else salted_join(placed, known, key, spread, "left", counted=rows)
     tie = ["_eid", "_from", "_to"]
-    ranged = placed.repartitionByRange(files, *tie) if files else placed.repartitionByRange(*tie)
-    ranged = ranged.sortWithinPartitions(*tie, *names)
+    ranged = placed.repartitionByRange(parts, *tie).sortWithinPartitions(*tie, *names)
     own = [*columns, *layouts.end_columns()] if files else columns
     if files:
         here = F.spark_partition_id()
@@ -243,7 +242,7 @@ def _edge_segments(edges: DataFrame, positions: DataFrame, end: Callable[[Column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = segments.EdgeSegment(own, folder)
         for b in batches:
-            segment.add(b, files is not None)
+            segment.add(b, files)
         yield pa.RecordBatch.from_arrays([pa.array([segment.close().to_json()])], names=["segment"])
 
     found = [segments.Segment.from_json(r.segment) for r in out.mapInArrow(run, "segment string").collect()]  # a row per task
@@ -278,13 +277,14 @@ def write_graph(
     path = resolve(spark, path)
     folder = segments.staging_folder(path)
     try:
-        positions, written, columns = _placed(vertices, id_column, folder, index_node_size)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        positions, written, columns = _placed(vertices, id_column, folder, index_node_size, parts)
         n = sum(s.n_rows for s in written)
         graph, edge_segments = None, []
         if edges is not None:
             starts = _starts(written)
             first = F.array(*(F.lit(starts.get(p, 0)).cast("bigint") for p in range(max(starts, default=0) + 1)))
-            edge_segments, edge_columns = _edge_segments(edges, positions, lambda p: F.get(first, F.col("part")) + F.col("at"), n, folder, None)
+            edge_segments, edge_columns = _edge_segments(edges, positions, lambda p: F.get(first, F.col("part")) + F.col("at"), n, folder, parts, False)
             _check(edge_segments, n)
             graph = GraphMeta(sum(s.n_rows for s in edge_segments), edge_columns or None)
         segments.assemble(path, written, columns, _head(meta, crs_code), index_node_size, allow_empty, graph, edge_segments)
@@ -327,14 +327,14 @@ def write_graph_directory(
     fs.create_dir(inner, recursive=True)
     folder = segments.staging_folder(f"{path}/_write")
     try:
-        positions, written, columns = _placed(vertices, id_column, folder, index_node_size)
+        positions, written, columns = _placed(vertices, id_column, folder, index_node_size, None)
         written = [s for s in written if s.n_rows]
         n = sum(s.n_rows for s in written)
         found, edge_columns = [], []
         if edges is not None:
             number = {s.part: k for k, s in enumerate(written)}
             file = F.array(*(F.lit(number.get(p, -1)) for p in range(max(number, default=0) + 1)))
-            found, edge_columns = _edge_segments(edges, positions, lambda p: F.struct(F.get(file, F.col("part")).alias("file"), F.col("at").alias("at")), n, folder, max(len(written), 1))
+            found, edge_columns = _edge_segments(edges, positions, lambda p: F.struct(F.get(file, F.col("part")).alias("file"), F.col("at").alias("at")), n, folder, max(len(written), 1), True)
             _check(found, n)
         by_part = {s.part: s for s in found}
         rows = [(k, s.to_json(), by_part[k].to_json() if k in by_part else None) for k, s in enumerate(written)]
