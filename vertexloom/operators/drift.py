@@ -7,7 +7,6 @@ from which casts into one consistent table are generated.
 
 from __future__ import annotations
 
-import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vertexloom.common import distinct_names, materialize
-from vertexloom.operators.shred import parse, unwrap
+from vertexloom.common import distinct_names, stored
+from vertexloom.operators.shred import Lexeme, parse, unwrap
 
 # Column type codes and the JSON kind each allows
 TYPE_KINDS = {
@@ -62,28 +61,29 @@ def edge_lists(graph_header: DataFrame) -> DataFrame:
 def versions(lists: DataFrame) -> DataFrame:
     """Adds ``version``: 1, 2, … per data set and section in the order of ``written_at`` (ties: ``file_id``)."""
     order = Window.partitionBy("dataset_id", "section").orderBy("written_at", "file_id")
-    return lists.withColumn("version", F.row_number().over(order))
+    keys = lists.select("dataset_id", "section", "file_id", "written_at").withColumn("version", F.row_number().over(order))  # the lists themselves stay where they are
+    return lists.join(keys.select("section", "file_id", "version"), ["section", "file_id"])
 
 
 def lifespans(versioned: DataFrame) -> DataFrame:
-    """The catalogue: a row per file and column with flags where an island of the field starts or ends, and the type before.
+    """The catalogue: a row per file and column with flags where an island of its field and type starts or ends.
 
-    (dataset_id, section, column_name, type, title, description, file_id, version, starts, ends, type_before). ``starts``: the previous version lacks the
-    field; ``ends``: the next one does; ``type_before`` is set where the field continues. A name repeated in a list counts once.
+    (dataset_id, section, column_name, type, title, description, file_id, version, starts, ends). ``starts``: the previous version lacks the field in this type; ``ends``: the next one does. A name
+    repeated in a list counts once.
     """
     last = versioned.groupBy("dataset_id", "section").agg(F.max("version").alias("last_version"))
     cols = versioned.select("dataset_id", "section", "file_id", "version", F.posexplode("columns").alias("pos", "c")).where(F.col("c.name").isNotNull())
     once = cols.groupBy("dataset_id", "section", "file_id", "version", F.col("c.name").alias("column_name")).agg(F.min(F.struct("pos", "c.type", "c.title", "c.description")).alias("c"))
-    field = Window.partitionBy("dataset_id", "section", "column_name").orderBy("version")
+    once = once.withColumn("type", F.col("c.type"))
+    field = Window.partitionBy("dataset_id", "section", "column_name", "type").orderBy("version")
     gap_before, gap_after = F.col("version") - F.lag("version").over(field), F.lead("version").over(field) - F.col("version")
     return (
-        once.select("dataset_id", "section", "column_name", "c.type", "c.title", "c.description", "file_id", "version", gap_before.alias("_b"), gap_after.alias("_a"), F.lag("c.type").over(field).alias("_t"))
+        once.select("dataset_id", "section", "column_name", "type", "c.title", "c.description", "file_id", "version", gap_before.alias("_b"), gap_after.alias("_a"))
         .join(last, ["dataset_id", "section"])
         .select(
             "dataset_id", "section", "column_name", "type", "title", "description", "file_id", "version",
             ((F.col("version") > 1) & (F.coalesce("_b", F.lit(0)) != 1)).alias("starts"),
             ((F.col("version") < F.col("last_version")) & (F.coalesce("_a", F.lit(0)) != 1)).alias("ends"),
-            F.when(F.col("_b") == 1, F.col("_t")).alias("type_before"),
         )
     )
 
@@ -127,8 +127,8 @@ def pair_renames(gone: list[dict], come: list[dict]) -> list[tuple[str, str]]:
 def declared_changes(catalogue: DataFrame) -> DataFrame:
     """(file_id, section, change, column_name, old_name, old_type, new_type, dataset_id, version): what each list changed against the one before.
 
-    Islands give the starts and ends; those of one version, at most a list's length, meet in one Arrow batch to be paired. ``change`` is added, removed,
-    renamed or retyped; a rename with another type gives both.
+    Islands give the starts and ends; those of one version, at most a list's length, meet in one Arrow batch to be paired. A field that ends in one type and starts in another is retyped (unless one of the
+    codes is null), the others are paired into renames. ``change`` is added, removed, renamed or retyped; a rename with another type gives both.
     """
     side = lambda kind, shift: F.struct(F.lit(kind).alias("kind"), "column_name", "type", "title", "description", (F.col("version") + shift).alias("version"))
     marks = catalogue.select("dataset_id", "section", F.explode(F.array_compact(F.array(F.when(F.col("starts"), side("come", 0)), F.when(F.col("ends"), side("gone", 1))))).alias("m")).select("dataset_id", "section", "m.*")
@@ -139,10 +139,14 @@ def declared_changes(catalogue: DataFrame) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("dataset_id", "section", "version", "change", "column_name", "old_name", "old_type", "new_type")}
             for row in batch.to_pylist():
                 gone, come = ([m for m in row["marks"] if m["kind"] == k] for k in ("gone", "come"))
+                stay = {g["column_name"]: g["type"] for g in gone}
+                stay = {c["column_name"]: (stay[c["column_name"]], c["type"]) for c in come if c["column_name"] in stay}
+                gone, come = [m for m in gone if m["column_name"] not in stay], [m for m in come if m["column_name"] not in stay]
                 types_g, types_c = {g["column_name"]: g["type"] for g in gone}, {c["column_name"]: c["type"] for c in come}
                 pairs = pair_renames(gone, come)
                 found = [("renamed", c, g, types_g[g], types_c[c]) for g, c in pairs]
                 found += [("retyped", c, g, types_g[g], types_c[c]) for g, c in pairs if types_g[g] != types_c[c]]
+                found += [("retyped", n, n, a, b) for n, (a, b) in stay.items() if a is not None and b is not None]
                 found += [("removed", g, g, types_g[g], None) for g in types_g if g not in {p for p, _ in pairs}]
                 found += [("added", c, None, None, types_c[c]) for c in types_c if c not in {p for _, p in pairs}]
                 for x in found:
@@ -150,11 +154,7 @@ def declared_changes(catalogue: DataFrame) -> DataFrame:
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()))], names=list(out))
 
-    paired = per_version.mapInArrow(run, "dataset_id string, section string, version int, change string, column_name string, old_name string, old_type int, new_type int")
-    kept = catalogue.where(F.col("type_before") != F.col("type")).select(
-        "dataset_id", "section", "version", F.lit("retyped").alias("change"), "column_name", F.col("column_name").alias("old_name"), F.col("type_before").alias("old_type"), F.col("type").alias("new_type")
-    )
-    return paired.unionByName(kept)
+    return per_version.mapInArrow(run, "dataset_id string, section string, version int, change string, column_name string, old_name string, old_type int, new_type int")
 
 
 def with_files(changes: DataFrame, versioned: DataFrame) -> DataFrame:
@@ -174,10 +174,7 @@ def value_kinds(edges: DataFrame) -> DataFrame:
             seen: set[tuple] = set()
             keys: dict[int, set] = defaultdict(set)
             for file_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    value = json.loads(text)
-                except (ValueError, RecursionError):
-                    value = parse(text)[1]
+                value = parse(text)[1]
                 if type(value) is str:
                     value = unwrap(value)
                 if type(value) is dict:
@@ -191,7 +188,7 @@ def value_kinds(edges: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "file_id bigint, column_name string, kind string").distinct()
 
 
-_KINDS = {bool: "boolean", int: "number", float: "number", str: "string", dict: "nested", list: "nested", type(None): "null"}
+_KINDS = {bool: "boolean", int: "number", float: "number", Lexeme: "number", str: "string", dict: "nested", list: "nested", type(None): "null"}
 
 
 def _allowed(type_code: Column) -> Column:
@@ -214,7 +211,7 @@ def schema_changes(file_header: DataFrame, graph_header: DataFrame, edges: DataF
     """(file_id, section, change, column_name): every declared and undeclared change, each once."""
     lists = column_lists(file_header, graph_header)
     versioned = versions(lists)
-    declared = with_files(declared_changes(materialize(lifespans(versioned))), versioned).select("file_id", "section", "change", "column_name")
+    declared = with_files(declared_changes(lifespans(versioned)), versioned).select("file_id", "section", "change", "column_name")
     return declared.unionByName(undeclared_values(edges, edge_lists(graph_header))).distinct()
 
 
@@ -253,48 +250,70 @@ def alias_table(catalogue: DataFrame, changes: DataFrame, section: str = "edge")
     return typed.select(*keys, "column_name", "canonical").join(kinds.select(*keys, "canonical", wide.alias("type")), [*keys, "canonical"]).select(*keys, "column_name", "canonical", "type")
 
 
-def consistent_edges(edges: DataFrame, file_header: DataFrame, graph_header: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """All edges as one table: (eid, file_id, dataset_id, src, dst, recorded_at), the canonical columns as text and the map ``other``, once per ``eid``.
+def aliases_of(file_header: DataFrame, graph_header: DataFrame, section: str) -> DataFrame:
+    """The stored alias table of a section."""
+    catalogue = stored(lifespans(versions(column_lists(file_header, graph_header))), "catalogue")
+    return stored(alias_table(catalogue, declared_changes(catalogue), section), "aliases")
+
 
-    Without ``columns`` these are all canonical names of the alias table: the driver gets one row per name. Every property goes through its data set's aliases, whatever
-    columns are asked for; edges of unknown files and keys that no list of the data set holds keep their own names. Of several values of one field the largest text that can be
-    cast to the field's type is kept. All that has no place in a column (keys without one, values that can't be cast, further values of a field) is in ``other`` as it was, under its own
-    key; null there if nothing is left over. JSON nulls are no values; of a key repeated in one object the last counts. A column named like a fixed one, or like another but for case, gets
-    trailing underscores. Rows with a null ``eid`` are left out; of repeated rows one is taken (they are equal), one with properties before one without.
+def placed_values(rows: DataFrame, keys: list[str], text_col: str, file_header: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(keys, dataset_id, values): the values of the JSON object in ``text_col`` under the names that hold for the row's data set (``file_id``).
+
+    ``values`` is an array of struct<name, fit, key, value>: the canonical name, the value as text cast to the field's type (null if it can't be), the row's own key and the value as it was, in the order of
+    names and, within one, of cast values, null first. Rows of unknown files and keys that no list of the data set holds keep their own names. JSON nulls are no values; of a key repeated in one object
+    the last counts. A string that holds the object stands for it.
     """
-    catalogue = materialize(lifespans(versions(column_lists(file_header, graph_header))))
-    aliases = alias_table(catalogue, declared_changes(catalogue))
-    if columns is None:
-        aliases = materialize(aliases)
-        columns = sorted(r.canonical for r in aliases.select("canonical").distinct().collect())
     # The names of one producer meet in one row, as in the alias table.
     maps = aliases.groupBy("dataset_id").agg(F.map_from_entries(F.collect_list(F.struct("column_name", F.struct("canonical", "type").alias("to")))).alias("_aliases"))
     producers = file_header.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.min("dataset_id").alias("dataset_id")).join(maps, "dataset_id", "left")
-    own = ["file_id", "src", "dst", "recorded_at"]
-    row = F.struct(F.col("properties").isNull().alias("_none"), "properties", *own)
-    once = edges.where(F.col("eid").isNotNull()).groupBy("eid").agg(F.min(row).alias("r")).select("eid", "r.*").drop("_none").join(producers, "file_id", "left")
-    # A string that holds the object stands for it: reading it as a member unwraps it.
-    text = F.get_json_object(F.concat(F.lit('{"x":'), F.col("properties"), F.lit("}")), "$.x")
-    fixed = ["file_id", "dataset_id", "src", "dst", "recorded_at"]
-    parsed = once.select("eid", *fixed, "_aliases", F.from_json(text, "map<string,string>").alias("_map"))
-    keys = F.reverse(F.map_keys("_map"))
-    last = F.filter(F.reverse(F.map_entries("_map")), lambda e, i: e["value"].isNotNull() & (F.array_position(keys, e["key"]) == i + 1))
+    # Reading the text as a member unwraps it.
+    text = F.get_json_object(F.concat(F.lit('{"x":'), F.col(text_col), F.lit("}")), "$.x")
+    parsed = rows.join(producers, "file_id", "left").select(*keys, "dataset_id", "_aliases", F.from_json(text, "map<string,string>").alias("_map"))
+    names = F.reverse(F.map_keys("_map"))
+    last = F.filter(F.reverse(F.map_entries("_map")), lambda e, i: e["value"].isNotNull() & (F.array_position(names, e["key"]) == i + 1))
 
     def place(e: Column) -> Column:
         to = F.try_element_at(F.col("_aliases"), e["key"])
         return F.struct(F.coalesce(to["canonical"], e["key"]).alias("name"), _cast(e["value"], to["type"]).alias("fit"), e["key"].alias("key"), e["value"].alias("value"))
 
-    # In the order of names and, within one, of cast values (null first): the last of a name is the one to keep.
-    placed = parsed.select("eid", *fixed, F.array_sort(F.transform(last, place)).alias("_placed"))
-    kept = lambda x, i: x["fit"].isNotNull() & ~F.get(F.col("_placed"), i + 1)["name"].eqNullSafe(x["name"]) & x["name"].isin(columns)
+    return parsed.select(*keys, "dataset_id", F.array_sort(F.transform(last, place)).alias("values"))
+
+
+def consistent_table(rows: DataFrame, keys: list[str], text_col: str, file_header: DataFrame, aliases: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(keys, dataset_id, a text column per canonical name, other): the objects of ``text_col`` as one table.
+
+    Without ``columns`` these are all canonical names of the alias table: the driver gets one row per name. Every property goes through its data set's aliases, whatever columns are asked for. Of several
+    values of one field the largest text that can be cast to the field's type is kept. All that has no place in a column (keys without one, values that can't be cast, further values of a field) is in
+    the map ``other`` as it was, under its own key; null there if nothing is left over. A column named like a fixed one, or like another but for case, gets trailing underscores.
+    """
+    if columns is None:
+        columns = sorted(r.canonical for r in aliases.select("canonical").distinct().collect())
+    placed = placed_values(rows, keys, text_col, file_header, aliases)
+    # in the order of values the last of a name is the one to keep
+    kept = lambda x, i: x["fit"].isNotNull() & ~F.get(F.col("values"), i + 1)["name"].eqNullSafe(x["name"]) & x["name"].isin(columns)
     entry = lambda k, v: lambda x: F.struct(x[k].alias("key"), x[v].alias("value"))
     split = placed.select(
-        "eid", *fixed,
-        F.map_from_entries(F.transform(F.filter("_placed", kept), entry("name", "fit"))).alias("_kept"),
-        F.map_from_entries(F.transform(F.filter("_placed", lambda x, i: ~kept(x, i)), entry("key", "value"))).alias("_rest"),
+        *keys, "dataset_id",
+        F.map_from_entries(F.transform(F.filter("values", kept), entry("name", "fit"))).alias("_kept"),
+        F.map_from_entries(F.transform(F.filter("values", lambda x, i: ~kept(x, i)), entry("key", "value"))).alias("_rest"),
     )
-    names = distinct_names(columns, ["eid", *fixed, "other"])
-    return split.select("eid", *fixed, *(F.try_element_at("_kept", F.lit(c)).alias(n) for c, n in zip(columns, names)), F.when(F.size("_rest") > 0, F.col("_rest")).alias("other"))
+    names = distinct_names(columns, [*keys, "dataset_id", "other"])
+    return split.select(*keys, "dataset_id", *(F.try_element_at("_kept", F.lit(c)).alias(n) for c, n in zip(columns, names)), F.when(F.size("_rest") > 0, F.col("_rest")).alias("other"))
+
+
+_EDGE_KEYS = ["eid", "file_id", "src", "dst", "recorded_at"]
+
+
+def distinct_edges(edges: DataFrame) -> DataFrame:
+    """Each edge once: rows with a null ``eid`` are left out; of repeated rows one is taken (they are equal), one with properties before one without."""
+    row = F.struct(F.col("properties").isNull().alias("_none"), "properties", "file_id", "src", "dst", "recorded_at")
+    return edges.where(F.col("eid").isNotNull()).groupBy("eid").agg(F.min(row).alias("r")).select("eid", "r.*").drop("_none")
+
+
+def consistent_edges(edges: DataFrame, file_header: DataFrame, graph_header: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """All edges as one table: (eid, file_id, src, dst, recorded_at, dataset_id), the canonical columns and ``other``, once per ``eid``; see ``consistent_table``."""
+    aliases = aliases_of(file_header, graph_header, "edge")
+    return consistent_table(distinct_edges(edges), _EDGE_KEYS, "properties", file_header, aliases, columns)
 
 
 def _cast(value: Column, code: Column) -> Column:

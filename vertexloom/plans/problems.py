@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.common import distinct_names, stored, table
 from vertexloom.operators import drift, proximity, references, shred, skew
+from vertexloom.sources import geojson
 
 NEAR_M = 50.0
 HOT_SHARE = 0.01
@@ -159,9 +160,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_lifespans(spark: SparkSession, d: str) -> DataFrame:
-    """Islands of each field: the first and last version of every unbroken run."""
+    """Islands of each field and type: first and last version, versions and starts after the first."""
     catalogue = drift.lifespans(drift.versions(drift.column_lists(table(spark, d, "file_header"), table(spark, d, "graph_header"))))
-    return catalogue.groupBy("dataset_id", "section", "column_name").agg(
+    return catalogue.groupBy("dataset_id", "section", "column_name", "type").agg(
         F.min("version").alias("first_version"), F.max("version").alias("last_version"), F.count(F.lit(1)).alias("n_versions"), F.sum(F.col("starts").cast("bigint")).alias("n_starts")
     ).withColumns({c: F.col(c).cast("bigint") for c in ("first_version", "last_version")})
 
@@ -171,9 +172,29 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_edges(table(spark, d, "edges"), table(spark, d, "file_header"), table(spark, d, "graph_header"))
 
 
+def p5_feature_table(spark: SparkSession, d: str) -> DataFrame:
+    """The properties of the delivered features as one table, as ``p5_table`` has those of the edges."""
+    headers = table(spark, d, "file_header")
+    aliases = drift.aliases_of(headers, table(spark, d, "graph_header"), "feature")
+    rows = geojson.payload_properties(table(spark, d, "raw_features").select("raw_id", "payload", "file_id"), "raw_id", "payload", "file_id")
+    return drift.consistent_table(rows, ["id", "position", "file_id"], "properties", headers, aliases).withColumnRenamed("id", "raw_id")
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent edge table in long form, counted: per data set and name how many values edges have, how many under another name, and the sum of those that are numbers."""
+    headers = table(spark, d, "file_header")
+    aliases = drift.aliases_of(headers, table(spark, d, "graph_header"), "edge")
+    rows = drift.distinct_edges(table(spark, d, "edges"))
+    cells = drift.placed_values(rows, ["eid"], "properties", headers, aliases).select("dataset_id", F.explode("values").alias("v"))
+    number = F.col("v.value").try_cast("double")
+    return cells.groupBy("dataset_id", F.col("v.name").alias("name")).agg(
+        F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("v.key") != F.col("v.name")).alias("n_renamed"), F.round(F.sum(F.when(~F.isnan(number), number)), 2).alias("total")
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_entities, p1_edge_entities, p1_geometry_entities, p1_coordinates, p1_node_kinds, p2_found, p2_report, p3_found, p3_near_classes, p3_membership, p3_in_polygons, p3_region_counts, p4_found, p4_key_totals, p4_kind_rollup, p5_found, p5_lifespans, p5_table)
+    for f in (p1_found, p1_entities, p1_edge_entities, p1_geometry_entities, p1_coordinates, p1_node_kinds, p2_found, p2_report, p3_found, p3_near_classes, p3_membership, p3_in_polygons, p3_region_counts, p4_found, p4_key_totals, p4_kind_rollup, p5_found, p5_lifespans, p5_table, p5_feature_table, p5_values)
 }
 
 _ORPHANS = """
@@ -282,9 +303,9 @@ lists AS (
   SELECT 'feature' AS section, file_id, dataset_id, written_at, cols FROM files WHERE cols IS NOT NULL
   UNION ALL SELECT 'edge', f.file_id, dataset_id, written_at, g.cols FROM files f JOIN graphs g USING (file_id) WHERE g.cols IS NOT NULL
 ), numbered AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, section ORDER BY written_at, file_id) AS version FROM lists),
-fields AS (SELECT DISTINCT dataset_id, section, version, c.name AS column_name FROM (SELECT dataset_id, section, version, unnest(cols) AS c FROM numbered) WHERE c.name IS NOT NULL),
-gaps AS (SELECT *, version - lag(version) OVER (PARTITION BY dataset_id, section, column_name ORDER BY version) AS gap FROM fields)
-SELECT dataset_id, section, column_name, min(version) AS first_version, max(version) AS last_version, count(*) AS n_versions,
+fields AS (SELECT dataset_id, section, version, c.name AS column_name, CAST(arg_min(c.type, i) AS INTEGER) AS type FROM (SELECT dataset_id, section, version, unnest(cols) AS c, unnest(range(len(cols))) AS i FROM numbered) WHERE c.name IS NOT NULL GROUP BY ALL),
+gaps AS (SELECT *, version - lag(version) OVER (PARTITION BY dataset_id, section, column_name, type ORDER BY version) AS gap FROM fields)
+SELECT dataset_id, section, column_name, type, min(version) AS first_version, max(version) AS last_version, count(*) AS n_versions,
   CAST(sum(CASE WHEN version > 1 AND coalesce(gap, 0) <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_starts
 FROM gaps GROUP BY ALL""",
 }

@@ -76,23 +76,28 @@ def _geometry(value) -> tuple[dict | None, str]:
     return {"type": GEOMETRY_TYPES["GeometryCollection"], "xy": None, "z": None, "m": None, "ends": None, "parts": parts, "within": within if deep else None}, "partial" if broken else "geometry"
 
 
-def geometries_of(text: str | None) -> Iterator[tuple[int, dict | None, str]]:
-    """(position, geometry struct, state) of each feature in a GeoJSON text of any wrapping; see ``payload_geometries``."""
-    todo, n = [unwrap(parse(text)[1])], 0
+def features_in(text: str | None) -> Iterator:
+    """The features, or what stands in their place, of a GeoJSON text of any wrapping."""
+    todo = [unwrap(parse(text)[1])]
     while todo:
         value = unwrap(todo.pop())
         if isinstance(value, dict) and isinstance(members := unwrap(value.get("features")), (list, dict)):
             value = members if isinstance(members, list) else [members]
         if isinstance(value, list) and value:
             todo.extend(reversed(value))
-            continue
+        else:
+            yield value
+
+
+def geometries_of(text: str | None) -> Iterator[tuple[int, dict | None, str]]:
+    """(position, geometry struct, state) of each feature in a GeoJSON text of any wrapping; see ``payload_geometries``."""
+    for n, value in enumerate(features_in(text)):
         g, state = None, "broken"
         if isinstance(value, list) or isinstance(value, dict) and (value.get("type") == "Feature" or "geometry" in value) and value.get("geometry") is None:
             state = "none"
         elif isinstance(value, dict):
             g, state = _geometry(value.get("geometry", value))
         yield n, g, state
-        n += 1
 
 
 def payload_geometries(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,6 +122,29 @@ def payload_geometries(rows: DataFrame, id_col: str, text_col: str) -> DataFrame
     return rows.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, f"id bigint, position int, geom {GEOMETRY}, state string")
 
 
+def payload_properties(rows: DataFrame, id_col: str, text_col: str, *carried: str) -> DataFrame:
+    """(id, position, properties, carried columns): the properties of each feature of GeoJSON texts in any wrapping as JSON text, null where it has none; positions as in ``payload_geometries``."""
+    kept = [rows.schema[c] for c in carried]
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("position", T.IntegerType()), T.StructField("properties", T.StringType()), *kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where: list[int] = []
+            positions: list[int] = []
+            texts: list[str | None] = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for n, value in enumerate(features_in(text)):
+                    p = unwrap(value.get("properties")) if isinstance(value, dict) else None
+                    where.append(i)
+                    positions.append(n)
+                    texts.append(json.dumps(p) if isinstance(p, dict) else None)
+            at = pa.array(where, pa.int32())
+            columns = [batch.column(0).take(at), pa.array(positions, pa.int32()), pa.array(texts, pa.string()), *(batch.column(2 + k).take(at) for k in range(len(kept)))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), *carried).mapInArrow(run, schema)
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = zip(*rows) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, schema)], schema=schema)
