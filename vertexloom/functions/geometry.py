@@ -174,7 +174,12 @@ def rings(geom: Column) -> Column:
 
 
 def rect_polygon(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
-    """The closed ring of a rectangle, counter-clockwise from its lower left corner."""
+    """The closed ring of a rectangle, counter-clockwise from its lower left corner; null if a bound is null or NaN: such a rectangle holds nothing."""
+    whole = minx.isNotNull() & miny.isNotNull() & maxx.isNotNull() & maxy.isNotNull() & ~(F.isnan(minx) | F.isnan(miny) | F.isnan(maxx) | F.isnan(maxy))
+    return F.when(whole, _ring(minx, miny, maxx, maxy))
+
+
+def _ring(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     return F.array(F.array(minx, miny), F.array(maxx, miny), F.array(maxx, maxy), F.array(minx, maxy), F.array(minx, miny))
 
 

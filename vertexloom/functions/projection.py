@@ -54,6 +54,13 @@ def geometry_between(geom: Column, source: int, target: int) -> Column:
     return F.when(geom.isNotNull(), geom.withField("xy", move(geom)).withField("parts", parts))
 
 
+def extent_between(minx: Column, miny: Column, maxx: Column, maxy: Column, source: int, target: int) -> Column:
+    """struct<minx, miny, maxx, maxy>: a rectangle in another CRS, null if a bound is null or NaN (such a rectangle holds nothing)."""
+    fx, fy = ((lambda c: c),) * 2 if source == target else _pair(source, target)
+    whole = ~(F.isnan(minx) | F.isnan(miny) | F.isnan(maxx) | F.isnan(maxy)) & minx.isNotNull() & miny.isNotNull() & maxx.isNotNull() & maxy.isNotNull()
+    return F.when(whole, F.struct(fx(minx).alias("minx"), fy(miny).alias("miny"), fx(maxx).alias("maxx"), fy(maxy).alias("maxy")))
+
+
 def rect_between(rect: Rect, source: int, target: int) -> Rect:
     """The rectangle in another CRS (both axes map monotonically, so corners suffice)."""
     if source == target:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vertexloom import streaming
-from vertexloom.common import salted_join, shared_folder, table
+from vertexloom.common import salted_join, shared_path, table
 from vertexloom.functions import geometry as G
 from vertexloom.functions import projection as P
 from vertexloom.functions.properties import build_properties, parse_properties
 from vertexloom.operators import graph, proximity
 from vertexloom.sources import geojson, graphs, rtree
+from vertexloom.sources.bytes import filesystem
+from vertexloom.sources.container import Container
 from vertexloom.types import COLUMN_TYPES, Rect, column_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,11 +89,19 @@ def whole_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges.select("eid", "src", "dst", "properties", "recorded_at")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder for containers, removed when the application ends."""
+    folder = shared_path(spark, "containers")
+    fs, inner = filesystem(folder)
+    fs.create_dir(inner, recursive=True)
+    return folder
+
+
 def container(spark: SparkSession, d: str, node_size: int = 0, whole: bool = False) -> str:
     """The path of the container of the graph (or, ``whole``, of the graph with stations), written once per session and directory."""
     key = (spark.sparkContext.applicationId, d, node_size, whole)
     if key not in _made:
-        path = f"{shared_folder(spark).rstrip('/')}/graph-{uuid.uuid4().hex}.bin"
+        path = f"{_folder(spark)}/graph.bin"
         vertices, edges = (whole_vertices, whole_edges) if whole else (graph_vertices, graph_edges)
         graphs.write_graph(vertices(spark, d), edges(spark, d), path, 4326, node_size)
         _made[key] = path
@@ -124,20 +133,20 @@ def whole_edge_scan(spark, d):
     return graphs.read_edges(spark, container(spark, d, whole=True))
 
 
-@query(f"WITH {_V} SELECT fid, CAST(coalesce(geom.type, -1) AS BIGINT) AS type, len(geom.xy) AS n_xy, len(geom.z) AS n_z, len(geom.ends) AS n_ends, len(geom.parts) AS n_parts, round(list_sum(list_filter(xy, lambda v: NOT isnan(v))), 8) AS total FROM V")
+@query(
+    f"WITH {_V} SELECT fid, CAST(coalesce(geom.type, -1) AS BIGINT) AS type, len(geom.xy) AS n_xy, len(geom.z) AS n_z, len(geom.m) AS n_m, len(geom.ends) AS n_ends, len(geom.parts) AS n_parts, round(list_sum(list_filter(xy, lambda v: NOT isnan(v))), 8) AS total, geom.ends[1] AS first_end, CAST(list_sum(list_transform(geom.parts, lambda p: len(p.xy))) AS BIGINT) AS n_in_parts FROM V"
+)
 def geometry_roundtrip(spark, d):
-    """Shapes survive the container: sizes of the arrays and the sum of coordinates. Absent and empty arrays are told apart where the format does."""
+    """Shapes survive the container: sizes of the arrays, null where they are missing and 0 where they are empty, the sum of coordinates, ends and the sizes of parts."""
     rows = graphs.read_vertices(spark, container(spark, d))
-    original = graph_vertices(spark, d)
-    place = graph.renumber(original.select("fid"), "fid").select("fid", "row_id")
-    source = original.join(place, "fid").select(F.col("row_id").alias("fid"), F.col("geom").alias("was"))
-    size = lambda c: F.when(F.col(f"was.{c}").isNotNull(), F.coalesce(F.size(f"geom.{c}"), F.lit(0))).cast("bigint")
-    g = F.col("geom")
-    xy = F.concat(F.coalesce(g["xy"], F.array().cast("array<double>")), F.coalesce(F.flatten(F.transform(g["parts"], lambda p: F.coalesce(p["xy"], F.array().cast("array<double>")))), F.array().cast("array<double>")))
+    g, none = F.col("geom"), F.array().cast("array<double>")
+    size = lambda c: F.when(g[c].isNotNull(), F.size(g[c])).cast("bigint").alias(f"n_{c}")
+    xy = F.concat(F.coalesce(g["xy"], none), F.coalesce(F.flatten(F.transform(g["parts"], lambda p: F.coalesce(p["xy"], none))), none))
     total = F.aggregate(F.filter(xy, lambda v: ~F.isnan(v)), F.lit(0.0), lambda a, v: a + v)
-    return rows.join(source, "fid").select(
-        "fid", F.coalesce(g["type"], F.lit(-1)).cast("bigint").alias("type"), size("xy").alias("n_xy"), size("z").alias("n_z"), size("ends").alias("n_ends"), size("parts").alias("n_parts"),
-        F.when(F.size(F.filter(xy, lambda v: ~F.isnan(v))) > 0, F.round(total, 8)).alias("total"),
+    in_parts = F.aggregate(g["parts"], F.lit(0).cast("bigint"), lambda a, p: a + F.size(p["xy"]))
+    return rows.select(
+        "fid", F.coalesce(g["type"], F.lit(-1)).cast("bigint").alias("type"), *(size(c) for c in ("xy", "z", "m", "ends", "parts")),
+        F.when(F.size(F.filter(xy, lambda v: ~F.isnan(v))) > 0, F.round(total, 8)).alias("total"), F.get(g["ends"], 0).alias("first_end"), F.when(F.size(g["parts"]) > 0, in_parts).alias("n_in_parts"),
     )
 
 
@@ -188,7 +197,7 @@ _FOLDED = f"folded AS (SELECT *, l_orderkey % {_N} AS src, l_partkey % {_N} AS d
 def edge_roundtrip_types(spark, d):
     """A property of every type, written with edges and read back."""
     edges = _typed(_folded(spark, d).where(F.col("src") != F.col("dst")).withColumn("eid", F.lit(None).cast("bigint")))
-    path = f"{shared_folder(spark).rstrip('/')}/typed-{uuid.uuid4().hex}.bin"
+    path = f"{_folder(spark)}/typed.bin"
     graphs.write_graph(_part_vertices(spark, d), edges, path)
     return graphs.read_edges(spark, path).drop("eid").withColumn("a_binary", F.decode("a_binary", "UTF-8"))
 
@@ -204,7 +213,7 @@ def vertex_roundtrip_types(spark, d):
         (F.col("s_acctbal") > 0).alias("a_bool"), F.col("s_suppkey").alias("a_long"), F.col("s_acctbal").alias("a_double"), F.col("s_name").alias("a_string"), F.encode("s_name", "UTF-8").alias("raw"),
         F.nullif("s_nationkey", F.lit(3)).alias("an_int"),
     )
-    path = f"{shared_folder(spark).rstrip('/')}/typed-{uuid.uuid4().hex}.bin"
+    path = f"{_folder(spark)}/typed.bin"
     graphs.write_graph(typed, None, path, index_node_size=4)
     back = graphs.read_vertices(spark, path).drop("bbox", "geom")
     return graph.renumber(back.drop("fid"), "a_long").withColumnRenamed("row_id", "fid")
@@ -259,6 +268,31 @@ def whole_graph_meta(spark, d):
     return graphs.read_section(spark, container(spark, d, whole=True), "graph_header").select("edge_count", F.size("edge_columns").cast("bigint").alias("n_columns"))
 
 
+def directory(spark: SparkSession, d: str, node_size: int = 16) -> str:
+    """The path of the whole graph as a directory of containers, written once per session and directory."""
+    key = (spark.sparkContext.applicationId, d, node_size, "directory")
+    if key not in _made:
+        path = shared_path(spark, "graph")
+        graphs.write_graph_directory(whole_vertices(spark, d), whole_edges(spark, d), path, 4326, node_size)
+        _made[key] = path
+    return _made[key]
+
+
+@query(f"WITH {_WHOLE} SELECT name, kind, capacity, {_ISO.format('recorded_at')} AS recorded_at, minx, miny, maxx, maxy FROM B")
+def container_partitioned_scan(spark, d):
+    """The vertices of a graph in several containers."""
+    return graphs.read_vertices(spark, directory(spark, d)).select("name", "kind", "capacity", "recorded_at", "bbox.*")
+
+
+@query(f"WITH {_WHOLE}, {_E} SELECT a.name AS src_name, b.name AS dst_name, E.properties, {_ISO.format('E.recorded_at')} AS recorded_at FROM E JOIN V a ON a.fid = E.src JOIN V b ON b.fid = E.dst")
+def container_partitioned_edges(spark, d):
+    """The edges of a graph in several containers with the names of their ends, which may lie in other files."""
+    path = directory(spark, d)
+    names = graphs.read_vertices(spark, path, columns=["name"]).select("fid", "name")
+    rows = graph.endpoints(graphs.read_edges(spark, path), names, ["name"])
+    return rows.select("src_name", "dst_name", "properties", "recorded_at")
+
+
 # ---- boxes ----------------------------------------------------------------------------------------------------------------------------------------
 
 WINDOW = Rect(-125.0, -35.0, 60.0, 48.0)
@@ -279,10 +313,12 @@ def bbox_filter(spark, d):
     return _boxed(spark, d, WINDOW)
 
 
-@query(f"SELECT fid, ingested_at FROM vertices, (SELECT min(minx) AS x, min_by(miny, minx) AS y FROM regions WHERE NOT isnan(minx)) WHERE {_meets_sql('x', 'y', 'x', 'y')}")
+@query(f"SELECT fid, ingested_at FROM vertices, (SELECT bbox.minx AS x, bbox.maxy AS y FROM vertices WHERE bbox.minx < bbox.maxx AND bbox.miny < bbox.maxy AND NOT isnan(bbox.maxx) AND NOT isnan(bbox.maxy) ORDER BY fid LIMIT 1) WHERE {_meets_sql('x', 'y', 'x', 'y')}")
 def bbox_point(spark, d):
-    """Boxes over a point: the corner of the westernmost region."""
-    r = table(spark, d, "regions").where(~F.isnan("minx")).agg(F.min("minx").alias("x"), F.min_by("miny", "minx").alias("y")).collect()[0]
+    """Boxes over a point: the upper left corner of the first box that is no point itself."""
+    b = F.col("bbox")
+    boxes = table(spark, d, "vertices").where((b["minx"] < b["maxx"]) & (b["miny"] < b["maxy"]) & ~F.isnan(b["maxx"]) & ~F.isnan(b["maxy"]))
+    r = boxes.agg(F.min_by(F.struct(b["minx"].alias("x"), b["maxy"].alias("y")), "fid").alias("r")).collect()[0].r
     return _boxed(spark, d, (r.x, r.y, r.x, r.y))
 
 
@@ -354,6 +390,20 @@ def record_lengths(spark, d):
     return rows.withColumn("n_bytes", F.lead("start").over(Window.partitionBy("level").orderBy("start")) - F.col("start")).select("node", "start", "n_bytes")
 
 
+@query(f"WITH {_V} SELECT count(*) AS n_records, CAST(0 AS BIGINT) AS n_out_of_place, true AS ends_before_edges FROM V")
+def record_spans(spark, d):
+    """Record lengths from the leaves lead from each record to the next, and the last to where the file says that the features end."""
+    path = container(spark, d, 16)
+    c = Container(path)
+    leaves = graphs.read_section(spark, path, "index").where(F.col("level") == len(rtree.level_sizes(c.meta.features_count, 16)) - 1)
+    spans = record_lengths(spark, d)
+    size = c.layout().end - c.features_start
+    odd = F.count_if((F.col("n_bytes") < 12) | (F.col("n_bytes") % 8 != 0))
+    whole = F.coalesce(F.sum("n_bytes"), F.lit(0)) + F.lit(size) - F.max("start") == F.lit(size)
+    last = F.max("start") < F.lit(size)
+    return spans.agg(F.count(F.lit(1)).alias("n_records"), odd.alias("n_out_of_place"), (whole & last).alias("ends_before_edges")).join(leaves.agg(F.count(F.lit(1)).alias("_n")), F.col("_n") == F.col("n_records")).drop("_n")
+
+
 @query("SELECT min(bbox.minx) AS minx, min(bbox.miny) AS miny, max(bbox.maxx) AS maxx, max(bbox.maxy) AS maxy FROM vertices WHERE NOT isnan(bbox.minx) AND NOT isnan(bbox.miny) AND NOT isnan(bbox.maxx) AND NOT isnan(bbox.maxy)")
 def envelope(spark, d):
     sides = ("minx", "miny", "maxx", "maxy")
@@ -516,11 +566,16 @@ def project_3857(spark, d):
     return rows.select("fid", "ingested_at", F.round(F.get("geom.xy", F.lit(0)), 3).alias("x"), F.round(F.get("geom.xy", F.lit(1)), 3).alias("y"))
 
 
-@query(f"SELECT region_id, round(radians(minx) * 6378137, 3) AS x0, round({_MERC_Y.format('miny')}, 3) AS y0, round(radians(maxx) * 6378137, 3) AS x1, round({_MERC_Y.format('maxy')}, 3) AS y1 FROM regions WHERE NOT isnan(miny) AND NOT isnan(maxy)")
+_WHOLE_RECT = "minx IS NOT NULL AND miny IS NOT NULL AND maxx IS NOT NULL AND maxy IS NOT NULL AND NOT isnan(minx) AND NOT isnan(miny) AND NOT isnan(maxx) AND NOT isnan(maxy)"
+
+
+@query(
+    f"SELECT region_id, {', '.join(f'CASE WHEN {_WHOLE_RECT} THEN round({e}, 3) END AS {n}' for e, n in (('radians(minx) * 6378137', 'x0'), (_MERC_Y.format('miny'), 'y0'), ('radians(maxx) * 6378137', 'x1'), (_MERC_Y.format('maxy'), 'y1')))} FROM regions"
+)
 def extent_to_rect(spark, d):
-    r = table(spark, d, "regions").where("miny IS NOT NULL AND maxy IS NOT NULL AND NOT isnan(miny) AND NOT isnan(maxy)")
-    f = lambda c, n: F.round(c, 3).alias(n)
-    return r.select("region_id", f(P.to_mercator_x(F.col("minx")), "x0"), f(P.to_mercator_y(F.col("miny")), "y0"), f(P.to_mercator_x(F.col("maxx")), "x1"), f(P.to_mercator_y(F.col("maxy")), "y1"))
+    """Every region in Web Mercator; nulls for those with a bound that is missing or no number."""
+    r = table(spark, d, "regions").select("region_id", P.extent_between(*(F.col(c) for c in ("minx", "miny", "maxx", "maxy")), 4326, 3857).alias("r"))
+    return r.select("region_id", *(F.round(f"r.{c}", 3).alias(n) for c, n in (("minx", "x0"), ("miny", "y0"), ("maxx", "x1"), ("maxy", "y1"))))
 
 
 _TILE = "(SELECT event_id, CAST(event_id % 12 AS BIGINT) AS z, user_id % CAST(pow(2, event_id % 12) AS BIGINT) AS x, event_id % CAST(pow(2, event_id % 12) AS BIGINT) AS y FROM events)"
@@ -554,11 +609,12 @@ def load_tile(spark, d):
     return graphs.load_tile(spark, container(spark, d), 2, 1, 1).select("fid", "name")
 
 
-@query("SELECT region_id, minx AS x1, miny AS y1, maxx AS x3, maxy AS y3, CAST(5 AS BIGINT) AS n FROM regions")
+@query(f"SELECT region_id, {', '.join(f'CASE WHEN {_WHOLE_RECT} THEN {e} END AS {n}' for e, n in (('minx', 'x1'), ('miny', 'y1'), ('maxx', 'x3'), ('maxy', 'y3'), ('CAST(5 AS BIGINT)', 'n')))} FROM regions")
 def rect_polygon(spark, d):
+    """Regions as closed rings; nulls for those with a bound that is missing or no number."""
     r = table(spark, d, "regions").select("region_id", G.rect_polygon(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")).alias("p"))
     p = F.col("p")
-    return r.select("region_id", p[0][0].alias("x1"), p[0][1].alias("y1"), p[2][0].alias("x3"), p[2][1].alias("y3"), F.size("p").cast("bigint").alias("n"))
+    return r.select("region_id", p[0][0].alias("x1"), p[0][1].alias("y1"), p[2][0].alias("x3"), p[2][1].alias("y3"), F.when(p.isNotNull(), F.size("p")).cast("bigint").alias("n"))
 
 
 # Lower limits (exclusive) of the classes and their colours, and the colour of the rest
@@ -722,10 +778,10 @@ def rank_edges(spark, d):
     return graph.top_edges(once, 3, "weight").select("src", "eid", "weight", "rank")
 
 
-@query("SELECT count(*) AS n FROM (SELECT * FROM lineitem LIMIT 10001)")
+@query(f"WITH {_V} SELECT least(count(*), 1001) AS n FROM V")
 def limit_scan(spark, d):
-    """A reader that stops after 10,001 rows."""
-    return table(spark, d, "lineitem").limit(10_001).agg(F.count(F.lit(1)).alias("n"))
+    """A reader that stops after 1,001 vertices of a container: tasks beyond them aren't run."""
+    return graphs.read_vertices(spark, container(spark, d), splitRecords=500).limit(1_001).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_V}, {_E} SELECT 2 * (SELECT count(*) FROM V) AS n_vertices, 2 * (SELECT count(*) FROM E) AS n_edges, (SELECT CAST(sum(src) * 2 + count(*) * (SELECT count(*) FROM V) AS BIGINT) FROM E) AS src_total")
@@ -743,8 +799,7 @@ def _doubled(g: graphs.GeoGraph) -> DataFrame:
 @query(f"WITH {_V}, {_E} SELECT eid, src, dst FROM E")
 def stream_edges(spark, d):
     """The edges of a container as a stream, run to its end."""
-    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return streaming.drain(streaming.stream_section(spark, container(spark, d)).select("eid", "src", "dst"), folder)
+    return streaming.drain(streaming.stream_section(spark, container(spark, d)).select("eid", "src", "dst"))
 
 
 @query(f"WITH {_V}, {_E} SELECT 'nodes' AS grp, CAST(fid AS VARCHAR) AS id, NULL AS source FROM V UNION ALL SELECT 'edges', 'e' || eid, CAST(src AS VARCHAR) FROM E")
@@ -761,8 +816,7 @@ def whole_graph_union(spark, d):
 
 @query(f"WITH {_WHOLE}, {_E} SELECT eid, src, dst FROM E")
 def whole_stream_edges(spark, d):
-    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return streaming.drain(streaming.stream_section(spark, container(spark, d, whole=True)).select("eid", "src", "dst"), folder)
+    return streaming.drain(streaming.stream_section(spark, container(spark, d, whole=True)).select("eid", "src", "dst"))
 
 
 @query(f"WITH {_WHOLE}, {_E} SELECT 'nodes' AS grp, CAST(fid AS VARCHAR) AS id, NULL AS source FROM V UNION ALL SELECT 'edges', 'e' || eid, CAST(src AS VARCHAR) FROM E")

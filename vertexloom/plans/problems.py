@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.common import distinct_names, stored, table
 from vertexloom.operators import drift, proximity, references, shred, skew
+from vertexloom.plans import problem_sql
 from vertexloom.sources import geojson
 
 NEAR_M = 50.0
@@ -67,15 +68,17 @@ def p1_edge_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_geometry_entities(spark: SparkSession, d: str) -> DataFrame:
     """The geometry objects of the raw features as a flat table linked to their parents."""
-    out = shred.entity_table(shred.entity_rows(_adjacency(spark, d, ("raw_features",))), None, {"type": "string"})
+    out = shred.entity_rows(_adjacency(spark, d, ("raw_features",))).withColumn("type", F.try_element_at("fields", F.lit("type")))
     out = out.where(F.col("entity").isin("geometry", "geometries", "$") & F.col("type").isNotNull())
-    return out.select(F.col("record_id").alias("raw_id"), "node", "object_parent", "path", "entity", "type")
+    return out.select(F.col("record_id").alias("raw_id"), "path", "parent_path", "entity", "type")
 
 
 def p1_coordinates(spark: SparkSession, d: str) -> DataFrame:
-    """Every position of the raw features' geometries, linked to its geometry object by the node."""
+    """Every position of the raw features' geometries with the path of the geometry object that holds it."""
     adjacency = stored(shred.shred(shred.keyed(table(spark, d, "raw_features"), "raw_id"), "raw_features", "raw_id", "payload"), "adjacency")
-    return shred.coordinate_table(adjacency).drop("record_table").withColumnRenamed("record_id", "raw_id")
+    holders = adjacency.where("kind = 'object'").select("record_id", F.col("node").alias("geometry"), "path").dropDuplicates(["record_id", "geometry"])
+    rows = shred.coordinate_table(adjacency).join(holders, ["record_id", "geometry"], "left")
+    return rows.select(F.col("record_id").alias("raw_id"), F.col("path").alias("geometry"), "polygon", "ring", "position", "x", "y", "z")
 
 
 def p1_node_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -181,14 +184,14 @@ def p5_feature_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
-    """The consistent edge table in long form, counted: per data set and name how many values edges have, how many under another name, and the sum of those that are numbers."""
+    """The consistent edge table in long form, counted: per data set and name how many values edges have, how many under another name, and the largest of those that are numbers."""
     headers = table(spark, d, "file_header")
     aliases = drift.aliases_of(headers, table(spark, d, "graph_header"), "edge")
     rows = drift.distinct_edges(table(spark, d, "edges"))
     cells = drift.placed_values(rows, ["eid"], "properties", headers, aliases).select("dataset_id", F.explode("values").alias("v"))
     number = F.col("v.value").try_cast("double")
     return cells.groupBy("dataset_id", F.col("v.name").alias("name")).agg(
-        F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("v.key") != F.col("v.name")).alias("n_renamed"), F.round(F.sum(F.when(~F.isnan(number), number)), 2).alias("total")
+        F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("v.key") != F.col("v.name")).alias("n_renamed"), F.max(F.when(~F.isnan(number), number)).alias("largest")
     )
 
 
@@ -260,6 +263,8 @@ _POLYGONS = """
 """
 
 SQL = {
+    **problem_sql.P1,
+    **problem_sql.P5,
     "p2_found": _ORPHANS + "SELECT * FROM orphans WHERE reason IS NOT NULL",
     "p2_report": _ORPHANS + "SELECT ref_table, ref_field, reason, period, count(*) AS n_refs FROM orphans WHERE reason IS NOT NULL GROUP BY ALL",
     "p3_found": _LOCATIONS
