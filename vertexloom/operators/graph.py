@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vertexloom.common import materialize, salted_join
+from vertexloom.functions.geometry import to_geojson
 from vertexloom.types import GEOMETRY_TYPES
 
 
@@ -90,3 +91,43 @@ def cytoscape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.to_json(F.struct(F.struct(F.concat(F.lit("e"), F.col("eid").cast("string")).alias("id"), F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), *drop(edges, "eid", "src", "dst")).alias("data"))).alias("json"),
     )
     return n.unionByName(e)
+
+
+def _members(df: DataFrame, *without: str) -> Column:
+    """The columns of a row as the inside of a JSON object, nulls left out."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return F.regexp_replace(F.to_json(F.struct(*kept)), r"^\{|\}$", "") if kept else F.lit("")
+
+
+def _object(*parts: Column) -> Column:
+    """A JSON object of the insides that aren't empty; of a repeated member the last counts to its readers."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.nullif(p, F.lit("")) for p in parts)), F.lit("}"))
+
+
+def _coordinates(nodes: DataFrame) -> Column:
+    """The GeoJSON coordinates, null for collections and nodes without a geometry."""
+    return F.concat(F.lit('"coordinates":'), F.coalesce(F.get_json_object(to_geojson(F.col("geom"), nodes.schema["geom"].dataType), "$.coordinates"), F.lit("null")))
+
+
+_EXPORT = ("grp", "id", "source", "target", "attributes")
+
+
+def _exported(nodes: DataFrame, node_attributes: Column, edges: DataFrame, edge_attributes: Column) -> DataFrame:
+    nothing = F.lit(None).cast("bigint")
+    n = nodes.select(F.lit("nodes"), F.col("fid"), nothing, nothing, node_attributes).toDF(*_EXPORT)
+    return n.unionByName(edges.select(F.lit("edges"), F.col("eid"), F.col("src"), F.col("dst"), edge_attributes).toDF(*_EXPORT))
+
+
+def attributed_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(grp, id, source, target, attributes): nodes and directed edges for a library that keeps attributes as one object each, written as JSON.
+
+    A node is named by its position and has its properties and ``coordinates``; an edge has its position as ``id`` unless a property is called so, and its properties.
+    """
+    edge = _object(F.concat(F.lit('"id":'), F.col("eid").cast("string")), _members(edges, "eid", "src", "dst"))
+    return _exported(nodes, _object(_members(nodes, "fid", "geom", "bbox"), _coordinates(nodes)), edges, edge)
+
+
+def linked_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same columns for a library of nodes and links with data: a node has its ``name`` (if there is such a column) and ``coordinates``, a link its properties alone."""
+    name = _members(nodes, *(c for c in nodes.columns if c != "name"))
+    return _exported(nodes, _object(name, _coordinates(nodes)), edges, _object(_members(edges, "eid", "src", "dst")))

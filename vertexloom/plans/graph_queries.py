@@ -17,7 +17,7 @@ from vertexloom.operators import graph, proximity
 from vertexloom.sources import geojson, graphs, rtree
 from vertexloom.sources.bytes import filesystem
 from vertexloom.sources.container import Container
-from vertexloom.types import COLUMN_TYPES, Rect, column_for
+from vertexloom.types import COLUMN_TYPES, GEOMETRY_TYPES, Rect, column_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -375,10 +375,12 @@ def index_tree_size(spark, d):
     return spark.createDataFrame([(rtree.tree_bytes(n, 16),)], "n_bytes bigint")
 
 
-@query(_LEVELS + " SELECT CAST((SELECT max(height) FROM levels) - height AS BIGINT) AS level, n AS n_nodes FROM levels")
+@query(_LEVELS.replace("WITH RECURSIVE", f"WITH RECURSIVE {_V},", 1) + " SELECT CAST((SELECT max(height) FROM levels) - height AS BIGINT) AS level, n AS n_nodes, (SELECT min(minx) FROM B) AS minx, (SELECT min(miny) FROM B) AS miny, (SELECT max(maxx) FROM B) AS maxx, (SELECT max(maxy) FROM B) AS maxy FROM levels")
 def index_nodes(spark, d):
-    """Nodes per level of the index in the container, the root at level 0."""
-    return graphs.read_section(spark, container(spark, d, 16), "index").groupBy(F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    """Nodes per level of the index in the container, the root at level 0, and the box around each level, which is that of all vertices."""
+    nodes = graphs.read_section(spark, container(spark, d, 16), "index").where("level IS NOT NULL")
+    sides = (((F.min if s.startswith("min") else F.max)(F.when(~F.isnan(s), F.col(s)))).alias(s) for s in ("minx", "miny", "maxx", "maxy"))
+    return nodes.groupBy(F.col("level").cast("bigint").alias("level")).agg(F.count(F.lit(1)).alias("n_nodes"), *sides)
 
 
 @query()
@@ -539,6 +541,48 @@ def geojson_features(spark, d):
     return out.select(F.get_json_object("feature", "$.id").cast("bigint").alias("fid"), F.get_json_object("feature", "$.properties.name").alias("name"), F.coalesce(code, F.lit(-1)).alias("type"))
 
 
+_NAMES = "CASE {0} " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in GEOMETRY_TYPES.items()) + " END"
+_INTERLEAVED = "flatten(list_transform(range(1, len({0}.xy) // 2 + 1), lambda i: [{0}.xy[2 * i - 1], {0}.xy[2 * i]] || CASE WHEN {0}.z IS NULL THEN [] ELSE [{0}.z[i]] END || CASE WHEN {0}.m IS NULL THEN [] ELSE [{0}.m[i]] END))"
+_REAL = "list_transform({0}, lambda v: CASE WHEN v IS NULL OR isnan(v) THEN 0 ELSE v END)"
+_DOT3 = "CASE WHEN len({0}) = 0 THEN 0.0 ELSE " + _DOT.replace(", 6)", ", 3)") + " END"
+_STRIDE = "2 + CAST({0}.z IS NOT NULL AS INTEGER) + CAST({0}.m IS NOT NULL AS INTEGER)"
+
+
+def _real_dot(a: Column) -> Column:
+    real = F.transform(a, lambda v: F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(v))
+    return F.round(F.aggregate(F.transform(real, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v), 3)
+
+
+@query(
+    f"SELECT fid, ingested_at, type, CAST(len(flat) AS BIGINT) AS n_flat, {_DOT3.format(_REAL.format('flat'))} AS total, CAST(stride AS INTEGER) AS stride FROM (SELECT fid, ingested_at, CASE WHEN geom.type = 6 THEN 'Polygon' ELSE {_NAMES.format('geom.type')} END AS type, CASE WHEN geom.type = 6 THEN flatten(list_transform(geom.parts, lambda p: {_INTERLEAVED.format('p')})) ELSE {_INTERLEAVED.format('geom')} END AS flat, CASE WHEN geom.type = 6 THEN {_STRIDE.format('geom.parts[1]')} ELSE {_STRIDE.format('geom')} END AS stride FROM vertices WHERE geom.type BETWEEN 1 AND 6) WHERE flat IS NOT NULL"
+)
+def render_features(spark, d):
+    """Geometries flattened for drawing: multi-polygons as polygons, all ordinates in one array."""
+    rows = table(spark, d, "vertices").select("fid", "ingested_at", G.render_feature(F.col("geom"), strict=False).alias("r")).where("r IS NOT NULL")
+    return rows.select("fid", "ingested_at", "r.type", F.size("r.flat").cast("bigint").alias("n_flat"), _real_dot(F.col("r.flat")).alias("total"), F.col("r.stride").cast("int").alias("stride"))
+
+
+@query(
+    f"SELECT fid, ingested_at, {_NAMES.format('geom.type')} AS type, 'XY' || CASE WHEN g.z IS NULL THEN '' ELSE 'Z' END || CASE WHEN g.m IS NULL THEN '' ELSE 'M' END AS layout, CASE WHEN geom.type < 6 THEN {_DOT3.format(_REAL.format(_INTERLEAVED.format('geom')))} END AS total, CASE WHEN geom.type IN (3, 5) THEN CASE WHEN len(geom.ends) > 0 THEN geom.ends[-1] * ({_STRIDE.format('geom')}) ELSE len({_INTERLEAVED.format('geom')}) END END AS last_end, CAST(len(geom.parts) AS BIGINT) AS n_polygons FROM (SELECT *, CASE WHEN geom.type = 6 THEN {{'z': geom.parts[1].z, 'm': geom.parts[1].m}} ELSE {{'z': geom.z, 'm': geom.m}} END AS g FROM vertices WHERE geom.type BETWEEN 1 AND 6)"
+)
+def laid_out_geometries(spark, d):
+    """Geometries put together by layout: flat coordinates, ends counted in ordinates, polygons of multi-polygons."""
+    rows = table(spark, d, "vertices").select("fid", "ingested_at", G.laid_out(F.col("geom")).alias("g")).where("g IS NOT NULL")
+    return rows.select("fid", "ingested_at", "g.type", "g.layout", _real_dot(F.col("g.flat")).alias("total"), F.try_element_at("g.ends", F.lit(-1)).cast("bigint").alias("last_end"), F.when(F.col("g.polygons").isNotNull(), F.size("g.polygons")).cast("bigint").alias("n_polygons"))
+
+
+@query(
+    f"SELECT fid, ingested_at, CAST(len(geom.xy) // 2 AS BIGINT) AS n, {_DOT3.format(_REAL.format('geom.xy'))} AS xy_total, {_DOT3.format(_REAL.format('geom.z'))} AS z_total, {_DOT3.format(_REAL.format('geom.m'))} AS m_total, geom.ends[1] AS first_end FROM vertices WHERE geom.type IN (2, 3, 5) AND len(geom.xy) > 0"
+)
+def layout_split(spark, d):
+    """Flat coordinates taken apart again by layout, ends counted in positions."""
+    g = F.col("geom")
+    rows = table(spark, d, "vertices").where(g["type"].isin(2, 3, 5) & (F.size(g["xy"]) > 0)).withColumn("g", G.laid_out(g))
+    own = F.when(F.size(g["ends"]) > 0, F.col("g.ends"))
+    s = rows.select("fid", "ingested_at", G.split_layout(F.col("g.flat"), F.col("g.layout"), own).alias("s"))
+    return s.select("fid", "ingested_at", F.floor(F.size("s.xy") / 2).alias("n"), *(_real_dot(F.col(f"s.{c}")).alias(f"{c}_total") for c in ("xy", "z", "m")), F.get("s.ends", F.lit(0)).alias("first_end"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_property(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
@@ -823,3 +867,33 @@ def whole_stream_edges(spark, d):
 def whole_graph_elements(spark, d):
     g = graphs.read_graph(spark, container(spark, d, whole=True))
     return graph.cytoscape(g.vertices, g.edges).select("grp", "id", F.get_json_object("json", "$.data.source").alias("source"))
+
+
+def _export_sql(nodes: str, edges: str) -> str:
+    return f"WITH {_WHOLE}, {_E} SELECT 'nodes' AS grp, fid AS id, NULL AS source, NULL AS target, name, {nodes} FROM V UNION ALL SELECT 'edges', eid, src, dst, NULL, {edges} FROM E"
+
+
+_X = "CASE WHEN geom.type = 1 AND len(geom.xy) > 0 AND NOT isnan(geom.xy[1]) THEN geom.xy[1] END"
+
+
+def _export(rows: DataFrame, more: dict[str, Column]) -> DataFrame:
+    return rows.select("grp", "id", "source", "target", F.get_json_object("attributes", "$.name").alias("name"), *(c.alias(n) for n, c in more.items()))
+
+
+_MEMBER_X = F.when(~F.isnan(F.get_json_object("attributes", "$.coordinates[0]").try_cast("double")), F.get_json_object("attributes", "$.coordinates[0]").try_cast("double"))
+
+
+@query(_export_sql(f"kind, capacity, {_X} AS x, CAST(NULL AS BIGINT) AS edge_id, NULL AS properties", "NULL, NULL, NULL, eid, properties"))
+def attributed_graph(spark, d):
+    """The graph with an object of attributes for each node and edge."""
+    g = graphs.read_graph(spark, container(spark, d, whole=True))
+    at = lambda m: F.get_json_object("attributes", f"$.{m}")
+    return _export(graph.attributed_graph(g.vertices, g.edges), {"kind": at("kind"), "capacity": at("capacity").cast("double"), "x": _MEMBER_X, "edge_id": at("id").cast("bigint"), "properties": at("properties")})
+
+
+@query(_export_sql(f"NULL AS kind, {_X} AS x, NULL AS properties", "NULL, NULL, properties"))
+def linked_graph(spark, d):
+    """The graph as nodes and links with data: names and coordinates, properties."""
+    g = graphs.read_graph(spark, container(spark, d, whole=True))
+    at = lambda m: F.get_json_object("attributes", f"$.{m}")
+    return _export(graph.linked_graph(g.vertices, g.edges), {"kind": at("kind"), "x": _MEMBER_X, "properties": at("properties")})
