@@ -99,3 +99,36 @@ def test_consistent_table_of_the_test_tables_loses_nothing(spark):
     rows = problems.p5_table(spark, d).collect()
     got = {r.eid: sum(v is not None for v in r[6:-1]) + len(r.other or {}) for r in rows}
     assert got == want and len(rows) == len(got) and sum(len(r.other or {}) for r in rows) < sum(got.values()) / 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no data")
+def test_nothing_needs_to_be_broadcast(spark):
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, problems.p5_found(spark, d).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = problems.p5_found(spark, d)
+        assert sorted(map(tuple, df.collect())) == want and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_field_that_changes_its_type_has_two_islands(spark):
+    h, g, _ = tables(spark, [(1, "d", 1, [c("a", 5)]), (2, "d", 2, [c("a", 10)]), (3, "d", 3, [c("a", 10)]), (4, "d", 4, [c("a", None)])])
+    catalogue = drift.lifespans(drift.versions(drift.column_lists(h, g)))
+    got = sorted((r.version, r.type, r.starts, r.ends) for r in catalogue.where("section = 'edge'").fillna(-1, ["type"]).collect())
+    assert got == [(1, 5, False, True), (2, 10, True, False), (3, 10, False, True), (4, -1, True, False)]
+    assert [(r.version, r.change, r.old_type, r.new_type) for r in drift.declared_changes(catalogue).collect()] == [(2, "retyped", 5, 10)]
+
+
+def test_feature_table_under_old_names(spark, tmp_path):
+    d = str(tmp_path)
+    feats = {1: [c("w", 5, "Weight")], 2: [c("mass", 10, "Weight")]}
+    h, g, _ = tables(spark, [(1, "d", 1, None), (2, "d", 2, None)], feats)
+    feature = lambda p: {"type": "Feature", "geometry": None, "properties": p}
+    raw = [(1, 1, json.dumps(feature({"w": 3, "x": [1]}))), (2, 2, json.dumps({"features": [feature({"mass": 2.5}), feature(None), feature(json.dumps({"mass": "heavy"}))]})), (3, 2, None), (4, 9, json.dumps(feature({"w": 1})))]
+    h.write.parquet(f"{d}/file_header.parquet"), g.write.parquet(f"{d}/graph_header.parquet")
+    spark.createDataFrame(raw, "raw_id bigint, file_id bigint, payload string").write.parquet(f"{d}/raw_features.parquet")
+    out = problems.p5_feature_table(spark, d)
+    assert out.columns == ["raw_id", "position", "file_id", "dataset_id", "w", "other"]
+    assert sorted((r.raw_id, r.position, r.w, r.other) for r in out.collect()) == [(1, 0, "3.0", {"x": "[1]"}), (2, 0, "2.5", None), (2, 1, None, None), (2, 2, None, {"mass": "heavy"}), (3, 0, None, None), (4, 0, "1", None)]

@@ -66,12 +66,16 @@ def key_ends(edges: DataFrame) -> DataFrame:
 def key_totals(edges: DataFrame) -> DataFrame:
     """(ref_field, ref_key, n_edges, n_partners, last_at): totals per non-null key, repeated rows included.
 
-    The first aggregation, by key and partner, is partitioned by both, so a hot key is spread over all tasks; the second adds up its states,
+    The first aggregation, by both ends, serves both fields and is partitioned by both, so a hot key is spread over all tasks; the second adds up its states, per field and
     again partially in each map task. Null partners count as edges, not as partners; ``last_at`` is null if all times are.
     """
-    ends = key_ends(edges).where(F.col("ref_key").isNotNull())
-    states = ends.groupBy("ref_field", "ref_key", "partner").agg(F.count(F.lit(1)).alias("n"), F.max("recorded_at").alias("t"))
-    return states.groupBy("ref_field", "ref_key").agg(F.sum("n").alias("n_edges"), F.count("partner").alias("n_partners"), F.max("t").alias("last_at"))
+    states = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.max("recorded_at").alias("t"))
+
+    def totals(field: str, partner: str) -> DataFrame:
+        per = states.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("ref_key")).agg(F.sum("n").alias("n_edges"), F.count(partner).alias("n_partners"), F.max("t").alias("last_at"))
+        return per.select(F.lit(field).alias("ref_field"), "ref_key", "n_edges", "n_partners", "last_at")
+
+    return totals("src", "dst").unionByName(totals("dst", "src"))
 
 
 def hot_keys(edges: DataFrame, min_share: float = 0.01) -> DataFrame:

@@ -268,6 +268,11 @@ def whole_graph_meta(spark, d):
     return graphs.read_section(spark, container(spark, d, whole=True), "graph_header").select("edge_count", F.size("edge_columns").cast("bigint").alias("n_columns"))
 
 
+def forget() -> None:
+    """Containers are written anew when they are next asked for."""
+    _made.clear()
+
+
 def directory(spark: SparkSession, d: str, node_size: int = 16) -> str:
     """The path of the whole graph as a directory of containers, written once per session and directory."""
     key = (spark.sparkContext.applicationId, d, node_size, "directory")
@@ -880,7 +885,9 @@ def _export(rows: DataFrame, more: dict[str, Column]) -> DataFrame:
     return rows.select("grp", "id", "source", "target", F.get_json_object("attributes", "$.name").alias("name"), *(c.alias(n) for n, c in more.items()))
 
 
-_MEMBER_X = F.when(~F.isnan(F.get_json_object("attributes", "$.coordinates[0]").try_cast("double")), F.get_json_object("attributes", "$.coordinates[0]").try_cast("double"))
+def _member_x() -> Column:
+    x = F.get_json_object("attributes", "$.coordinates[0]").try_cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 @query(_export_sql(f"kind, capacity, {_X} AS x, CAST(NULL AS BIGINT) AS edge_id, NULL AS properties", "NULL, NULL, NULL, eid, properties"))
@@ -888,7 +895,7 @@ def attributed_graph(spark, d):
     """The graph with an object of attributes for each node and edge."""
     g = graphs.read_graph(spark, container(spark, d, whole=True))
     at = lambda m: F.get_json_object("attributes", f"$.{m}")
-    return _export(graph.attributed_graph(g.vertices, g.edges), {"kind": at("kind"), "capacity": at("capacity").cast("double"), "x": _MEMBER_X, "edge_id": at("id").cast("bigint"), "properties": at("properties")})
+    return _export(graph.attributed_graph(g.vertices, g.edges), {"kind": at("kind"), "capacity": at("capacity").cast("double"), "x": _member_x(), "edge_id": at("id").cast("bigint"), "properties": at("properties")})
 
 
 @query(_export_sql(f"NULL AS kind, {_X} AS x, NULL AS properties", "NULL, NULL, properties"))
@@ -896,4 +903,4 @@ def linked_graph(spark, d):
     """The graph as nodes and links with data: names and coordinates, properties."""
     g = graphs.read_graph(spark, container(spark, d, whole=True))
     at = lambda m: F.get_json_object("attributes", f"$.{m}")
-    return _export(graph.linked_graph(g.vertices, g.edges), {"kind": at("kind"), "x": _MEMBER_X, "properties": at("properties")})
+    return _export(graph.linked_graph(g.vertices, g.edges), {"kind": at("kind"), "x": _member_x(), "properties": at("properties")})

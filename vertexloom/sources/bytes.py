@@ -39,7 +39,7 @@ class FileBytes:
 
 
 class HttpBytes:
-    """One range request per read. A server that answers with the whole body instead is understood."""
+    """One range request per read. A server that answers with the whole body instead is understood, one that gives less than was asked for is asked for the rest; ``requests`` and ``fetched`` count."""
 
     def __init__(self, url: str, headers: dict[str, str] | None = None, nocache: bool = False):
         self.url = url
@@ -49,6 +49,17 @@ class HttpBytes:
         self.read(0, 1)
 
     def read(self, start: int, length: int) -> bytes:
+        data = self._ask(start, length)
+        while len(data) < length and (self.size is None or start + len(data) < self.size):
+            more = self._ask(start + len(data), length - len(data))
+            if not more:
+                if self.size is not None:
+                    raise ContainerError(f"{self.url} gives {len(data)} of {length} bytes from byte {start}")
+                break
+            data += more
+        return data
+
+    def _ask(self, start: int, length: int) -> bytes:
         if length <= 0 or (self.size is not None and start >= self.size):
             return b""
         request = urllib.request.Request(self.url, headers={**self.headers, "Range": f"bytes={start}-{start + length - 1}"})

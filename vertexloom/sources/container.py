@@ -174,7 +174,10 @@ def _rect(options: dict[str, str]) -> tuple[float, float, float, float] | None:
     if all(v is None for v in given):
         return None
     inf = float("inf")
-    return tuple(float(v) if v is not None else d for v, d in zip(given, (-inf, -inf, inf, inf)))
+    rect = tuple(float(v) if v is not None else d for v, d in zip(given, (-inf, -inf, inf, inf)))
+    if rect[0] > rect[2] or rect[1] > rect[3]:
+        raise ValueError(f"a rectangle whose minimum is above its maximum: {rect}")
+    return rect
 
 
 def attribute_fields(columns: list[Column], taken: set[str]) -> list[T.StructField]:
