@@ -135,3 +135,33 @@ def test_held_out_accuracy(spark):
     truth = held.selectExpr("doc_id", "lang", "regexp_extract(path, '([.][^./]*)$', 1) AS ext").withColumn("label_key", language.label_key(held["lang"])).join(named, ["label_key", "ext"])
     rows = truth.join(language.identify(held, model), "doc_id").selectExpr("exists(segments, s -> s.language = lang_code) AS ok").collect()
     assert len(rows) > 150 and sum(r.ok for r in rows) / len(rows) > 0.95
+
+
+def test_a_mapped_model_scores_as_the_model(tmp_path):
+    rnd = random.Random(3)
+    lines = {a: [bytes(rnd.choice(b"abcd") for _ in range(9)) for _ in range(20)] for a in "xy"}
+    model = ppm.train(lines)
+    data, description = ppm.shared_arrays(model)
+    (tmp_path / "m").write_bytes(data)
+    back = ppm.mapped(str(tmp_path / "m"), description)
+    assert back.languages == model.languages and (back.score(lines["x"] + [b"q\xff"]) == model.score(lines["x"] + [b"q\xff"])).all()
+
+
+def test_confidence_is_borne_out(spark):
+    """Among short pieces of labelled texts, those with more confidence are right more often, and those that are sure nearly always."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no data")
+    from vertexloom.common import table
+
+    d = "/root/testdata/sf0.01"
+    documents, languages = table(spark, d, "documents"), table(spark, d, "languages")
+    model = language.language_model(documents.where("doc_id % 2 = 0"), languages)
+    held = [tuple(r) for r in language.training_sample(documents.where("doc_id % 2 = 1"), languages, 15).collect()]
+    rnd = random.Random(1)
+    pieces = [(code, line) for code, text in held for line in rnd.sample(text.split("\n"), min(12, text.count("\n") + 1)) if sum(c.isalpha() for c in line) > 1]
+    found = language.describe(model, [line for _, line in pieces])
+    bins = {True: [], False: []}
+    for (code, _), (got, sure, _) in zip(pieces, found):
+        bins[sure >= 0.9].append(got == code)
+    rate = {k: sum(v) / max(len(v), 1) for k, v in bins.items()}
+    assert len(bins[True]) > 100 and len(bins[False]) > 100 and rate[True] > rate[False] + 0.03 and rate[True] > 0.9, (rate, {k: len(v) for k, v in bins.items()})

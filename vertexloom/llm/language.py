@@ -7,11 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vertexloom.common import shared_path
 from vertexloom.llm import ppm
+from vertexloom.llm.tokens import _worker_state
+from vertexloom.sources.bytes import filesystem
 
 SHORTEST = 5  # non-blank lines of a segment
 SWITCH_BITS = 10.0  # code length of a change of language
@@ -121,20 +125,39 @@ def describe(model: ppm.Model, texts: list[str]) -> list[tuple[str | None, float
     return out
 
 
+class _Shared:
+    """A model in the session's shared folder. Each executor fetches the file once, its Python workers map it into memory."""
+
+    def __init__(self, spark: SparkSession, model: ppm.Model):
+        data, self.description = ppm.shared_arrays(model)
+        path = shared_path(spark, "language-model")
+        fs, inner = filesystem(path)
+        with fs.open_output_stream(inner) as out:
+            out.write(data)
+        spark.sparkContext.addFile(path)
+        self.name = path.rpartition("/")[2]
+
+    def model(self) -> ppm.Model:
+        kept = _worker_state()
+        if ("model", self.name) not in kept:
+            kept[("model", self.name)] = ppm.mapped(SparkFiles.get(self.name), self.description)
+        return kept[("model", self.name)]
+
+
 def identify(documents: DataFrame, model: ppm.Model) -> DataFrame:
     """(doc_id, label, language, confidence, segments) of every document with at least one letter; extra columns of ``documents`` are not read.
 
     ``language`` is '' for a mixed text, ``confidence`` that of its least sure segment; a segment has its language, confidence, first and last line (0-based) and number of
     non-blank lines. Null, empty and letterless texts yield nothing. Whole texts are coded; a line that recurs in a batch is coded once. Nothing is shuffled.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded: see TRAIN_DOCS
+    shared = _Shared(documents.sparkSession, model)  # bounded: see TRAIN_DOCS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment_type = pa.struct([("language", pa.string()), ("confidence", pa.float64()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("n_lines", pa.int32())])
         for whole in batches:
             for i, j in _slices(whole.column(2)):
                 batch = whole.slice(i, j - i)
-                found = describe(shared.value, batch.column(2).to_pylist())
+                found = describe(shared.model(), batch.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.list_(segment_type))],
                     names=["doc_id", "label", "language", "confidence", "segments"],

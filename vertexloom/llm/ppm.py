@@ -55,6 +55,36 @@ class KeyTable:
         return out
 
 
+def shared_arrays(model: Model) -> tuple[bytes, dict]:
+    """(bytes, description): the model's arrays one after the other, each at a multiple of 64 bytes."""
+    parts, places, at = [], {}, 0
+    arrays = {"grams.keys": model.grams.keys, "grams.rows": model.grams.rows, "contexts.keys": model.contexts.keys, "contexts.rows": model.contexts.rows, "bits": model.bits, "escapes": model.escapes}
+    for name, a in arrays.items():
+        data = np.ascontiguousarray(a).tobytes()
+        places[name] = (at, a.dtype.str, a.shape)
+        parts += [data, bytes(-len(data) % 64)]
+        at += len(data) + -len(data) % 64
+    return b"".join(parts), {"languages": model.languages, "order": model.order, "places": places}
+
+
+def mapped(path: str, description: dict) -> Model:
+    """The model over a file of ``shared_arrays``, mapped into memory: the processes of a machine have it once."""
+    whole = np.memmap(path, np.uint8, "r")
+
+    def array(name: str) -> np.ndarray:
+        at, dtype, shape = description["places"][name]
+        n = int(np.prod(shape)) * np.dtype(dtype).itemsize
+        return whole[at : at + n].view(dtype).reshape(shape)
+
+    def keys(name: str) -> KeyTable:
+        out = KeyTable.__new__(KeyTable)
+        out.keys, out.rows = array(f"{name}.keys"), array(f"{name}.rows")
+        out.bits = len(out.keys).bit_length() - 1
+        return out
+
+    return Model(description["languages"], description["order"], keys("grams"), array("bits"), keys("contexts"), array("escapes"))
+
+
 def lay_out(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The lines between line breaks, as bytes, and the position of the break before each line."""
     text = b"\n" + b"\n".join(lines) + b"\n"
