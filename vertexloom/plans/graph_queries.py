@@ -14,6 +14,7 @@ from vertexloom.functions import geometry as G
 from vertexloom.functions import projection as P
 from vertexloom.functions.properties import build_properties, parse_properties
 from vertexloom.operators import graph, proximity
+from vertexloom.plans.problem_sql import FEATURE_COUNTS
 from vertexloom.sources import geojson, graphs, rtree
 from vertexloom.sources.bytes import filesystem
 from vertexloom.sources.container import Container
@@ -528,6 +529,13 @@ def geojson_parse(spark, d):
     return rows.select(F.col("id").alias("raw_id"), "position", "state", F.col("geom.type").cast("int").alias("type"), *sizes)
 
 
+@query(FEATURE_COUNTS)
+def geojson_feature_counts(spark, d):
+    """Features per payload, and those without a geometry."""
+    rows = geojson.payload_geometries(table(spark, d, "raw_features"), "raw_id", "payload")
+    return rows.groupBy(F.col("id").alias("raw_id")).agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("state") == "none").alias("n_none"))
+
+
 @query("SELECT fid, count(*) AS n_rows FROM vertices WHERE geom IS NOT NULL GROUP BY fid")
 def geojson_roundtrip(spark, d):
     """Geometries to GeoJSON and back; rows whose coordinates come back unchanged."""

@@ -38,12 +38,29 @@ P1 = {
     "p1_geometry_entities": TREE
     + """SELECT record_id AS raw_id, path, parent_path, entity, json_extract_string(v, '/type') AS type FROM tree
 WHERE record_table = 'raw_features' AND json_type(v) = 'OBJECT' AND entity IN ('geometry', 'geometries', '$') AND json_type(v, '/type') NOT IN ('OBJECT', 'ARRAY', 'NULL')""",
+    "p1_edge_entities": TREE
+    + f"""SELECT o.record_id AS eid, o.path, o.parent_path, o.entity, max(CASE WHEN s.entity = 'status' THEN s.v->>'$' END) AS status, TRY_CAST(max(CASE WHEN s.entity = 'weight' THEN s.v->>'$' END) AS DOUBLE) AS weight, count(s.path) AS n_fields
+FROM tree o LEFT JOIN tree s ON s.record_table = 'edges' AND s.record_id = o.record_id AND s.path = o.path || '/' || s.entity AND {_KIND.format('s.v', 'object', 'list')} IN ('string', 'number', 'boolean')
+WHERE o.record_table = 'edges' AND json_type(o.v) = 'OBJECT' GROUP BY ALL""",
     "p1_coordinates": TREE
     + f"""SELECT raw_id, nullif(obj_path, '') AS geometry, positions[-3] AS polygon, positions[-2] AS ring, positions[-1] AS position, x, y, z FROM (
   SELECT record_id AS raw_id, obj_path, positions, {_AXIS.format(0)} AS x, {_AXIS.format(1)} AS y, {_AXIS.format(2)} AS z FROM tree WHERE record_table = 'raw_features' AND json_type(v) = 'ARRAY' AND entity = 'coordinates'
 ) WHERE x IS NOT NULL AND y IS NOT NULL""",
 }
 
+_MEMBERS = unwrapped("SELECT raw_id, v AS o, json_extract(v, '/features') AS v FROM features")
+_LISTED = f"SELECT raw_id, o, CASE WHEN json_type(o) = 'ARRAY' THEN CAST(o AS JSON[]) WHEN json_type(o) = 'OBJECT' AND json_type(v) = 'ARRAY' THEN CAST(v AS JSON[]) WHEN json_type(o) = 'OBJECT' AND json_type(v) = 'OBJECT' THEN [v] END AS members FROM ({_MEMBERS})"
+#: The features in the payloads whatever they are wrapped in, and how many say that they have no geometry
+FEATURE_COUNTS = f"""
+WITH RECURSIVE features AS (
+  SELECT raw_id, v FROM ({unwrapped("SELECT raw_id, CASE WHEN json_valid(payload) THEN TRY_CAST(payload AS JSON) END AS v FROM raw_features")})
+  UNION ALL SELECT raw_id, v FROM ({unwrapped(f"SELECT raw_id, unnest(members) AS v FROM ({_LISTED})")})
+), leaves AS (
+  SELECT raw_id, members IS NOT NULL OR coalesce(json_type(o) = 'OBJECT' AND (json_extract_string(o, '/type') = 'Feature' OR list_contains(json_keys(o), 'geometry')) AND coalesce(json_type(o, '/geometry'), 'NULL') = 'NULL', false) AS none
+  FROM ({_LISTED}) WHERE members IS NULL OR len(members) = 0
+)
+SELECT raw_id, count(*) AS n_features, count(*) FILTER (none) AS n_none FROM leaves GROUP BY raw_id"""
+
 _WORDS = "list_filter(regexp_split_to_array(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[\\W_]+'), lambda w: w <> '')"
 _FLAT = "regexp_replace(lower({0}), '[\\W_]+', '', 'g')"
 _BARE = "nullif(trim(regexp_replace({0}, '( \\(rev\\.\\)| \\*)+$', '')), '')"

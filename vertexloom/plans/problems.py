@@ -60,10 +60,10 @@ def p1_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_edge_entities(spark: SparkSession, d: str) -> DataFrame:
-    """The objects of the edge properties with some of their fields: a flat table per entity, told apart by ``entity``."""
+    """The objects of the edge properties with some of their fields: a flat table per entity, told apart by ``entity``, linked by the paths."""
     entities = shred.entity_rows(_adjacency(spark, d, ("edges",)))
-    out = shred.entity_table(entities, None, {x: "string" for x in ("name", "type", "weight", "code", "status")})
-    return out.drop("record_table").withColumnRenamed("record_id", "eid")
+    field = lambda label, sql_type: F.try_element_at("fields", F.lit(label)).try_cast(sql_type).alias(label)
+    return entities.select(F.col("record_id").alias("eid"), "path", "parent_path", "entity", field("status", "string"), field("weight", "double"), F.size("fields").cast("bigint").alias("n_fields"))
 
 
 def p1_geometry_entities(spark: SparkSession, d: str) -> DataFrame:
