@@ -5,7 +5,7 @@ from vertexloom.types import GEOMETRY
 def test_verbs(spark, tmp_path):
     p = str(tmp_path / "g.bin")
     rows = [(i, {"type": 1, "xy": [float(i), float(i)]}, f"n{i}") for i in range(10)]
-    vertices = spark.createDataFrame([(a, (g["type"], g["xy"], None, None, None, None), n) for a, g, n in rows], f"fid bigint, geom {GEOMETRY}, name string")
+    vertices = spark.createDataFrame([(a, (g["type"], g["xy"], None, None, None, None, None), n) for a, g, n in rows], f"fid bigint, geom {GEOMETRY}, name string")
     assert api.serialize(vertices, p, spark.createDataFrame([(0, 1)], "src bigint, dst bigint"), 4326, index_node_size=4).edge_count == 1
     assert api.deserialize(spark, p).vertices.count() == 10 and api.deserialize_edges(spark, p).count() == 1 and api.read_metadata(p).features_count == 10
     seen = []

@@ -31,7 +31,14 @@ def to_lat(y: Column) -> Column:
     return F.degrees(F.lit(2.0) * F.atan(F.exp(y / F.lit(RADIUS))) - F.lit(math.pi / 2))
 
 
+# Codes that are other names of these two systems
+SAME = {900913: 3857, 102100: 3857, 102113: 3857, 3785: 3857, 84: 4326}
+
+
 def _pair(source: int, target: int):
+    source, target = SAME.get(source, source), SAME.get(target, target)
+    if source == target:
+        return (lambda c: c), (lambda c: c)
     if (source, target) == (4326, 3857):
         return to_mercator_x, to_mercator_y
     if (source, target) == (3857, 4326):
@@ -63,9 +70,10 @@ def extent_between(minx: Column, miny: Column, maxx: Column, maxy: Column, sourc
 
 def rect_between(rect: Rect, source: int, target: int) -> Rect:
     """The rectangle in another CRS (both axes map monotonically, so corners suffice)."""
+    _pair(source, target)
+    source, target = SAME.get(source, source), SAME.get(target, target)
     if source == target:
         return rect
-    _pair(source, target)
     if target == 4326:
         lon = lambda x: math.degrees(x / RADIUS)
         lat = lambda y: math.degrees(2 * math.atan(math.exp(y / RADIUS)) - math.pi / 2)

@@ -356,6 +356,15 @@ def bbox_indexed(spark, d):
     return graphs.read_vertices(spark, container(spark, d, 16), WINDOW).select("name", "capacity", "bbox.minx", "bbox.miny")
 
 
+@query(f"WITH {_V} SELECT count(*) AS n_records, true AS less_than_all FROM B WHERE minx <= {WINDOW.maxx} AND maxx >= {WINDOW.minx} AND miny <= {WINDOW.maxy} AND maxy >= {WINDOW.miny}")
+def bbox_ranges(spark, d):
+    """What the window makes tasks read: as many records as meet it, and fewer bytes between them than the file has."""
+    path = container(spark, d, 16)
+    ranges = graphs.read_section(spark, path, "ranges", **dict(zip(("minx", "miny", "maxx", "maxy"), WINDOW)), requestGap=0)
+    layout = Container(path).layout()
+    return ranges.agg(F.sum("n_records").alias("n_records"), (F.sum("n_bytes") < layout.end).alias("less_than_all"))
+
+
 @query(_IN_WINDOW)
 def bbox_unindexed_fallback(spark, d):
     return graphs.read_vertices(spark, container(spark, d), WINDOW).select("name", "capacity", "bbox.minx", "bbox.miny")

@@ -1,6 +1,7 @@
 """The container as a Spark data source: ``spark.read.format("geocontainer").option("section", …).load(path)``.
 
-``path`` is a file, a directory of files or a URL. Sections: ``vertices`` (default), ``edges``, ``header``, ``graph_header``, ``index``. Options:
+``path`` is a file, a directory of files or a URL. Sections: ``vertices`` (default), ``edges``, ``header``, ``graph_header``, ``index``, and ``ranges``: what a scan of the vertices with the same options
+would read, a row per task (``n_records`` and ``n_bytes`` are null where they aren't known beforehand). Options:
 
 - ``minx miny maxx maxy``: only vertices whose bounding box meets the rectangle. With an index only matching records are fetched; the exact test on the box is always made.
 - ``columns``: comma-separated attributes to decode (a schema given to the reader does the same); geometry is not decoded if neither ``geom`` nor ``bbox`` is wanted.
@@ -46,6 +47,7 @@ HEADER_SCHEMA = (
     "name string, title string, description string, metadata string"
 )
 GRAPH_HEADER_SCHEMA = f"file string, edge_count bigint, edge_columns array<{_COLUMN}>"
+RANGES_SCHEMA = "file string, first bigint, n_records bigint, start bigint, n_bytes bigint"
 INDEX_SCHEMA = "level int, node bigint, minx double, miny double, maxx double, maxy double, offset decimal(20,0)"
 
 
@@ -218,8 +220,8 @@ class GeoContainer(DataSource):
 
     def schema(self):
         section = self.section()
-        if section in ("header", "graph_header", "index"):
-            return {"header": HEADER_SCHEMA, "graph_header": GRAPH_HEADER_SCHEMA, "index": INDEX_SCHEMA}[section]
+        if section in ("header", "graph_header", "index", "ranges"):
+            return {"header": HEADER_SCHEMA, "graph_header": GRAPH_HEADER_SCHEMA, "index": INDEX_SCHEMA, "ranges": RANGES_SCHEMA}[section]
         if section == "vertices":
             fields = [T.StructField("fid", T.LongType()), T.StructField("bbox", BBOX_TYPE), T.StructField("geom", GEOMETRY_TYPE)]
         elif section == "edges":
@@ -313,6 +315,9 @@ class ContainerReader(DataSourceReader):
             made = _each(lambda f: self._of_manifest(manifest, f), manifest.files)
         elif self.kind in ("vertices", "edges"):
             made = _each(self._of_file, list(enumerate(self.files)))
+        elif self.kind == "ranges":
+            paths = [f"{self.path.rstrip('/')}/{f.name}" for f in manifest.files] if manifest else self.files
+            made = [[Slice(path, i, 0, None) for i, path in enumerate(paths)]]
         else:
             made = [[Slice(path, 0, 0, None) for path in ([f"{self.path.rstrip('/')}/{f.name}" for f in manifest.files] if manifest else self.files)]]
         return [s for slices in made for s in slices] or [Slice("", 0, 0, 0)]
@@ -384,6 +389,10 @@ class ContainerReader(DataSourceReader):
             yield from read_vertices(Container(part.path, self.options), part, self.wanted, self.rect)
         elif self.kind == "edges":
             yield from read_edges(part, self.wanted, self.options)
+        elif self.kind == "ranges":
+            c = Container(part.path, self.options)
+            rows = [{"file": s.path, "first": s.first, "n_records": len(s.picked) if s.picked else s.count, "start": s.start, "n_bytes": s.picked[-1][1] - s.start if s.picked else s.stop and s.stop - s.start} for s in self._vertices(c, c.meta.envelope)]
+            yield from _batches(([row[f.name] for f in self.wanted.fields] for row in rows), _arrow(self.wanted))
         else:
             yield from read_meta(Container(part.path, self.options), self.kind, self.wanted)
 

@@ -287,7 +287,7 @@ def write_graph(
             edge_segments, edge_columns = _edge_segments(edges, positions, lambda p: F.get(first, F.col("part")) + F.col("at"), n, folder, parts, False)
             _check(edge_segments, n)
             graph = GraphMeta(sum(s.n_rows for s in edge_segments), edge_columns or None)
-        segments.assemble(path, written, columns, _head(meta, crs_code), index_node_size, allow_empty, graph, edge_segments)
+        segments.assemble(path, written, columns, _head(meta, crs_code), index_node_size, allow_empty, graph, edge_segments, drop=True)
         return graph
     finally:
         fs, inner = filesystem(folder)

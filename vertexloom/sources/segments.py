@@ -145,8 +145,8 @@ def united(a: list[float] | None, b: list[float] | None) -> list[float] | None:
     return b if a is None else a if b is None else [*(min(x, y) for x, y in zip(a[:2], b[:2])), *(max(x, y) for x, y in zip(a[2:], b[2:]))]
 
 
-def assemble(path: str, vertices: list[Segment], columns: list[Column], meta: Meta, index_node_size: int, allow_empty: bool, graph: GraphMeta | None = None, edges: list[Segment] = ()) -> layouts.Layout:
-    """Headers, index and segments into one file, which appears, after its layout, when it is complete."""
+def assemble(path: str, vertices: list[Segment], columns: list[Column], meta: Meta, index_node_size: int, allow_empty: bool, graph: GraphMeta | None = None, edges: list[Segment] = (), drop: bool = False) -> layouts.Layout:
+    """Headers, index and segments into one file, which appears, after its layout, when it is complete. ``drop`` removes each segment once it is in: not for tasks, which may be tried again."""
     vertices, edges = sorted(vertices, key=lambda s: s.part), sorted(edges, key=lambda s: s.part)
     n = sum(s.n_rows for s in vertices)
     if n >= _MAX:
@@ -175,10 +175,10 @@ def assemble(path: str, vertices: list[Segment], columns: list[Column], meta: Me
         if meta.index_node_size:
             out.write(rtree.build(_leaves(vertices), index_node_size).tobytes())
         for s in vertices:
-            _append(s.file, out)
+            _append(s.file, out, drop)
         out.write(graph_head)
         for s in edges:
-            _append(s.file, out)
+            _append(s.file, out, drop)
     layouts.write(path, layout)
     fs.move(unfinished, target)
     return layout
@@ -206,8 +206,10 @@ def _leaves(segments: list[Segment]) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _append(segment: str, out) -> None:
+def _append(segment: str, out, drop: bool) -> None:
     fs, path = filesystem(segment)
     with fs.open_input_stream(path) as f:
         while block := f.read(8 << 20):
             out.write(block)
+    if drop:
+        fs.delete_file(path)
