@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,7 +127,7 @@ def describe(model: ppm.Model, texts: list[str]) -> list[tuple[str | None, float
 
 
 class _Shared:
-    """A model in the session's shared folder. Each executor fetches the file once, its Python workers map it into memory."""
+    """A model in the session's shared folder, which Python workers map into memory: from there if it is a file to them, else from a copy that each executor fetches once."""
 
     def __init__(self, spark: SparkSession, model: ppm.Model):
         data, self.description = ppm.shared_arrays(model)
@@ -134,13 +135,14 @@ class _Shared:
         fs, inner = filesystem(path)
         with fs.open_output_stream(inner) as out:
             out.write(data)
-        spark.sparkContext.addFile(path)
-        self.name = path.rpartition("/")[2]
+        self.name, self.file = path.rpartition("/")[2], inner if isinstance(fs, pafs.LocalFileSystem) else None
+        if self.file is None:
+            spark.sparkContext.addFile(path)
 
     def model(self) -> ppm.Model:
         kept = _worker_state()
         if ("model", self.name) not in kept:
-            kept[("model", self.name)] = ppm.mapped(SparkFiles.get(self.name), self.description)
+            kept[("model", self.name)] = ppm.mapped(self.file or SparkFiles.get(self.name), self.description)
         return kept[("model", self.name)]
 
 
