@@ -71,6 +71,16 @@ def test_empty_and_missing_arrays_stay_apart(spark, tmp_path):
     assert [{k: back[i][k] for k in ("type", "xy", "z", "m", "ends", "parts")} for i in range(5)] == shapes
 
 
+def test_null_ordinates_are_not_numbers(spark, tmp_path):
+    shapes = [geom(1, [None, 2.0]), geom(2, [1.0, 2.0, None, None], z=[None, 3.0]), geom(1, [5.0])]
+    df = spark.createDataFrame([(i, g) for i, g in enumerate(shapes)], f"fid bigint, geom {GEOMETRY}")
+    path = str(tmp_path / "n.bin")
+    graphs.write_graph(df, None, path, index_node_size=2)
+    rows = {r.fid: r for r in graphs.read_vertices(spark, path).collect()}
+    found = sorted((str(r.geom.xy), str(r.geom.z), r.bbox and tuple(r.bbox)) for r in rows.values())
+    assert found == [("[1.0, 2.0, nan, nan]", "[nan, 3.0]", (1.0, 2.0, 1.0, 2.0)), ("[5.0]", "None", None), ("[nan, 2.0]", "None", None)]
+
+
 def test_tasks_read_their_slice_and_the_header_only(spark, tmp_path, monkeypatch):
     edges = spark.range(12_000).selectExpr("id % 100 AS src", "(id + 1) % 100 AS dst", "id AS n")
     p = str(tmp_path / "i.bin")

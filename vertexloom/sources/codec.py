@@ -5,8 +5,10 @@ Layout, all little-endian: magic, header, index, features, graph section. The in
 
 from __future__ import annotations
 
+import math
 import struct
 from decimal import Decimal
+from functools import lru_cache
 
 from vertexloom.sources.bytes import ContainerError
 from vertexloom.sources.flat import Blob, Doubles, Reader, Tables, Text, UInts, encode
@@ -128,6 +130,11 @@ def decode_properties(data: bytes | None, columns: list[Column]) -> list:
     return out
 
 
+def _whole(values: list | None) -> list | None:
+    """Numbers for a vector: null ordinates become NaN."""
+    return [math.nan if v is None else v for v in values] if values and None in values else values
+
+
 def _geometry(g) -> dict:
     table: dict = {6: ("B", g["type"] or 0)}
     if g.get("parts") is not None:
@@ -135,11 +142,44 @@ def _geometry(g) -> dict:
         return table
     for slot, name, kind in ((1, "xy", Doubles), (2, "z", Doubles), (3, "m", Doubles), (0, "ends", UInts)):
         if g.get(name) is not None:  # an empty vector stays one
-            table[slot] = kind(g[name])
+            table[slot] = kind(_whole(g[name]))
     return table
 
 
+@lru_cache(4096)
+def _flat_form(kind: int, sizes: tuple[int | None, ...], with_properties: bool) -> tuple[bytes, tuple, int | None]:
+    """(bytes, (start, format) of each vector, where the properties' size goes): a feature whose geometry has vectors of these sizes (xy, z, m, ends; None: no such vector), with zeros in them."""
+    geometry: dict = {6: ("B", kind)}
+    slots = ((1, Doubles, "d"), (2, Doubles, "d"), (3, Doubles, "d"), (0, UInts, "I"))
+    for (slot, vector, _), n in zip(slots, sizes):
+        if n is not None:
+            geometry[slot] = vector([0] * n)
+    data = encode({0: geometry, **({1: Blob(b"")} if with_properties else {})})
+    feature = Reader.prefixed(data)
+    g = feature.table(0)
+    places = tuple(None if n is None else (g._refers(slot) + 4, f"<{n}{fmt}") for (slot, _, fmt), n in zip(slots, sizes))
+    at = feature._refers(1) if with_properties else None
+    return data if at is None else data[:at], places, at
+
+
+def _encode_flat(geometry: dict, properties: bytes) -> bytes:
+    """A feature without parts: features of one shape differ only in numbers and properties."""
+    vectors = tuple(_whole(geometry.get(n)) for n in ("xy", "z", "m", "ends"))
+    form, places, at = _flat_form(geometry["type"] or 0, tuple(None if v is None else len(v) for v in vectors), bool(properties))
+    out = bytearray(form)
+    for place, values in zip(places, vectors):
+        if place is not None and values:
+            struct.pack_into(place[1], out, place[0], *values)
+    if at is not None:
+        out += struct.pack("<I", len(properties)) + properties
+        out += bytes(-len(out) % 8)
+        struct.pack_into("<I", out, 0, len(out) - 4)
+    return bytes(out)
+
+
 def encode_feature(geometry: dict | None, properties: bytes) -> bytes:
+    if geometry is not None and geometry.get("parts") is None:
+        return _encode_flat(geometry, properties)
     table: dict = {1: Blob(properties)} if properties else {}
     if geometry is not None:
         table[0] = _geometry(nested_parts(geometry))
@@ -203,13 +243,18 @@ def bounds(geometry: dict | None) -> tuple[float, float, float, float] | None:
     """The bounding box of all coordinates that are numbers; None without any."""
     if geometry is None:
         return None
+    own = geometry.get("xy") or ()
+    if len(own) == 2 and geometry.get("parts") is None:
+        x, y = own
+        return (x, y, x, y) if x is not None and y is not None and x == x and y == y else None
     todo, xs, ys = [geometry], [], []
     while todo:
         g = todo.pop()
         todo.extend(g.get("parts") or ())
         xy = g.get("xy") or ()
-        xs.extend(v for v in xy[0::2] if v == v)
-        ys.extend(v for v in xy[1::2] if v == v)
+        xy = xy[: len(xy) // 2 * 2]
+        xs.extend(v for v in xy[0::2] if v is not None and v == v)
+        ys.extend(v for v in xy[1::2] if v is not None and v == v)
     return (min(xs), min(ys), max(xs), max(ys)) if xs and ys else None
 
 
