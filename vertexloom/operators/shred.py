@@ -253,18 +253,21 @@ KEYS = ["record_table", "record_id", "node"]
 def entity_rows(adjacency: DataFrame) -> DataFrame:
     """Every object as a row with its scalar children: (record_table, record_id, node, object_parent, path, parent_path, entity, fields), ``fields`` a map from label to text.
 
-    Object nodes are joined with the scalars whose parent they are, both partitioned by record and node, and these pivoted into the row: one join and one aggregation on the same keys. ``node`` and
+    The scalars of each parent are pivoted into one row, and object nodes joined with them: both are partitioned by record and node once, for the aggregations and the join. ``node`` and
     ``object_parent`` link the row to its parent's. Nulls are no scalars. Repeated records count once (they are equal; were they not, of two objects with one number the smaller path holds).
     ``adjacency`` is read twice: store it.
     """
     objects = adjacency.where(F.col("kind") == "object").groupBy(*KEYS).agg(F.min(F.struct("path", "parent_path", "entity", "object_parent")).alias("o"))
     scalars = adjacency.where(F.col("kind").isin("string", "number", "boolean") & F.col("ordinal").isNull() & F.col("parent").isNotNull())
-    scalars = scalars.select("record_table", "record_id", F.col("parent").alias("node"), F.struct("label", "scalar").alias("_field"))
-    joined = objects.join(scalars, KEYS, "left").groupBy(*KEYS).agg(F.min("o").alias("o"), F.collect_set("_field").alias("_fields"))
-    # of several values of a label, in unequal records of one id, the largest holds
-    last = F.array_sort("_fields")
-    once = F.filter(last, lambda f, i: ~F.coalesce(F.get(last, i + 1)["label"] == f["label"], F.lit(False)))
-    return joined.select(*KEYS, "o.object_parent", "o.path", "o.parent_path", "o.entity", F.map_from_entries(once).alias("fields"))
+    children = scalars.groupBy("record_table", "record_id", F.col("parent").alias("node")).agg(F.collect_list(F.struct("label", "scalar")).alias("_all"))
+    # of several values of a label, in repeated or unequal records of one id, the largest holds
+    labels = F.transform("_all", lambda f: f["label"])
+    last = F.array_sort("_all")
+    largest = F.filter(last, lambda f, i: ~F.coalesce(F.get(last, i + 1)["label"] == f["label"], F.lit(False)))
+    once = F.when(F.size(F.array_distinct(labels)) == F.size(labels), F.col("_all")).otherwise(largest)
+    children = children.select(*KEYS, F.map_from_entries(once).alias("fields"))
+    nothing = F.create_map().cast("map<string,string>")
+    return objects.join(children, KEYS, "left").select(*KEYS, "o.object_parent", "o.path", "o.parent_path", "o.entity", F.coalesce("fields", nothing).alias("fields"))
 
 
 def entity_table(entities: DataFrame, entity: str | None, fields: dict[str, str]) -> DataFrame:
