@@ -40,31 +40,50 @@ def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
     return counts.withColumn("_total", total).where(F.col("_n") >= F.col("_total") * F.lit(min_share))
 
 
-def key_salts(df: DataFrame, key: str) -> dict[int, list]:
+def _salts(counted: list, parts: int) -> dict[int, list]:
+    out: dict[int, list] = defaultdict(list)
+    for value, n, total in counted:
+        pieces = max(2, -(-2 * n * parts // total))
+        out[min(1 << (pieces - 1).bit_length(), MOST_SALTS)].append(value)
+    return dict(out)
+
+
+def _parts(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+
+
+def key_salts(df: DataFrame, key: str, rows: int | None = None) -> dict[int, list]:
     """Salts -> the keys that are to be spread over so many tasks.
 
     A key is hot if it holds at least half the rows of an even shuffle partition, so there are at most twice as many as partitions, whatever the data; it gets a salt for each such half
-    that it holds, rounded up to a power of two. More partitions, as a larger cluster has, make both the threshold lower and the pieces smaller. Of at most ``TASK_ROWS`` rows no key is hot.
+    that it holds, rounded up to a power of two. More partitions, as a larger cluster has, make both the threshold lower and the pieces smaller. Of at most ``TASK_ROWS`` rows no key is hot; ``rows``
+    is their number, or a bound of it, if it is known, and may save the counting.
     """
-    if df.count() <= TASK_ROWS:
+    if rows is not None and rows <= TASK_ROWS:
         return {}
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    out: dict[int, list] = defaultdict(list)
-    for value, n, total in heavy_keys(df, key, 0.5 / parts).collect():
-        pieces = max(2, -(-2 * n * parts // total))
-        out[min(1 << (pieces - 1).bit_length(), MOST_SALTS)].append(value)
-    return dict(out)
+    parts = _parts(df.sparkSession)
+    return _salts(heavy_keys(df, key, 0.5 / parts).where(F.col("_total") > TASK_ROWS).collect(), parts)
+
+
+def end_salts(df: DataFrame, keys: list[str]) -> dict[str, dict[int, list]]:
+    """``key_salts`` of several columns of one type in one pass over ``df``; the rows with a key are taken to be as many in each."""
+    parts = _parts(df.sparkSession)
+    ends = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("which"), F.col(k).alias("key")) for k in keys))).alias("e")).select("e.*").where(F.col("key").isNotNull())
+    counts = ends.groupBy("which", "key").agg(F.count(F.lit(1)).alias("n"))
+    total = F.ceil(counts.agg(F.sum("n")).scalar() / len(keys))
+    hot = counts.withColumn("total", total).where((F.col("n") >= F.col("total") * F.lit(0.5 / parts)) & (F.col("total") > TASK_ROWS)).collect()
+    return {k: _salts([(r.key, r.n, r.total) for r in hot if r.which == k], parts) for k in keys}
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", hint: str | None = None, counted: DataFrame | None = None, salts: dict[int, list] | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", hint: str | None = None, counted: DataFrame | None = None, salts: dict[int, list] | None = None, rows: int | None = None) -> DataFrame:
     """Equi-join on ``key`` whose hot keys are spread over several tasks.
 
-    Hot keys and their salts are found first (``key_salts`` of ``counted``, by default of ``left``; ``salts`` has them if they are known). Their left rows get a salt from ``spread`` (a
+    Hot keys and their salts are found first (``key_salts`` of ``counted``, by default of ``left``; ``salts`` has them if they are known, ``rows`` the number of rows). Their left rows get a salt from ``spread`` (a
     column of ``left`` that varies within a key) and their right rows are repeated once per salt. Without hot keys it is a plain join. ``how`` is inner, left, left_semi or left_anti. Null
     keys match nothing. Names other than ``key`` must differ between sides.
     """
     if salts is None:
-        salts = key_salts(left if counted is None else counted, key)
+        salts = key_salts(left if counted is None else counted, key, rows)
     if not salts:
         return left.join(right.hint(hint) if hint else right, key, how)
     n = F.lit(1)

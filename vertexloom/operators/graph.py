@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vertexloom.common import materialize, salted_join
+from vertexloom.common import end_salts, materialize, salted_join
 from vertexloom.functions.geometry import to_geojson
 from vertexloom.types import GEOMETRY_TYPES
 
@@ -15,8 +15,9 @@ def endpoints(edges: DataFrame, vertices: DataFrame, columns: list[str]) -> Data
     """The edges whose both ends exist, with the given vertex columns as ``src_…`` and ``dst_…``; hot vertices are salted."""
     v = lambda p: vertices.select(F.col("fid").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in columns))
     spread = F.xxhash64("src", "dst")
-    with_src = salted_join(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), v("src"), "src", F.col("dst"), counted=edges)
-    return salted_join(with_src.withColumn("_s", spread), v("dst"), "dst", F.col("_s"), counted=edges).drop("_s")
+    hot = end_salts(edges, ["src", "dst"])
+    with_src = salted_join(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), v("src"), "src", F.col("dst"), salts=hot["src"])
+    return salted_join(with_src.withColumn("_s", spread), v("dst"), "dst", F.col("_s"), salts=hot["dst"]).drop("_s")
 
 
 def degrees(edges: DataFrame, end: str, name: str) -> DataFrame:
@@ -40,7 +41,7 @@ def adjacency(edges: DataFrame, page: int = 100_000) -> DataFrame:
     """
     pairs = _links(edges)
     pages = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / page).cast("int").alias("_pages"))
-    dealt = salted_join(pairs, pages, "src", F.col("dst")).withColumn("page", F.pmod(F.xxhash64("dst"), F.col("_pages")).cast("int"))
+    dealt = salted_join(pairs, pages, "src", F.col("dst"), counted=edges).withColumn("page", F.pmod(F.xxhash64("dst"), F.col("_pages")).cast("int"))
     return dealt.groupBy(F.col("src").alias("fid"), "page").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
@@ -55,7 +56,7 @@ def two_step_walks(edges: DataFrame) -> DataFrame:
     edges = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
     onward = degrees(edges, "src", "out_degree")
     steps = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    joined = salted_join(steps, onward.select(F.col("fid").alias("dst"), "out_degree"), "dst", F.col("src"))
+    joined = salted_join(steps, onward.select(F.col("fid").alias("dst"), "out_degree"), "dst", F.col("src"), counted=edges)
     return joined.groupBy(F.col("src").alias("fid")).agg(F.sum(F.col("n") * F.col("out_degree")).alias("n_walks"))
 
 

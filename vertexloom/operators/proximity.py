@@ -118,11 +118,11 @@ def _place(lon: Column, lat: Column) -> Column:
     return F.concat_ws(" ", (lon + 0.0).cast("string"), (lat + 0.0).cast("string"))
 
 
-def membership(points: DataFrame, classes: DataFrame | None = None) -> DataFrame:
-    """(rep, fid): the class of every point, the smallest ``fid`` at its position. Positions with many points are salted."""
+def membership(points: DataFrame, classes: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+    """(rep, fid): the class of every point, the smallest ``fid`` at its position. Positions with many points are salted; ``rows`` is the number of points if it is known."""
     classes = location_classes(points) if classes is None else classes
     place = _place(F.col("lon"), F.col("lat"))
-    return salted_join(points.select("fid", place.alias("_place")), classes.select("rep", place.alias("_place")), "_place", F.col("fid")).select("rep", "fid")
+    return salted_join(points.select("fid", place.alias("_place")), classes.select("rep", place.alias("_place")), "_place", F.col("fid"), rows=rows).select("rep", "fid")
 
 
 def near_classes(points: DataFrame, radius_m: float, classes: DataFrame | None = None) -> DataFrame:
@@ -132,10 +132,10 @@ def near_classes(points: DataFrame, radius_m: float, classes: DataFrame | None =
     pairs here. The date line and the poles are handled. An empty input gives no rows.
     """
     grid = _Grid(radius_m)
-    reps = (location_classes(points) if classes is None else classes).select("rep", "lon", "lat")
+    reps = (stored(location_classes(points), "classes") if classes is None else classes).select("rep", "lon", "lat")
     here = reps.select(grid.home(F.col("lon"), F.col("lat")).alias("cell"), F.col("rep").alias("rep_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
     there = reps.select(F.explode(grid.reached(F.col("lon"), F.col("lat"))).alias("cell"), F.col("rep").alias("rep_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
-    met = salted_join(here, there, "cell", F.col("rep_a")).where(F.col("rep_a") < F.col("rep_b"))
+    met = salted_join(here, there, "cell", F.col("rep_a"), rows=reps.count()).where(F.col("rep_a") < F.col("rep_b"))
     metres = great_circle_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))
     return met.withColumn("metres", metres).where(F.col("metres") <= radius_m).select("rep_a", "rep_b", "metres")
 
@@ -146,8 +146,8 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     Pairs of classes are spread over their members, classes of many members salted; ``near_classes`` with ``membership`` says the same in less.
     """
     classes = stored(location_classes(points), "classes")
-    of = stored(membership(points, classes), "membership")
-    hot = key_salts(of, "rep")
+    of = stored(membership(points, classes, points.count()), "membership")
+    hot = key_salts(of, "rep", of.count())
     renamed = lambda r, f: of.toDF(r, f)
     near = near_classes(points, radius_m, classes).select("rep_a", "rep_b")
     half = salted_join(renamed("rep_a", "p"), near, "rep_a", F.col("p"), salts=hot).select("p", "rep_b")
@@ -249,8 +249,8 @@ def points_in_polygons(points: DataFrame, polys: DataFrame) -> DataFrame:
     odd = F.exists(F.concat(F.coalesce("geom.xy", F.array().cast("array<double>")), parts), lambda v: v.isNull() | F.isnan(v))
     shaped = polys.where(~odd & F.col("poly_id").isNotNull()).withColumn("b", geometry_bbox(F.col("geom")))
     rects = shaped.where("b IS NOT NULL").select(F.col("poly_id").alias("rect_id"), F.lit(None).cast("bigint").alias("own"), "b.minx", "b.miny", "b.maxx", "b.maxy")
-    near = _points_in(points, valid_rects(rects)).withColumnRenamed("rect_id", "poly_id")
-    met = salted_join(near, shaped.select("poly_id", "geom"), "poly_id", F.col("fid"))
+    near = stored(_points_in(points, valid_rects(rects)).withColumnRenamed("rect_id", "poly_id"), "near")
+    met = salted_join(near, shaped.select("poly_id", "geom"), "poly_id", F.col("fid"), rows=near.count())
     return met.where(contains_point(F.col("geom"), F.col("lon"), F.col("lat"))).select("poly_id", "fid")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vertexloom import streaming
-from vertexloom.common import salted_join, shared_path, table
+from vertexloom.common import end_salts, salted_join, shared_path, table
 from vertexloom.functions import geometry as G
 from vertexloom.functions import projection as P
 from vertexloom.functions.properties import build_properties, parse_properties
@@ -85,8 +85,9 @@ def whole_edges(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "vertices").select("fid").union(table(spark, d, "stations").select("fid")).where(F.col("fid").isNotNull()).distinct()
     rows = table(spark, d, "edges").where(F.col("eid").isNotNull() & (F.col("src") != F.col("dst")))
     edges = rows.groupBy("eid").agg(*(F.min(c).alias(c) for c in ("src", "dst", "properties", "recorded_at")))
+    hot = end_salts(rows, ["src", "dst"])
     for end in ("src", "dst"):
-        edges = salted_join(edges, known.toDF(end), end, F.col("eid"), "left_semi", counted=rows)
+        edges = salted_join(edges, known.toDF(end), end, F.col("eid"), "left_semi", salts=hot[end])
     return edges.select("eid", "src", "dst", "properties", "recorded_at")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vertexloom.common import salted_join, stored
+from vertexloom.common import end_salts, salted_join, stored
 from vertexloom.functions import projection
 from vertexloom.functions.geometry import as_geometry, geometry_bbox, meets, render_feature
 from vertexloom.sources import codec, layouts, rtree, segments
@@ -226,9 +226,10 @@ def _edge_segments(edges: DataFrame, positions: DataFrame, end: Callable[[Column
     names = [f"`{c.name}`" for c in columns]
     spread = F.xxhash64("_eid", "_src", "_dst", *names)
     placed = rows
+    hot = {} if small else end_salts(rows, ["_src", "_dst"])  # one pass for both ends
     for key, to in (("_src", "_from"), ("_dst", "_to")):
         known = places.toDF(key, to)
-        placed = placed.join(F.broadcast(known), key, "left") if small else salted_join(placed, known, key, spread, "left", counted=rows)
+        placed = placed.join(F.broadcast(known), key, "left") if small else salted_join(placed, known, key, spread, "left", salts=hot[key])
     tie = ["_eid", "_from", "_to"]
     ranged = placed.repartitionByRange(parts, *tie).sortWithinPartitions(*tie, *names)
     own = [*columns, *layouts.end_columns()] if files else columns
