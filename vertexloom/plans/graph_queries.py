@@ -893,7 +893,7 @@ def whole_graph_elements(spark, d):
 
 
 def _export_sql(nodes: str, edges: str) -> str:
-    return f"WITH {_WHOLE}, {_E} SELECT 'nodes' AS grp, fid AS id, NULL AS source, NULL AS target, name, {nodes} FROM V UNION ALL SELECT 'edges', eid, src, dst, NULL, {edges} FROM E"
+    return f"WITH {_WHOLE}, {_E} SELECT 'nodes' AS grp, fid AS id, CAST(NULL AS BIGINT) AS source, CAST(NULL AS BIGINT) AS target, name, {nodes} FROM V UNION ALL SELECT 'edges', eid, src, dst, NULL, {edges} FROM E"
 
 
 _X = "CASE WHEN geom.type = 1 AND len(geom.xy) > 0 AND NOT isnan(geom.xy[1]) THEN geom.xy[1] END"
@@ -908,7 +908,7 @@ def _member_x() -> Column:
     return F.when(~F.isnan(x), x)
 
 
-@query(_export_sql(f"kind, capacity, {_X} AS x, CAST(NULL AS BIGINT) AS edge_id, NULL AS properties", "NULL, NULL, NULL, eid, properties"))
+@query(_export_sql(f"kind, capacity, {_X} AS x, CAST(NULL AS BIGINT) AS edge_id, CAST(NULL AS VARCHAR) AS properties", "NULL, NULL, NULL, eid, properties"))
 def attributed_graph(spark, d):
     """The graph with an object of attributes for each node and edge."""
     g = graphs.read_graph(spark, container(spark, d, whole=True))
@@ -916,7 +916,7 @@ def attributed_graph(spark, d):
     return _export(graph.attributed_graph(g.vertices, g.edges), {"kind": at("kind"), "capacity": at("capacity").cast("double"), "x": _member_x(), "edge_id": at("id").cast("bigint"), "properties": at("properties")})
 
 
-@query(_export_sql(f"NULL AS kind, {_X} AS x, NULL AS properties", "NULL, NULL, properties"))
+@query(_export_sql(f"CAST(NULL AS VARCHAR) AS kind, {_X} AS x, CAST(NULL AS VARCHAR) AS properties", "NULL, NULL, properties"))
 def linked_graph(spark, d):
     """The graph as nodes and links with data: names and coordinates, properties."""
     g = graphs.read_graph(spark, container(spark, d, whole=True))
