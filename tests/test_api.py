@@ -12,5 +12,7 @@ def test_verbs(spark, tmp_path):
     near = api.deserialize_filtered(spark, p, api.Rect(3, 3, 5, 5), seen.append, feature_crs=3857)
     assert sorted(r.name for r in near.collect()) == ["n3", "n4", "n5"] and seen[0].features_count == 10 and max(r.geom.xy[0] for r in near.collect()) > 500_000
     assert streaming.drain(api.deserialize_stream(spark, p, api.Rect(3, 3, 5, 5))).count() == 3
+    folder = str(tmp_path / "d")
+    assert api.serialize_directory(vertices, folder, spark.createDataFrame([(0, 1)], "src bigint, dst bigint"), 4326).n_vertices == 10 and api.deserialize_edges(spark, folder).count() == 1
     world = api.load_tile(spark, p, 0, 0, 0)
     assert world.count() == 10 and api.load_extent(spark, p, api.Rect(0, 0, 1, 1), 4326, 4326, "all").count() == 10

@@ -12,11 +12,12 @@ from vertexloom.functions.properties import build_properties, parse_properties
 from vertexloom.sources import graphs
 from vertexloom.sources.geojson import read_geojson, to_features
 from vertexloom.sources.graphs import GeoGraph, load_extent, load_tile, read_metadata, require_columns, union_graphs
+from vertexloom.sources.layouts import Manifest
 from vertexloom.types import COLUMN_TYPES, GEOMETRY_TYPES, Column, GraphMeta, Meta, Rect
 
 __all__ = [
     "COLUMN_TYPES", "GEOMETRY_TYPES", "Column", "GeoGraph", "GraphMeta", "Meta", "Rect", "build_properties", "deserialize", "deserialize_edges", "deserialize_filtered", "deserialize_stream", "load_extent", "load_tile",
-    "parse_properties", "read_geojson", "read_metadata", "require_columns", "serialize", "tile_key", "to_features", "union_graphs",
+    "parse_properties", "read_geojson", "read_metadata", "require_columns", "serialize", "serialize_directory", "tile_key", "to_features", "union_graphs",
 ]
 
 
@@ -25,6 +26,11 @@ def serialize(vertices: DataFrame, path: str, edges: DataFrame | None = None, cr
     return graphs.write_graph(vertices, edges, path, crs_code, **options)
 
 
+def serialize_directory(vertices: DataFrame, path: str, edges: DataFrame | None = None, crs_code: int = 0, **options) -> Manifest:
+    """Writes a graph of any size as a directory of containers; see ``graphs.write_graph_directory``."""
+    return graphs.write_graph_directory(vertices, edges, path, crs_code, **options)
+
+
 def deserialize(spark: SparkSession, path: str, meta_fn: Callable | None = None, **options) -> GeoGraph:
     """Both tables and the headers of a container."""
     return graphs.read_graph(spark, path, meta_fn, **options)

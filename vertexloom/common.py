@@ -119,15 +119,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; what is written there is removed when the application ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    remove_at_end(spark, path)
-    return path
-
-
-def remove_at_end(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    at = hadoop.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    leaf = f"{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{leaf}"
+    remove_at_end(spark, folder)
+    return f"{folder}/{leaf}"
+
+
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Makes a folder that goes with the JVM."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -300,7 +300,7 @@ def boxes_meet(boxes: DataFrame, rects: DataFrame) -> DataFrame:
         ok = (F.col("minx") <= F.col("maxx")) & (F.col("miny") <= F.col("maxy")) & ~F.isnan("maxx") & ~F.isnan("maxy") & F.col("minx").between(-180.0, 180.0) & F.col("miny").between(-180.0, 180.0)
         rows = df.where(ok).select(F.col(name).alias("id"), *(F.col(c).cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")))
         rows = rows.withColumn("maxx", F.least("maxx", F.lit(180.0))).withColumn("maxy", F.least("maxy", F.lit(180.0)))
-        sides.append(rows.withColumn("k", _box_level(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))))
+        sides.append(stored(rows.withColumn("k", _box_level(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))), name))
     name_cell = lambda df: df.withColumn("cell", _cell_key(F.col("g"), F.col("c.ix"), F.col("c.iy"))).drop("c")
 
     def own(df: DataFrame) -> DataFrame:
@@ -311,10 +311,10 @@ def boxes_meet(boxes: DataFrame, rects: DataFrame) -> DataFrame:
         rows = df.withColumn("g", F.explode(F.filter(F.array(*(F.lit(k) for k in levels)), lambda g: g <= top)))
         return name_cell(rows.withColumn("c", F.explode(_box_cells(F.col("g")))))
 
-    def pair(filed: DataFrame, looked: DataFrame, names: tuple[str, str]) -> DataFrame:
+    def pair(filed: DataFrame, looked: DataFrame, names: tuple[str, str], most: int) -> DataFrame:
         a = filed.select("cell", F.col("id").alias(names[0]), *(F.col(c).alias(f"a_{c}") for c in ("minx", "miny", "maxx", "maxy")))
         b = looked.select("cell", "g", F.col("id").alias(names[1]), *(F.col(c).alias(f"b_{c}") for c in ("minx", "miny", "maxx", "maxy")))
-        met = salted_join(b, a, "cell", F.col(names[1]))
+        met = salted_join(b, a, "cell", F.col(names[1]), rows=most)
         x, y = F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny")
         meet = (x <= F.least("a_maxx", "b_maxx")) & (y <= F.least("a_maxy", "b_maxy"))
         return met.where(meet & (F.col("cell") == _cell_key(F.col("g"), _cell(x, F.col("g")), _cell(y, F.col("g"))))).select("rect_id", "box_id")
@@ -323,4 +323,5 @@ def boxes_meet(boxes: DataFrame, rects: DataFrame) -> DataFrame:
     in_b, in_r = sorted(_used(b)), sorted(_used(r))  # only grids that the other side is filed in are looked up
     if not in_b or not in_r:
         return boxes.sparkSession.createDataFrame([], T.StructType([T.StructField("rect_id", r.schema["id"].dataType), T.StructField("box_id", b.schema["id"].dataType)]))
-    return pair(own(r), up(b, False, in_r), ("rect_id", "box_id")).unionByName(pair(own(b), up(r, True, in_b), ("box_id", "rect_id")))
+    cells = lambda df, levels: 9 * df.count() * len(levels)
+    return pair(own(r), up(b, False, in_r), ("rect_id", "box_id"), cells(b, in_r)).unionByName(pair(own(b), up(r, True, in_b), ("box_id", "rect_id"), cells(r, in_b)))
