@@ -357,13 +357,15 @@ def bbox_indexed(spark, d):
     return graphs.read_vertices(spark, container(spark, d, 16), WINDOW).select("name", "capacity", "bbox.minx", "bbox.miny")
 
 
-@query(f"WITH {_V} SELECT count(*) AS n_records, true AS less_than_all FROM B WHERE minx <= {WINDOW.maxx} AND maxx >= {WINDOW.minx} AND miny <= {WINDOW.maxy} AND maxy >= {WINDOW.miny}")
+@query(f"WITH {_V} SELECT count(*) AS n_rows, true AS no_more_records, true AS less_than_all FROM B WHERE minx <= {WINDOW.maxx} AND maxx >= {WINDOW.minx} AND miny <= {WINDOW.maxy} AND maxy >= {WINDOW.miny}")
 def bbox_ranges(spark, d):
-    """What the window makes tasks read: as many records as meet it, and fewer bytes between them than the file has."""
+    """What the window makes tasks read: no records but those that meet it and, as NaN never excludes, perhaps some without a box; and fewer bytes than the file has."""
     path = container(spark, d, 16)
     ranges = graphs.read_section(spark, path, "ranges", **dict(zip(("minx", "miny", "maxx", "maxy"), WINDOW)), requestGap=0)
-    layout = Container(path).layout()
-    return ranges.agg(F.sum("n_records").alias("n_records"), (F.sum("n_bytes") < layout.end).alias("less_than_all"))
+    told = ranges.agg(F.sum("n_records").alias("_n"), (F.sum("n_bytes") < Container(path).layout().end).alias("less_than_all"))
+    rows = graphs.read_vertices(spark, path, WINDOW, columns=[]).agg(F.count(F.lit(1)).alias("n_rows"))
+    boxless = graphs.read_vertices(spark, path, columns=[]).agg(F.count_if(F.col("bbox").isNull()).alias("_boxless"))
+    return rows.join(told, F.lit(True)).join(boxless, F.lit(True)).select("n_rows", F.col("_n").between(F.col("n_rows"), F.col("n_rows") + F.col("_boxless")).alias("no_more_records"), "less_than_all")
 
 
 @query(_IN_WINDOW)
